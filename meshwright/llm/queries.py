@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from meshwright.llm.common import table
 from meshwright.llm.exact_dedup import DigestIndex
 from meshwright.llm.mixing import mix_sources
+from meshwright.llm.sentencepiece_codec import piece_digests
 from meshwright.llm.sharding import shard_by_bytes
+from meshwright.llm.token_output import token_round_trip
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +34,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -32,6 +49,8 @@ def op10_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mixing": op2_source_mixing,
+    "op4_token_output": op4_token_output,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_kk_sharding": op10_kk_sharding,
 }
 
