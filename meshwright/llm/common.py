@@ -73,3 +73,19 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 def blank(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+#: A side of this many rows of a few plain columns (some tens of MB) is still broadcast; beyond, it is shuffled.
+LABEL_ROWS = 500_000
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """`docs` with _fold (crc32 of the id as text, modulo 5; null without id) and _label (null where there is none).
+
+    Several labels of one id count as their largest. Label rows are counted before they are broadcast.
+    """
+    own = labels.where(F.col(column).isNotNull() & F.col(id_col).isNotNull())
+    own = own.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(column).cast("int").alias("_label"))
+    if labels.count() <= LABEL_ROWS:
+        own = F.broadcast(own)
+    fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)).cast("int")
+    return docs.withColumn("_fold", fold).join(own, F.col(id_col) == F.col("_label_id"), "left").drop("_label_id")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from meshwright.llm.common import table
 from meshwright.llm.exact_dedup import DigestIndex
 from meshwright.llm.mixing import mix_sources
+from meshwright.llm.quality import fit_quality, score_quality
 from meshwright.llm.sentencepiece_codec import piece_digests
 from meshwright.llm.sharding import shard_by_bytes
 from meshwright.llm.token_output import token_round_trip
+from meshwright.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,10 +36,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -49,7 +61,9 @@ def op10_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mixing": op2_source_mixing,
+    "op3_quality": op3_quality,
     "op4_token_output": op4_token_output,
+    "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_kk_sharding": op10_kk_sharding,
 }
