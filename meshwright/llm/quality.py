@@ -22,9 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meshwright.llm.common import blank, cut, with_labels
 
@@ -199,13 +201,14 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     """(id, held_out, score, predicted) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, own = Features(), shared.value
-        for frame in frames:
-            yield frame.drop(columns="_text").assign(score=[own.score(features(t)) for t in frame["_text"].tolist()])
+        for batch in batches:
+            scores = [own.score(features(t)) for t in batch.column("_text").to_pylist()]
+            yield batch.drop_columns(["_text"]).append_column("score", pa.array(scores, pa.float64()))
 
     rows = docs.select(id_col, blank(text_col).alias("_text"))
-    scored = rows.mapInPandas(task, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+    scored = rows.mapInArrow(task, StructType([rows.schema[id_col]]).add("score", "double"))
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
     return scored.select(
         id_col, F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= at_least, 1).otherwise(0).alias("predicted")

@@ -255,12 +255,15 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return coded.withColumnRenamed("_id", id_col)
 
 
-def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, span_bytes) for every row.
+def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, span_bytes) for every row; also ids, if asked for.
 
     span_bytes: source bytes in the spans of the pieces, which is all of them if nothing was lost.
+    ids: little-endian unsigned 32-bit integers.
     """
 
+    columns = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", *(["ids"] if with_ids else [])]
+
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
         digits = own.decimal
@@ -276,10 +279,11 @@ def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 for doc, text, i, back in zip(ids_of[at : at + 64], texts, ids, own.decode(ids), strict=True):
                     spans = own.spans(text, i)
                     covered = int((spans[:, 1] - spans[:, 0]).sum())
-                    out.append((doc, len(i), sha(",".join([digits[x] for x in i])), sha(back), covered))
-            yield pd.DataFrame(out, columns=["_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+                    raw = (np.array(i, np.uint32).tobytes(),) if with_ids else ()
+                    out.append((doc, len(i), sha(",".join([digits[x] for x in i])), sha(back), covered, *raw))
+            yield pd.DataFrame(out, columns=columns)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), blank(text_col).alias("_text"))
-    coded = rows.mapInPandas(task, "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    coded = rows.mapInPandas(task, "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long" + ", ids binary" * with_ids)
     kind = dict(docs.dtypes)[id_col]
-    return coded.select(F.when(F.col("_id") != "", F.col("_id")).cast(kind).alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes")
+    return coded.select(F.when(F.col("_id") != "", F.col("_id")).cast(kind).alias(id_col), *columns[1:])
