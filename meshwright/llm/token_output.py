@@ -27,36 +27,120 @@ from meshwright.llm.common import blank, cut, on_small, scratch
 
 #: Ids after which a file is closed.
 FILE_TOKENS = 4 << 20
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Distinct words in a generation of what a worker remembers.
+CACHE_WORDS = 250_000
 NO_ID = -(1 << 63)
 
 
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Whole text to little-endian 32-bit ids, for tokenizers that no token of which spans white space.
+def _latin(c: str) -> bool:
+    """A Latin letter that stays one letter in lower case (a dotted capital I does not)."""
+    return c.isalpha() and c < "\u0250" and len(c.lower()) == 1
+
+
+class Remembered:
+    """A dictionary of bounded size that forgets what has not been asked for in two generations."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, keys: list[str]) -> set[str]:
+        """The keys that are in neither generation; the others are in the young one afterwards."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = set()
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    missing.add(k)
+        return missing
+
+
+class WordEncoder:
+    """Whole text to little-endian 32-bit ids, for tokenizers no token of which spans white space.
 
     The tokenizer's pre-tokenizer drops white space and splits there, so a text's ids are those of its
-    words one after the other. Only words not seen lately go through the library.
+    words one after the other. A worker remembers words; new ones go through the library many at a time,
+    in lines with a mark between them that is one token and that no other word gives.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    seen: dict[str, bytes] = {"": b""}
+    MARK, LINE = "\x01", 400
 
-    def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        found = [seen.get(w) for w in words]
-        if None in found:
-            new = list({w for w, f in zip(words, found, strict=True) if f is None})
-            if len(seen) + len(new) > CACHE_WORDS:
-                seen.clear()
-                seen[""] = b""
-                new = list({*words} - {""})
-            seen.update(zip(new, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            found = [seen[w] for w in words]
-        return b"".join(found)
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        ids = self._ids(self.MARK)
+        self.mark = ids[0] if len(ids) == 1 else None
+        self.words, self.cores = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS)
+        self.ends = {end: np.array(self._ids(end), np.uint32).tobytes() for end in ".,"}
+        #: Whether the model alone gives the ids of a word of lower-case ASCII letters.
+        self.bare = all(self._ids(w) == [x.id for x in self.model.tokenize(w)] for w in ("a", "the", "tokenizer", "xqzjkvw"))
 
-    return encode
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        young = self.words.young
+        try:
+            return b"".join([young[w] for w in words])
+        except KeyError:
+            pass
+        self._learn(self.words.recall(words))
+        young = self.words.young
+        return b"".join([young[w] for w in words])
+
+    def _learn(self, words: set[str]) -> None:
+        """Looks a new word up by its core: in lower case if it is ASCII, without one stop or comma after a letter.
+
+        Both keep the ids: the normaliser lowers case letter by letter, and the pre-tokenizer splits there.
+        """
+        forms = []
+        for w in words:
+            end = w[-1:] if w[-1:] in self.ends and _latin(w[-2:-1]) else ""
+            core = w[:-1] if end else w
+            forms.append((w, core.lower() if core.isascii() else core, end))
+        self._encode(self.cores.recall([core for _, core, _ in forms]))
+        cores, known = self.cores.young, self.words.young
+        for w, core, end in forms:
+            known[w] = cores[core] + self.ends[end] if end else cores[core]
+
+    def _encode(self, new: set[str]) -> None:
+        cores, lines, line = self.cores.young, [], []
+        for w in new:
+            if self.bare and w.isascii() and w.isalpha():
+                cores[w] = np.array([x.id for x in self.model.tokenize(w)], np.uint32).tobytes()
+            elif not w or self.mark is None or self.MARK in w or "<" in w:
+                cores[w] = np.array(self._ids(w), np.uint32).tobytes()
+            else:
+                line.append(w)
+                if len(line) == self.LINE:
+                    lines.append(line)
+                    line = []
+        if line:
+            lines.append(line)
+        coded = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(own) for own in lines], add_special_tokens=False)
+        for own, code in zip(lines, coded, strict=True):
+            ids = np.array(code.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            raw, begins, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            cores.update(zip(own, (raw[a:b] for a, b in zip(begins, stops, strict=True)), strict=True))
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's own encoder of a tokenizer file, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +194,8 @@ def from_files(manifest: DataFrame, folder: str, rows: Callable[[rans.Reader], I
                 for found in rows(reader):
                     yield found.assign(part=part, seq=seq)
 
-    files = manifest.select("part", "seq", "path").repartition(F.col("path"))
+    spread = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    files = manifest.select("part", "seq", "path").repartition(spread)  # a number given is a number kept
     return files.mapInPandas(task, f"{schema}, part int, seq int")
 
 
