@@ -20,8 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in a batch that goes to Python: texts may be long, and a worker holds a batch a few times over.
+BATCH_ROWS = 1_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where the cluster names none."""
+    """The folder that the driver and all executors see; one of our own only where the cluster names none.
+
+    Every operator asks for it before it runs, so batches for Python are bounded here too.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
@@ -42,9 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def on_small(df: DataFrame, rows: int) -> DataFrame:
+def on_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the counted rows are few; else the planner's own choice."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

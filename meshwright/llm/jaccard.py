@@ -3,16 +3,17 @@
 A document is the set of 64-bit hashes of its word n-grams. Documents of the same set are one class, of
 which the least id is the representative; only classes are joined.
 
-Tiles. All sets are ordered by one order of n-grams, those of frequent hash buckets last. If two sets link,
-their prefixes of size - ceil(t * size) + 1 n-grams share one. All classes with an n-gram in their prefixes
+Tiles. Sizes fall into bands such that sets link only within a band or with the next. All sets are ordered
+by one order of n-grams, those of frequent hash buckets last. If two sets link, their prefixes of size -
+ceil(t * size) + 1 n-grams share one. All classes with an n-gram in their prefixes and a band in common
 belong to the tile of the least class among them, so classes that share many n-grams meet in few tiles. In
-a tile classes are sorted by size, and each meets the band of those not too large for it.
+a tile classes are sorted by size, and each meets the run of those not too large for it.
 
 Signatures. A class has a bitmap of the parities of hashed n-gram counts, about a bit an n-gram. The bits in
 which two bitmaps differ are at most the n-grams in which the sets differ, so counting them bounds the
 overlap from above. What passes is nearly always a link. A tile proposes only a spanning forest of the pairs
 that pass; sorted arrays of exactly those are intersected. Where a proposed pair is no link, its tile is
-met again without it, and with four times as many proposals between two parts as before, until no
+met again without it, and with many times as many proposals between two parts as before, until no
 proposal fails. So components are exact, and a group of near copies costs a row a member, not a pair.
 
 A tile above TILE classes is met in blocks. Its members are first compared with its least class; links of
@@ -39,11 +40,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import blank, cut, on_small
+from meshwright.llm.common import LABEL_ROWS, blank, cut, on_small
 from meshwright.llm.graph import components
 
-#: Buckets that count n-grams for the order; words that a worker remembers; classes that meet in one task.
-SKETCH_BITS, HELD, TILE = 21, 400_000, 8_192
+#: Words that a worker remembers; classes that meet in one task.
+HELD, TILE = 200_000, 8_192
+#: Buckets that count n-grams for their order: fine ones for the lowest quarter of hashes, from which most
+#: prefixes come, and coarse ones for the others.
+FINE_BITS, COARSE_BITS = 24, 20
+FINE = 1 << (FINE_BITS - 2)
+SKETCH = FINE + (1 << COARSE_BITS)
 CHUNK = 1 << 15
 #: Bits of the filter that picks the rows whose sets are fetched again.
 FILTER_BITS = 23
@@ -70,15 +76,16 @@ class Shingler:
             return np.zeros(0, np.uint64)
         known = self.known
         try:
-            ids = [known[w] for w in words]
+            h = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         except KeyError:
             if len(known) > HELD:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            ids = [known[w] for w in words]
-        h = np.array(ids, np.uint64)
+                    v = xxhash.xxh3_64_intdigest(w)
+                    known[w] = v - (1 << 64) if v >> 63 else v
+            h = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        h = h.view(np.uint64)
         n = min(self.words, len(h))
         grams = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
@@ -86,6 +93,25 @@ class Shingler:
         return np.unique(_mix(grams))
 
 
+def class_name(grams: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def buckets(grams: np.ndarray) -> np.ndarray:
+    fine = (grams >> np.uint64(64 - FINE_BITS)).astype(np.int64)
+    coarse = (grams >> np.uint64(64 - COARSE_BITS)).astype(np.int64) + FINE
+    return np.where(fine < FINE, fine, coarse)
+
+
+def frequency_ranks(counts: np.ndarray) -> np.ndarray:
+    """0 for buckets as full as chance makes them; then a rank for each doubling."""
+    ranks = np.zeros(len(counts), np.uint8)
+    for part in (slice(0, FINE), slice(FINE, None)):
+        usual = counts[part].mean() + 6 * np.sqrt(counts[part].mean()) + 4
+        ranks[part] = np.ceil(np.log2(np.maximum(counts[part] / usual, 1)))
+    return ranks
+
+
 def bitmap_bits(n: int) -> int:
     return max(256, 1 << (n - 1).bit_length())
 
@@ -134,36 +160,48 @@ def sign(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame, np.ndarray
     """
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, counts, held, size = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int32), [], 0
+        shingle, counts, held, size = Shingler(words), np.zeros(SKETCH, np.int32), [], 0
         for frame in frames:
             own = []
             for doc, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
                 grams = shingle(text)
-                name = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+                name = class_name(grams)
                 own.append((doc, name, len(grams), bitmap(grams).tobytes() if len(grams) else b""))
-                held.append(grams >> np.uint64(64 - SKETCH_BITS))
+                held.append(buckets(grams))
                 size += len(grams)
                 if size > 1 << 21:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                    counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
                     held, size = [], 0
             yield pd.DataFrame(own, columns=["_id", "class", "n", "bits"])
         if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.int32)
+            counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
         yield pd.DataFrame([(k, 0, -1, blob) for k, blob in _pieces(counts)], columns=["_id", "class", "n", "bits"])
 
     signed = cut(texts.mapInPandas(task, "_id long, class long, n long, bits binary"))
-    counts = _reduced(signed.where("n = -1").select(F.col("_id").alias("chunk"), F.col("bits").alias("blob")), 1 << SKETCH_BITS, np.int32, np.add)
-    # rank 0: as frequent as buckets are; then a rank for each doubling
-    usual = 4 * counts.mean() + 8
-    ranks = np.ceil(np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
+    counts = _reduced(signed.where("n = -1").select(F.col("_id").alias("chunk"), F.col("bits").alias("blob")), SKETCH, np.int32, np.add)
+    ranks = frequency_ranks(counts)
     rows = signed.where("n >= 0")
     classes = rows.where("n > 0").groupBy("class").agg(F.min(F.when(F.col("_id") != NO_ID, F.col("_id"))).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     return rows.select("_id", "class", "n"), cut(classes.withColumn("rep", F.coalesce("rep", F.lit(NO_ID)))), ranks
 
 
+def band_starts(share: tuple[int, int]) -> np.ndarray:
+    """Least sizes of the bands: sets link only within a band or with the next one."""
+    num, den = share
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(starts[-1] * den // num + 1)
+    return np.array(starts, np.int64)
+
+
 def prefix_postings(texts: DataFrame, words: int, share: tuple[int, int], ranks: Broadcast) -> DataFrame:
-    """(gram, class) for the prefix of every set, each class once a task."""
+    """(gram, class) for the prefix of every set, each class once a task; gram is of an n-gram and a size band.
+
+    A set has the n-grams of its prefix in its own band. In the next band, where partners are at least as
+    large as that begins, a shorter prefix will do.
+    """
     num, den = share
+    starts = band_starts(share)
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, seen = Shingler(words), set()
@@ -172,20 +210,25 @@ def prefix_postings(texts: DataFrame, words: int, share: tuple[int, int], ranks:
             out, names, held = [], [], 0
             for text in frame["_text"].tolist():
                 grams = shingle(text)
-                if not len(grams):
+                n = len(grams)
+                if not n:
                     continue
-                name = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+                name = class_name(grams)
                 if name in seen:
                     continue
                 if len(seen) > HELD:
                     seen.clear()
                 seen.add(name)
-                size = len(grams) - -(-num * len(grams) // den) + 1
-                rank = order[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                size = n - -(-num * n // den) + 1
+                rank = order[buckets(grams)]
                 first = grams[np.argsort(rank, kind="stable")[:size]] if rank.any() else grams[:size]
-                out.append(first.view(np.int64))
-                names.append(np.full(size, name, np.int64))
-                held += size
+                band = int(np.searchsorted(starts, n, side="right")) - 1
+                ahead = max(0, n - -(-num * int(starts[band + 1]) // den) + 1)
+                salts = [np.uint64(b * int(_P) & (1 << 64) - 1) for b in (band, band + 1)]
+                keys = np.concatenate([first + salts[0], first[:ahead] + salts[1]])
+                out.append(_mix(keys).view(np.int64))
+                names.append(np.full(len(keys), name, np.int64))
+                held += len(keys)
                 if held > 500_000:
                     yield pd.DataFrame({"gram": np.concatenate(out), "class": np.concatenate(names)})
                     out, names, held = [], [], 0
@@ -196,10 +239,15 @@ def prefix_postings(texts: DataFrame, words: int, share: tuple[int, int], ranks:
 
 
 class Parts:
-    """Union-find over the members of a tile."""
+    """Which members of a tile are known to hang together."""
 
-    def __init__(self, labels: np.ndarray) -> None:
-        self.of = np.unique(labels, return_inverse=True)[1]
+    def __init__(self, names: np.ndarray, linked: list[tuple[int, int]], near: np.ndarray) -> None:
+        self.of = np.arange(len(names))
+        if near.any():
+            self.of[near] = int(np.flatnonzero(near)[0])  # all of them link with the tile's least class
+        place = {int(x): i for i, x in enumerate(names)} if linked else {}
+        for x, y in linked:
+            self.join(place[x], place[y])
 
     def join(self, i: int, j: int) -> None:
         a, b = self.of[i], self.of[j]
@@ -207,14 +255,15 @@ class Parts:
             self.of[self.of == b] = a
 
 
-def propose(n: np.ndarray, bits: list[np.ndarray], labels: np.ndarray, share: tuple[int, int], failed: set[tuple[int, int]], names: np.ndarray, budget: int, near: np.ndarray) -> list[tuple[int, int]]:
+def propose(n: np.ndarray, bits: list[np.ndarray], linked: list[tuple[int, int]], share: tuple[int, int], failed: set[tuple[int, int]], names: np.ndarray, budget: int, near: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a tile, as class names, whose bitmaps allow a link.
 
     With a budget of 1 they are a forest that joins parts; with more, up to that many between two parts.
-    near: members that need not meet each other. Members come sorted by n.
+    linked, failed: pairs of names that are known to. near: members that link with a class of their own, and
+    need not meet each other. Members come sorted by n.
     """
     num, den = share
-    parts = Parts(labels)
+    parts = Parts(names, linked, near)
     sizes = np.array([len(b) for b in bits])
     levels = {}
     for size in np.unique(sizes):
@@ -261,80 +310,106 @@ def propose(n: np.ndarray, bits: list[np.ndarray], labels: np.ndarray, share: tu
     return out
 
 
+def _pair_differs(a: bytes, b: bytes) -> int:
+    """Differing bits of two bitmaps; the longer one is folded to the other's size."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 4 * len(b)
+    while size >= 8 * len(a):
+        y = (y >> size) ^ (y & ((1 << size) - 1))
+        size //= 2
+    return (x ^ y).bit_count()
+
+
 def meet_tiles(members: DataFrame, share: tuple[int, int], budget: int) -> DataFrame:
-    """(tile, x, y): proposals of each tile. members: (tile, class, n, bits, label, near, x, y), where rows
-    with x and y name pairs that are known to fail, and have no class."""
+    """(x, y): proposals of all tiles. members: (tile, n, class, other, bits, near); rows of n -1 name pairs, as class
+    and other, that are known to fail, and rows of n -2 pairs that are known to link."""
+    num, den = share
+
+    def met(n: np.ndarray, names: np.ndarray, others: np.ndarray, bits: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+        links, known = (int(k) for k in np.searchsorted(n, (-1, 0)))  # these rows come first
+        failed = {(int(x), int(y)) for x, y in zip(names[links:known], others[links:known], strict=True)}
+        linked = list(zip(names[:links].tolist(), others[:links].tolist(), strict=True))
+        n, names, bits, near = n[known:], names[known:], bits[known:], near[known:]
+        if len(n) < 2:
+            return []
+        if len(n) == 2 and not known:
+            a, b = int(names[0]), int(names[1])
+            p, q = int(n[0]), int(n[1])
+            if den * p < num * q or (near[0] and near[1]) or (num + den) * _pair_differs(bits[0], bits[1]) > (den - num) * (p + q):
+                return []
+            return [(a, b) if a < b else (b, a)]
+        maps = [np.frombuffer(b, np.uint64) for b in bits]
+        return propose(n, maps, linked, share, failed, names, budget, near)
+
+    def tiles_of(frame: pd.DataFrame) -> pd.DataFrame:
+        tiles = frame["tile"].to_numpy()
+        n, names, others = (frame[c].to_numpy(np.int64) for c in ("n", "class", "other"))
+        bits, near = frame["bits"].to_numpy(), frame["near"].to_numpy(bool)
+        edges = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
+        out = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(tiles)], strict=True):
+            out += met(n[a:b], names[a:b], others[a:b], bits[a:b], near[a:b])
+        return pd.DataFrame(out, columns=["x", "y"])
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        rest = None
+        for frame in frames:  # sorted by tile; the last tile of a batch may go on in the next
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            others = np.flatnonzero(frame["tile"].to_numpy() != frame["tile"].iloc[-1])
+            whole = int(others[-1]) + 1 if len(others) else 0
+            if whole:
+                yield tiles_of(frame.iloc[:whole])
+            rest = frame.iloc[whole:]
+        if rest is not None and len(rest):
+            yield tiles_of(rest)
 
-        def met(frame: pd.DataFrame) -> list[tuple[str, int, int]]:
-            fails = frame["x"].notna()
-            failed = set(zip(frame.loc[fails, "x"].astype(np.int64), frame.loc[fails, "y"].astype(np.int64), strict=True))
-            own = frame[~fails].drop_duplicates("class").sort_values(["n", "class"])
-            if len(own) < 2:
-                return []
-            bits = [np.frombuffer(b, np.uint64) for b in own["bits"]]
-            found = propose(own["n"].to_numpy(np.int64), bits, own["label"].to_numpy(np.int64), share, failed, own["class"].to_numpy(np.int64), budget, own["near"].to_numpy(bool))
-            tile = frame["tile"].iloc[0]
-            return [(tile, x, y) for x, y in found]
-
-        def finish() -> Iterator[pd.DataFrame]:
-            if held:
-                whole = pd.concat(held, ignore_index=True)
-                edges = np.flatnonzero(whole["tile"].to_numpy()[1:] != whole["tile"].to_numpy()[:-1]) + 1
-                out = []
-                for a, b in zip([0, *edges], [*edges, len(whole)], strict=True):
-                    out += met(whole.iloc[a:b])
-                held.clear()
-                yield pd.DataFrame(out, columns=["tile", "x", "y"])
-
-        for frame in frames:  # sorted by tile; a tile may go on in the next batch
-            last = frame["tile"].iloc[-1] if len(frame) else None
-            ready = frame["tile"] != last
-            if ready.any() or (held and held[-1]["tile"].iloc[0] != last):
-                held.append(frame[ready])
-                yield from finish()
-            held.append(frame[~ready])
-        yield from finish()
-
-    rows = members.repartition("tile").sortWithinPartitions("tile")
-    return rows.mapInPandas(task, "tile string, x long, y long").dropDuplicates(["x", "y"])
+    rows = members.select("tile", "n", "class", "other", "bits", "near").repartition("tile").sortWithinPartitions("tile", "n", "class")
+    return rows.mapInPandas(task, "x long, y long").distinct()
 
 
 def _sets(texts: DataFrame, words: int, need: DataFrame) -> DataFrame:
-    """(class, grams: binary of the sorted set) of the needed (class, rep), from the texts.
+    """(rep, class, grams: binary of the sorted set) of the needed representatives' rows, from the texts.
 
-    A filter of fixed size over the representatives' ids picks the rows; what it lets through by chance goes in the join.
+    Few representatives are broadcast after a count. Many set a filter of fixed size over their ids, and what
+    that lets through by chance falls to the caller's join by class.
     """
 
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = np.zeros(1 << FILTER_BITS, bool)
+    def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(words)
+        field = np.unpackbits(shared.value).view(bool) if shared else None
         for frame in frames:
-            field[(_mix(frame["rep"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        yield pd.DataFrame([*_pieces(field)], columns=["chunk", "blob"])
-
-    field = _reduced(need.select("rep").mapInPandas(mark, "chunk long, blob binary"), 1 << FILTER_BITS, bool, np.logical_or)
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(field))
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, field = Shingler(words), np.unpackbits(shared.value).view(bool)
-        for frame in frames:
-            hits = field[(_mix(frame["_id"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+            if field is not None:
+                frame = frame[field[_filter_slots(frame["_id"].to_numpy(np.int64))]]
             out, size = [], 0
-            for doc, text in zip(frame.loc[hits, "_id"].tolist(), frame.loc[hits, "_text"].tolist(), strict=True):
+            for doc, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
                 grams = shingle(text)
                 if len(grams):
-                    name = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    out.append((doc, name, grams.tobytes()))
+                    out.append((doc, class_name(grams), grams.tobytes()))
                     size += len(grams)
                 if size > 1 << 20:
                     yield pd.DataFrame(out, columns=["rep", "class", "grams"])
                     out, size = [], 0
             yield pd.DataFrame(out, columns=["rep", "class", "grams"])
 
-    fetched = texts.mapInPandas(task, "rep long, class long, grams binary")
-    return fetched.join(need, ["class", "rep"], "left_semi").dropDuplicates(["class"]).select("class", "grams")
+    shared = None
+    if need.count() <= LABEL_ROWS:
+        texts = texts.join(F.broadcast(need.select(F.col("rep").alias("_id")).distinct()), "_id", "left_semi")
+    else:
+
+        def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            field = np.zeros(1 << FILTER_BITS, bool)
+            for frame in frames:
+                field[_filter_slots(frame["rep"].to_numpy(np.int64))] = True
+            yield pd.DataFrame([*_pieces(field)], columns=["chunk", "blob"])
+
+        field = _reduced(need.select("rep").mapInPandas(mark, "chunk long, blob binary"), 1 << FILTER_BITS, bool, np.logical_or)
+        shared = texts.sparkSession.sparkContext.broadcast(np.packbits(field))
+    return texts.select("_id", "_text").mapInPandas(sets_of, "rep long, class long, grams binary")
+
+
+def _filter_slots(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 #: Pairs of one class that are intersected in one task on average.
@@ -342,18 +417,22 @@ FANOUT = 2_000
 
 
 def verify(texts: DataFrame, words: int, share: tuple[int, int], classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`pairs` (x, y, ...) with linked: whether their sets reach the share. y's set travels to x, whose own
-    set is copied once for every FANOUT of its pairs."""
+    """(x, y, linked) for distinct pairs of classes: whether their sets reach the share.
+
+    A set goes from its text to where it is needed in one shuffle: y's to x's, and x's own once for every
+    FANOUT of its pairs.
+    """
     num, den = share
-    ends = pairs.select(F.col("x").alias("class")).unionByName(pairs.select(F.col("y").alias("class"))).distinct()
-    need = cut(ends.join(classes.select("class", "rep"), "class"))
-    sets = cut(_sets(texts, words, need))
+    pairs = pairs.select("x", "y").distinct()
     fans = pairs.groupBy("x").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("fans"))
     keyed = pairs.join(fans, "x").withColumn("fan", F.pmod(F.xxhash64("y"), F.col("fans")).cast("int"))
-    of_y = keyed.join(sets.withColumnRenamed("class", "y"), "y").select("x", "fan", F.col("y"), "grams")
-    of_x = fans.join(sets.withColumnRenamed("class", "x"), "x").select(
-        "x", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("long").alias("y"), "grams"
-    )
+    # ids travel as text: a column of integers with nulls would come as floating point
+    to_x = keyed.select(F.col("y").alias("class"), "x", "fan", F.col("y").cast("string").alias("y"))
+    own = fans.select(F.col("x").alias("class"), "x", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("string").alias("y"))
+    errands = cut(to_x.unionByName(own))
+    need = cut(errands.select("class").distinct().join(classes.select("class", "rep"), "class"))
+    small = errands.count() <= LABEL_ROWS
+    sent = _sets(texts, words, need).join(F.broadcast(errands) if small else errands, "class")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, own = None, np.zeros(0, np.uint64)
@@ -361,7 +440,7 @@ def verify(texts: DataFrame, words: int, share: tuple[int, int], classes: DataFr
             out = []
             for x, fan, y, blob in zip(frame["x"].tolist(), frame["fan"].tolist(), frame["y"].tolist(), frame["grams"].tolist(), strict=True):
                 grams = np.frombuffer(blob, np.uint64)
-                if y is None or y != y:
+                if y is None:
                     name, own = (x, fan), grams
                 elif name == (x, fan):
                     at = np.searchsorted(own, grams)
@@ -369,14 +448,13 @@ def verify(texts: DataFrame, words: int, share: tuple[int, int], classes: DataFr
                     out.append((x, int(y), den * both >= num * (len(own) + len(grams) - both)))
             yield pd.DataFrame(out, columns=["x", "y", "linked"])
 
-    rows = of_x.unionByName(of_y).withColumn("role", F.col("y").isNotNull())
-    # ids travel as text: a column of integers with nulls would come as floating point
-    rows = rows.withColumn("y", F.col("y").cast("string")).repartition("x", "fan").sortWithinPartitions("x", "fan", "role")
-    return rows.select("x", "fan", "y", "grams").mapInPandas(task, "x long, y long, linked boolean")
+    rows = sent.select("x", "fan", "y", "grams").repartition("x", "fan").sortWithinPartitions("x", "fan", F.col("y").asc_nulls_first())
+    # rows that repeat a representative's id and text bring its set twice
+    return rows.mapInPandas(task, "x long, y long, linked boolean").dropDuplicates(["x", "y"])
 
 
-def _blocks(members: DataFrame, links: DataFrame, many: DataFrame) -> DataFrame:
-    """The members of tiles above TILE classes, dealt to tiles of blocks: (tile, class, n, bits, near).
+def _blocks(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of tiles above TILE classes, dealt to tiles of blocks: (tile, class, near).
 
     links: (tile, class) of members that link with the tile's least class. They meet only the others.
     """
@@ -391,7 +469,7 @@ def _blocks(members: DataFrame, links: DataFrame, many: DataFrame) -> DataFrame:
     with_near = F.transform(F.sequence(F.lit(1), F.greatest(F.col("near_blocks"), F.lit(1))), lambda o: name(F.col("block").cast("string"), F.concat(F.lit("n"), (o - 1).cast("string"))))
     near = F.transform(others, lambda o: name((o - 1).cast("string"), F.concat(F.lit("n"), F.col("block").cast("string"))))
     places = F.when(F.col("near"), near).otherwise(F.concat(far, F.when(F.col("near_blocks") > 0, with_near).otherwise(F.array().cast("array<string>"))))
-    return dealt.where("far_blocks > 0").withColumn("tile", F.explode(places)).select("tile", "class", "n", "bits", "near")
+    return dealt.where("far_blocks > 0").withColumn("tile", F.explode(places)).select("tile", "class", "near")
 
 
 def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
@@ -401,50 +479,46 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, words:
     # the least class of an n-gram leads its tile; a running first keeps no rows
     least = F.first("class").over(Window.partitionBy("gram").orderBy("class").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     tiles = cut(postings.withColumn("lead", least).where("lead <> class").select("lead", "class").distinct())
-    sizes = tiles.groupBy("lead").agg((F.count("*") + 1).alias("size"))
     rows = tiles.unionByName(tiles.select("lead", F.col("lead").alias("class")).distinct())
-    members = rows.join(classes.select("class", "n", "bits"), "class").withColumn("tile", F.col("lead").cast("string"))
-    large = cut(sizes.where(F.col("size") > TILE).select("lead"))
-    none = spark.createDataFrame([], "a long, b long")
-    found = none
+    members = rows.select("lead", F.col("lead").cast("string").alias("tile"), "class", F.lit(False).alias("near"))
+    large = cut(tiles.groupBy("lead").agg((F.count("*") + 1).alias("size")).where(F.col("size") > TILE).select("lead"))
+    found = spark.createDataFrame([], "a long, b long")
     if n_large := large.count():
         hinted = on_small(large, n_large)
-        big = cut(members.join(hinted, "lead", "left_semi"))
+        big = cut(members.join(hinted, "lead", "left_semi").join(classes.select("class", "n", "bits"), "class"))
         lead = big.where("class = lead").select("lead", F.col("n").alias("lead_n"), F.col("bits").alias("lead_bits"))
         differing = _bits_differ(big.join(on_small(lead, n_large), "lead").where("class <> lead"), share)
         stars = cut(verify(texts, words, share, classes, differing.select(F.col("lead").alias("x"), F.col("class").alias("y"))))
         linked = cut(stars.where("linked").select(F.col("x").cast("string").alias("tile"), F.col("y").alias("class"), F.col("x").alias("a"), F.col("y").alias("b")))
         found = linked.select("a", "b")
         itself = big.where("class = lead").select("tile", "class")
-        blocks = _blocks(big.select("tile", "class", "n", "bits"), linked.select("tile", "class").unionByName(itself), large)
-        members = members.join(hinted, "lead", "left_anti").select("tile", "class", "n", "bits", F.lit(False).alias("near")).unionByName(blocks)
-    else:
-        members = members.select("tile", "class", "n", "bits", F.lit(False).alias("near"))
-    members = cut(members)
-    nulls = [F.lit(None).cast("long").alias(c) for c in ("x", "y")]
-    active, labels, fails, budget = members, components(found) if n_large else None, None, 1
+        blocks = _blocks(big.select("tile", "class"), linked.select("tile", "class").unionByName(itself))
+        members = members.join(hinted, "lead", "left_anti").drop("lead").unionByName(blocks)
+    members = cut(members.select("tile", "class", "near"))
+
+    def in_tiles(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """`pairs` once for each tile that has both ends."""
+        at_x = pairs.join(own.select("tile", F.col("class").alias("x")), "x")
+        return at_x.join(own.select("tile", F.col("class").alias("y")), ["tile", "y"])
+
+    active, known, budget = members, None, 1
     while True:
-        if labels is None:
-            now = active.withColumn("label", F.col("class"))
-        else:
-            now = active.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-        now = now.select("tile", "class", "n", "bits", "label", "near", *nulls)
-        if fails is not None:
-            blanks = [F.lit(None).cast(t).alias(c) for c, t in (("class", "long"), ("n", "long"), ("bits", "binary"), ("label", "long"), ("near", "boolean"))]
-            now = now.unionByName(fails.join(active.select("tile").distinct(), "tile", "left_semi").select("tile", *blanks, "x", "y"))
-        proposed = cut(meet_tiles(now, share, budget))
-        checked = cut(verify(texts, words, share, classes, proposed).join(proposed, ["x", "y"]))
-        found = cut(found.unionByName(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        wrong = checked.where("not linked").select("tile", "x", "y")
-        if not wrong.count():
+        met = on_small(active, active.count(), LABEL_ROWS).join(classes.select("class", "n", "bits"), "class")
+        now = met.select("tile", "n", "class", F.col("class").alias("other"), "bits", "near")
+        if known is not None:
+            kind = F.when(F.col("linked"), -2).otherwise(-1).cast("long")
+            told = in_tiles(known, active).select("tile", kind.alias("n"), F.col("x").alias("class"), F.col("y").alias("other"), F.lit(b"").alias("bits"), F.lit(False).alias("near"))
+            now = now.unionByName(told)
+        checked = cut(verify(texts, words, share, classes, cut(meet_tiles(now, share, budget))))
+        found = found.unionByName(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        wrong = checked.where("not linked").select("x", "y")
+        if not (n_wrong := wrong.count()):
             return found
-        # a pair that failed in one tile fails in each that both are in
-        both = members.select("tile", F.col("class").alias("x"))
-        everywhere = wrong.select("x", "y").join(both, "x").join(members.select("tile", F.col("class").alias("y")), ["tile", "y"]).select("tile", "x", "y")
-        fails = cut(everywhere if fails is None else fails.unionByName(everywhere))
-        active = cut(members.join(fails.select("tile").distinct(), "tile", "left_semi"))
-        labels = cut(components(found))
-        budget *= 4
+        known = checked if known is None else known.unionByName(checked)
+        # only tiles with a pair that failed just now can have more to propose
+        again = cut(in_tiles(on_small(wrong, n_wrong, LABEL_ROWS), members).select("tile").distinct())
+        active = cut(members.join(on_small(again, again.count(), LABEL_ROWS), "tile", "left_semi"))
+        budget *= 32
 
 
 def _bits_differ(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
