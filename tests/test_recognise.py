@@ -1,6 +1,7 @@
 import json
 
 from meshwright.plans import recognise
+from meshwright.sinks.annotation import sheets, write_annotation
 from meshwright.sources import dxf
 from meshwright.streaming.arrivals import on_arrival
 from tests.test_sources_sinks import pairs
@@ -32,6 +33,8 @@ def test_network(spark, tmp_path):
     events = {r.kind: r.state for r in found.events.collect()}
     assert events["x_connected"] == "connected" and events["endpoint_connection"] == "connected"
     assert [(r.source, r.target) for r in found.edges.collect()] == [("EQ00001", "EQ00002")]
+    write_annotation(tmp_path / "a.xlsx", found, "d")
+    assert {k: len(v) for k, v in sheets(found, "d").items()}["missed"] == 31
     document = json.loads(recognise.documents(found).first().document)
     assert document["truth_used_during_recognition"] is False
     assert {"equipment", "terminals", "connectivity_nodes", "crossings", "device_edges"} <= set(document)
