@@ -95,10 +95,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     kept = index.admit(docs, id_col, text_col).where("kept").select(
         F.col(id_col).alias("_id"), F.col("_text_hash").alias("_hash")
     )
-    own = docs.columns
-    rows = docs.withColumns({"_id": F.col(id_col), "_hash": F.xxhash64(text_col)})
+    # the rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
     same = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
     matched = rows.alias("a").join(
         kept.alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._hash") == F.col("b._hash")), "left_semi"
     )
-    return matched.withColumn("_same", same).where("_same = 1").select(*own)
+    return matched.withColumn("_same", same).where("_same = 1").select("_row.*")

@@ -161,6 +161,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     Rows that share an id take the most copies decided for it.
     """
     copies = mix_sources(docs, id_col=id_col, **settings).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    joined = rows.join(copies, F.col("_id").eqNullSafe(F.col("_mix_id"))).where("_copies > 0")
     repeats = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
-    return joined.where("_copies > 0").withColumn("_repeat", repeats).select(*docs.columns)
+    return joined.select("_row", repeats.alias("_repeat")).select("_row.*")

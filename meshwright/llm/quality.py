@@ -34,7 +34,7 @@ SLOTS = 1 << 19
 #: Labelled rows for the descent and the calibration.
 SAMPLE = 6_000
 EPOCHS, COST, SMOOTHING = 12, 0.5, 1.0
-HELD = 300_000
+HELD = 200_000
 CHUNK = 1 << 14
 _SIGNS = re.compile(r"(.)\1+", re.S)
 
@@ -140,7 +140,7 @@ def sigmoid_fit(margins: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    labelled = with_labels(docs, labels, label_col, id_col).where((F.col("_fold") > 0) & F.col("_label").isin(0, 1))
+    labelled = with_labels(docs.select(id_col, text_col), labels, label_col, id_col).where((F.col("_fold") > 0) & F.col("_label").isin(0, 1))
     order = F.xxhash64(F.col(id_col).cast("string"))
     chosen = labelled.select(order.alias("_order")).orderBy("_order").limit(SAMPLE).agg(F.max("_order"), F.count("*")).first()
     last = chosen[0] if chosen[0] is not None else 0

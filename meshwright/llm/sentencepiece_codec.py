@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import blank
+from meshwright.llm.common import blank, shared_dir
 
 #: U+2581, which stands for a space in pieces, and the replacement for bytes that are not UTF-8.
 SPACE_MARK, BAD = "▁".encode(), "�".encode()
@@ -262,6 +262,7 @@ def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     ids: little-endian unsigned 32-bit integers.
     """
 
+    shared_dir(docs.sparkSession)  # bounds the batches
     columns = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", *(["ids"] if with_ids else [])]
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
