@@ -12,6 +12,7 @@ target never split a document. An empty table makes no files.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,13 +29,19 @@ from meshwright.llm.common import blank, cut, on_small, scratch
 #: Ids after which a file is closed.
 FILE_TOKENS = 4 << 20
 #: Distinct words in a generation of what a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: Documents that are tokenised together.
+DOCS = 128
 NO_ID = -(1 << 63)
 
 
-def _latin(c: str) -> bool:
-    """A Latin letter that stays one letter in lower case (a dotted capital I does not)."""
-    return c.isalpha() and c < "\u0250" and len(c.lower()) == 1
+#: How byte-level tokenizers write bytes as letters: printable ones as themselves, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _latin(word: str) -> bool:
+    return word.isalpha() and max(word) < "\u0250"
 
 
 class Remembered:
@@ -45,19 +52,37 @@ class Remembered:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def recall(self, keys: list[str]) -> set[str]:
-        """The keys that are in neither generation; the others are in the young one afterwards."""
+    def turn(self) -> dict[str, bytes]:
+        """Begins a generation if the young one is full; the young one."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = set()
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    missing.add(k)
-        return missing
+        return self.young
+
+    def recall(self, unknown: set[str]) -> set[str]:
+        """Of keys that the young generation lacks, those that the old one lacks too; the others become young."""
+        old = self.old
+        found = {k: old[k] for k in unknown if k in old}
+        self.young.update(found)
+        return unknown.difference(found)
+
+
+#: A stop or comma at a word's end that follows another sign, with which it may be one token.
+SIGN_RUN = re.compile(r"[.,](?=[ \n])(?<=[^\w \n][.,]|_[.,])")
+
+
+def plain_words(text: str) -> list[str]:
+    """Words whose ids in order are the text's: in lower case, with stops and commas as words of their own.
+
+    The normaliser lowers case letter by letter and the pre-tokenizer splits a sign from the letter or digit
+    before it, so both keep the ids. Texts where they might not (letters whose lower case depends on more,
+    what may be a special token, runs of signs) are left as they are, and only split at spaces.
+    """
+    if not ("<" in text or "\u0130" in text or "\u03a3" in text):
+        text = text.lower()
+        if not SIGN_RUN.search(text):
+            for end in ".,":
+                text = text.replace(end + " ", f" {end} ").replace(end + "\n", f" {end} ")
+    return text.replace("\n", " ").split(" ")
 
 
 class WordEncoder:
@@ -77,47 +102,31 @@ class WordEncoder:
         self.model = self.tokenizer.model
         ids = self._ids(self.MARK)
         self.mark = ids[0] if len(ids) == 1 else None
-        self.words, self.cores = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS)
-        self.ends = {end: np.array(self._ids(end), np.uint32).tobytes() for end in ".,"}
-        #: Whether the model alone gives the ids of a word of lower-case ASCII letters.
-        self.bare = all(self._ids(w) == [x.id for x in self.model.tokenize(w)] for w in ("a", "the", "tokenizer", "xqzjkvw"))
+        self.words = Remembered(CACHE_WORDS)
+        #: Whether the model alone gives the ids of a lower-case word of Latin letters.
+        self.bare = all(self._ids(w) == self._model_ids(w) for w in ("a", "the", "tokenizer", "xqzjkvw", "éèü", "größeçñ", "æœøłž"))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        young = self.words.young
-        try:
-            return b"".join([young[w] for w in words])
-        except KeyError:
-            pass
-        self._learn(self.words.recall(words))
-        young = self.words.young
-        return b"".join([young[w] for w in words])
-
-    def _learn(self, words: set[str]) -> None:
-        """Looks a new word up by its core: in lower case if it is ASCII, without one stop or comma after a letter.
-
-        Both keep the ids: the normaliser lowers case letter by letter, and the pre-tokenizer splits there.
-        """
-        forms = []
-        for w in words:
-            end = w[-1:] if w[-1:] in self.ends and _latin(w[-2:-1]) else ""
-            core = w[:-1] if end else w
-            forms.append((w, core.lower() if core.isascii() else core, end))
-        self._encode(self.cores.recall([core for _, core, _ in forms]))
-        cores, known = self.cores.young, self.words.young
-        for w, core, end in forms:
-            known[w] = cores[core] + self.ends[end] if end else cores[core]
-
-    def _encode(self, new: set[str]) -> None:
-        cores, lines, line = self.cores.young, [], []
+    def _model_ids(self, word: str) -> list[int]:
+        """Of one word, past the normaliser and the pre-tokenizer, which leave such words whole."""
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [x.id for x in self.model.tokenize(raw)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known = self.words.turn()
+        split = [plain_words(text) for text in texts]
+        self._learn(self.words.recall(set().union(*split).difference(known)))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _learn(self, new: set[str]) -> None:
+        known, lines, line = self.words.young, [], []
         for w in new:
-            if self.bare and w.isascii() and w.isalpha():
-                cores[w] = np.array([x.id for x in self.model.tokenize(w)], np.uint32).tobytes()
+            if self.bare and w.islower() and _latin(w):
+                known[w] = np.array(self._model_ids(w), np.uint32).tobytes()
             elif not w or self.mark is None or self.MARK in w or "<" in w:
-                cores[w] = np.array(self._ids(w), np.uint32).tobytes()
+                known[w] = np.array(self._ids(w), np.uint32).tobytes()
             else:
                 line.append(w)
                 if len(line) == self.LINE:
@@ -130,7 +139,7 @@ class WordEncoder:
             ids = np.array(code.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark)
             raw, begins, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            cores.update(zip(own, (raw[a:b] for a, b in zip(begins, stops, strict=True)), strict=True))
+            known.update(zip(own, (raw[a:b] for a, b in zip(begins, stops, strict=True)), strict=True))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -166,12 +175,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
             return row
 
         for frame in frames:
-            for doc, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
-                blobs.append(encode(text) + end)
-                ids.append(doc)
-                size += len(blobs[-1])
-                if size >= 4 * file_tokens:
-                    yield close()
+            docs, texts = frame["_id"].tolist(), frame["_text"].tolist()
+            for at in range(0, len(docs), DOCS):
+                for doc, blob in zip(docs[at : at + DOCS], encode(texts[at : at + DOCS]), strict=True):
+                    blobs.append(blob + end)
+                    ids.append(doc)
+                    size += len(blobs[-1])
+                    if size >= 4 * file_tokens:
+                        yield close()
         if ids:
             yield close()
 
