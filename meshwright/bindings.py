@@ -755,7 +755,7 @@ def tag_counts(spark, sf_dir):
 @query(f"""WITH {TAG_SQL} SELECT a.page_id, b.page_id AS template, round(CASE WHEN sum(greatest(a.n, b.n)) > 0 THEN sum(least(a.n, b.n)) / sum(greatest(a.n, b.n)) ELSE 1 END, 9) AS similarity
     FROM ct a JOIN ct b ON a.tag = b.tag AND b.page_id % 50 = 0 GROUP BY ALL""")
 def multiset_jaccard(spark, sf_dir):
-    own = _tag_counts(spark, sf_dir)
+    own = am.cut(_tag_counts(spark, sf_dir).select("page_id", "counts"))  # each page is searched once
     templates = own.where("page_id % 50 = 0").select(F.col("page_id").alias("template"), F.col("counts").alias("_t"))
     return own.join(templates, F.lit(True)).select("page_id", "template", F.round(g.multiset_similarity(F.col("counts"), F.col("_t")), 9).alias("similarity"))
 
