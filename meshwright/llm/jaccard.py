@@ -9,7 +9,7 @@ ceil(t * size) + 1 n-grams share one. All classes with an n-gram in their prefix
 belong to the tile of the least class among them, so classes that share many n-grams meet in few tiles. In
 a tile classes are sorted by size, and each meets the run of those not too large for it.
 
-Signatures. A class has a bitmap of the parities of hashed n-gram counts, about a bit an n-gram. The bits in
+Signatures. A class has a bitmap of the parities of hashed n-gram counts, some bits an n-gram. The bits in
 which two bitmaps differ are at most the n-grams in which the sets differ, so counting them bounds the
 overlap from above. What passes is nearly always a link. A tile proposes only a spanning forest of the pairs
 that pass; sorted arrays of exactly those are intersected. Where a proposed pair is no link, its tile is
@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import LABEL_ROWS, blank, cut, on_small
+from meshwright.llm.common import LABEL_ROWS, blank, cut, on_small, packed
 from meshwright.llm.graph import components
 
 #: Words that a worker remembers; classes that meet in one task.
@@ -113,7 +113,8 @@ def frequency_ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    return max(256, 1 << (n - 1).bit_length())
+    """Four to eight bits an n-gram: where few n-grams differ, they rarely cancel, and the bound is nearly exact."""
+    return max(256, 1 << (4 * n - 1).bit_length())
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
@@ -290,23 +291,28 @@ def propose(n: np.ndarray, bits: list[np.ndarray], linked: list[tuple[int, int]]
             continue
         rows = rows[open_]
         own = folded(bits[i], int(sizes[i]))
+        hits, by = [], []
         for lo in range(0, len(rows), 4096):
             some = rows[lo : lo + 4096]
             differ = np.bitwise_count(matrix[begin + open_[lo : lo + 4096]] ^ own).sum(1, dtype=np.int64)
             # (n_i + n_j - differing) / 2 must reach t (n_i + n_j) / (1 + t)
-            for j in some[(num + den) * differ <= (den - num) * (n[i] + n[some])].tolist():
-                a, b = int(names[i]), int(names[j])
-                pair = (a, b) if a < b else (b, a)
-                if parts.of[i] == parts.of[j] or pair in failed:
+            allowed = (num + den) * differ <= (den - num) * (n[i] + n[some])
+            hits.append(some[allowed])
+            by.append(differ[allowed])
+        hits, by = np.concatenate(hits), np.concatenate(by)
+        for j in hits[np.argsort(by, kind="stable")].tolist():
+            a, b = int(names[i]), int(names[j])
+            pair = (a, b) if a < b else (b, a)
+            if parts.of[i] == parts.of[j] or pair in failed:
+                continue
+            if budget == 1:
+                parts.join(i, j)
+            else:
+                between = tuple(sorted((int(parts.of[i]), int(parts.of[j]))))
+                if used.get(between, 0) >= budget:
                     continue
-                if budget == 1:
-                    parts.join(i, j)
-                else:
-                    between = tuple(sorted((int(parts.of[i]), int(parts.of[j]))))
-                    if used.get(between, 0) >= budget:
-                        continue
-                    used[between] = used.get(between, 0) + 1
-                out.append(pair)
+                used[between] = used.get(between, 0) + 1
+            out.append(pair)
     return out
 
 
@@ -423,16 +429,16 @@ def verify(texts: DataFrame, words: int, share: tuple[int, int], classes: DataFr
     FANOUT of its pairs.
     """
     num, den = share
-    pairs = pairs.select("x", "y").distinct()
+    pairs = packed(pairs.select("x", "y").distinct())[0]
     fans = pairs.groupBy("x").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("fans"))
     keyed = pairs.join(fans, "x").withColumn("fan", F.pmod(F.xxhash64("y"), F.col("fans")).cast("int"))
     # ids travel as text: a column of integers with nulls would come as floating point
     to_x = keyed.select(F.col("y").alias("class"), "x", "fan", F.col("y").cast("string").alias("y"))
     own = fans.select(F.col("x").alias("class"), "x", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("string").alias("y"))
-    errands = cut(to_x.unionByName(own))
-    need = cut(errands.select("class").distinct().join(classes.select("class", "rep"), "class"))
-    small = errands.count() <= LABEL_ROWS
-    sent = _sets(texts, words, need).join(F.broadcast(errands) if small else errands, "class")
+    errands, n_errands = packed(to_x.unionByName(own))
+    ends = errands.select("class").distinct()
+    need = packed(on_small(ends, n_errands, LABEL_ROWS).join(classes.select("class", "rep"), "class"))[0]
+    sent = _sets(texts, words, need).join(on_small(errands, n_errands, LABEL_ROWS), "class")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, own = None, np.zeros(0, np.uint64)
@@ -494,7 +500,7 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, words:
         itself = big.where("class = lead").select("tile", "class")
         blocks = _blocks(big.select("tile", "class"), linked.select("tile", "class").unionByName(itself))
         members = members.join(hinted, "lead", "left_anti").drop("lead").unionByName(blocks)
-    members = cut(members.select("tile", "class", "near"))
+    members = packed(members.select("tile", "class", "near"))[0]
 
     def in_tiles(pairs: DataFrame, own: DataFrame) -> DataFrame:
         """`pairs` once for each tile that has both ends."""
@@ -509,16 +515,16 @@ def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, words:
             kind = F.when(F.col("linked"), -2).otherwise(-1).cast("long")
             told = in_tiles(known, active).select("tile", kind.alias("n"), F.col("x").alias("class"), F.col("y").alias("other"), F.lit(b"").alias("bits"), F.lit(False).alias("near"))
             now = now.unionByName(told)
-        checked = cut(verify(texts, words, share, classes, cut(meet_tiles(now, share, budget))))
+        checked = packed(verify(texts, words, share, classes, meet_tiles(now, share, budget)))[0]
         found = found.unionByName(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        wrong = checked.where("not linked").select("x", "y")
-        if not (n_wrong := wrong.count()):
+        wrong, n_wrong = packed(checked.where("not linked").select("x", "y"))
+        if not n_wrong:
             return found
         known = checked if known is None else known.unionByName(checked)
         # only tiles with a pair that failed just now can have more to propose
-        again = cut(in_tiles(on_small(wrong, n_wrong, LABEL_ROWS), members).select("tile").distinct())
-        active = cut(members.join(on_small(again, again.count(), LABEL_ROWS), "tile", "left_semi"))
-        budget *= 32
+        again, n_again = packed(in_tiles(on_small(wrong, n_wrong, LABEL_ROWS), members).select("tile").distinct())
+        active = packed(members.join(on_small(again, n_again, LABEL_ROWS), "tile", "left_semi"))[0]
+        budget *= 4
 
 
 def _bits_differ(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -563,4 +569,5 @@ def near_distinct(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80,
     """
     groups = jaccard_components(docs, words, share, id_col, text_col)
     dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(cut(dropped), F.col(id_col) == F.col("_dropped"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    return rows.join(cut(dropped), F.col("_id") == F.col("_dropped"), "left_anti").select("_row.*")
