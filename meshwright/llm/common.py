@@ -51,6 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that one partition of a packed table holds.
+PACK_ROWS = 20_000
+
+
+def packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(df) in as many partitions as its counted rows are worth, so that few rows make few files; and the count."""
+    done = cut(df)
+    rows = done.count()
+    return done.coalesce(rows // PACK_ROWS + 1), rows
+
+
 def on_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the counted rows are few; else the planner's own choice."""
     return F.broadcast(df) if rows <= most else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import cut
+from meshwright.llm.common import PACK_ROWS, packed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,18 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
     ones, to the least of them, until each component is a star around its least node. A round is two
     aggregations by node; the rounds grow with the logarithm of the longest path.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = cut(links)
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    links, rows = packed(ends.distinct())
     state = None
     while True:
+        few = rows // PACK_ROWS + 1  # no step makes many more rows than there are links
         # large star: neighbours larger than the node go to the least of its neighbourhood
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few).distinct()
         # small star: smaller neighbours, and the node itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        links, rows = packed(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct())
         now = links.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if now == state and now[0] == now[3]:
             break
