@@ -9,7 +9,9 @@ the descent has not seen.
 
 Bounds: SAMPLE rows of the sample, those with the least hashes of their ids; SLOTS weights to broadcast.
 
-Defined cases: a null text is empty, and a text without words scores as the bias alone. Rows that repeat
+Defined cases: a word is what white space bounds, of any length, and its hash and shape are of the whole word;
+one that fewer than three labelled rows have has no weight, like any n-gram.
+A null text is empty, and a text without words scores as the bias alone. Rows that repeat
 an id are scored one by one. Without labels of both kinds every score is the share of label 1 (0.5 if none).
 """
 
@@ -39,10 +41,21 @@ CHUNK = 1 << 14
 _SIGNS = re.compile(r"(.)\1+", re.S)
 
 
+class _Kinds(dict):
+    """What str.translate makes of a character, found once for each."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def shape(word: str) -> str:
-    """Runs of upper case, lower case, digits and of each other sign, each as one character."""
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
-    return _SIGNS.sub(r"\1", "".join(kinds))
+    """Runs of upper case, lower case, digits and of each other sign, each as one character, over the whole word."""
+    return _SIGNS.sub(r"\1", word.translate(_KINDS))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

@@ -86,3 +86,11 @@ def test_descent_separates():
 
 def test_shapes():
     assert [quality.shape(w) for w in ("Word", "WORD!!", "a1b2", "x&&&", "")] == ["Aa", "A!", "a0a0", "a&", ""]
+
+
+def test_shape_is_of_the_whole_word():
+    assert quality.shape("a" * 64 + "B" * 100_000 + "7&&") == "aA0&"
+    a, b = (quality.Features()("x" * 70 + tail) for tail in ("yy", "Y9!"))
+    own = [np.uint64(quality.xxhash.xxh64_intdigest(s.encode(), seed=1)) + np.uint64(11) for s in ("a", "aA0!")]
+    slots = quality._mix(np.array(own)) & np.uint64(quality.SLOTS - 1)
+    assert slots[0] in a and slots[1] in b and slots[0] not in b
