@@ -94,3 +94,28 @@ def test_shape_is_of_the_whole_word():
     own = [np.uint64(quality.xxhash.xxh64_intdigest(s.encode(), seed=1)) + np.uint64(11) for s in ("a", "aA0!")]
     slots = quality._mix(np.array(own)) & np.uint64(quality.SLOTS - 1)
     assert slots[0] in a and slots[1] in b and slots[0] not in b
+
+
+def test_toxicity_keeps_every_entry_under_its_own_name(spark):
+    from pyspark.sql import functions as F
+
+    n = 4000
+    names = spark.range(n).select(F.concat(F.lpad(F.hex("id"), 5, "0"), F.lit("x")).alias("word"), (F.col("id") % 2).alias("toxic"))
+    many, few = F.lit(40).cast("long"), F.lit(0).cast("long")
+    sides = [F.when(F.col("toxic") == k, many).otherwise(few).alias(c) for k, c in enumerate(("ordinary", "toxic"))]
+    kinds = [names.select(F.lit(k).alias("kind"), (F.col("word") if k == 0 else F.substring("word", 1, 5)).alias("name"), *sides, many.alias("all")) for k in (0, 1)]
+    common = spark.createDataFrame([(k, "common"[: 6 - k], 40 * n, 40 * n, 1000 * n) for k in (0, 1)], "kind int, name string, ordinary long, toxic long, `all` long")
+    model = toxicity.fit_tables(kinds[0].unionByName(kinds[1]).unionByName(common))
+    found = [{round(model.ratio(f"{i:05X}x"), 5) for i in range(k, n, 2)} for k in (0, 1)]
+    assert all(len(x) == 1 for x in found) and max(found[0]) < 0 < max(found[1])
+
+
+def test_toxicity_by_join_equals_broadcast(spark, monkeypatch):
+    rows, labels = corpus()
+    docs, marks = frames(spark, [*rows, (None, "scum clown moron"), (5000, None), (5001, ""), (5, "scum")], labels)
+    order = lambda df: sorted((str(r.doc_id), round(r.score, 9), r.predicted) for r in df.collect())
+    want, kept = order(toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, marks))), sorted(map(str, toxicity.not_toxic(docs, marks).collect()))
+    monkeypatch.setattr(toxicity, "ENTRIES", 0)
+    model = toxicity.fit_toxicity(docs, marks)
+    assert model.entries is not None and order(toxicity.score_toxicity(docs, model)) == want
+    assert sorted(map(str, toxicity.not_toxic(docs, marks).collect())) == kept
