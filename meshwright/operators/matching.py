@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import geometry as g
 from meshwright.operators.keys import top_k_per
+from meshwright.operators.lineage import cut
 
 #: Points kept of a candidate and a template, templates compared exactly, and the scores' weights.
 CANDIDATE_POINTS, TEMPLATE_POINTS, SHORTLIST = 256, 128, 8
@@ -185,23 +186,33 @@ def connected_subsets(shapes: list[tuple[float, float, float, float]], gap: floa
     return found
 
 
+#: A group of more shapes is joined by broadcast, so that it spreads over the tasks that read it.
+HUGE = 10_000
+
+
 def subset_candidates(groups: DataFrame, gap: float, most: int = 6) -> DataFrame:
-    """(group, mask, size) of each group's candidate subsets; groups above `most` shapes give single shapes and the whole.
+    """(group, mask, shape, size) of each group's candidate subsets; groups above `most` shapes give single shapes and the whole.
 
-    groups: (group, shape, x0, y0, x1, y1); shapes number from the least. A group is a symbol's few shapes.
+    groups: (group, shape, x0, y0, x1, y1); shapes number from the least. Up to `most` shapes a candidate is a mask;
+    above, a single shape is named in `shape`, without a mask, and the whole is the mask -1.
     """
+    kinds = dict(groups.dtypes)
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("shape")
-        n = len(frame)
-        if n <= most:
-            masks = connected_subsets(list(frame[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), gap)
-            whole = (1 << n) - 1
-            masks = [m for m in masks if m != whole] + [whole]
-        else:
-            masks = [1 << i for i in range(min(n, 62))] + [-1]
-        sizes = [n if m < 0 else m.bit_count() for m in masks]
-        return pd.DataFrame({"group": frame["group"].iloc[0], "mask": masks, "size": sizes})
-
-    kind = dict(groups.dtypes)["group"]
-    return groups.groupBy("group").applyInPandas(task, f"group {kind}, mask long, size int")
+        masks = connected_subsets(list(frame[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), gap)
+        whole = (1 << len(frame)) - 1
+        masks = [m for m in masks if m != whole] + [whole]
+        return pd.DataFrame({"group": frame["group"].iloc[0], "mask": masks, "size": [m.bit_count() for m in masks]})
+
+    counts = cut(groups.groupBy(F.col("group").alias("_group")).agg(F.count("*").alias("_n")))
+    huge = F.broadcast(counts.where(F.col("_n") > HUGE))  # at most one row for HUGE of the input
+    same = F.col("group").eqNullSafe(F.col("_group"))
+    others = groups.join(huge, same, "left_anti").join(counts.where(F.col("_n") <= HUGE), same)
+    large = others.where(F.col("_n") > most).select("group", "shape").unionByName(groups.join(huge.where(F.col("_n") > most), same, "left_semi").select("group", "shape"))
+    few = others.where(F.col("_n") <= most).select("group", "shape", "x0", "y0", "x1", "y1")
+    no_mask, no_shape = F.lit(None).cast("long").alias("mask"), F.lit(None).cast(kinds["shape"]).alias("shape")
+    masks = few.groupBy("group").applyInPandas(task, f"group {kinds['group']}, mask long, size int").select("group", "mask", no_shape, "size")
+    singles = large.select("group", no_mask, "shape", F.lit(1).alias("size"))
+    wholes = counts.where(F.col("_n") > most).select(F.col("_group").alias("group"), F.lit(-1).cast("long").alias("mask"), no_shape, F.col("_n").cast("int").alias("size"))
+    return masks.unionByName(singles).unionByName(wholes)
