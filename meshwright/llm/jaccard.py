@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard join: size-banded tiles, hashed bitmap signatures, sorted-array intersection.
 
-A document is the set of 64-bit hashes of its word n-grams. Documents of the same set are one class, of
-which the least id is the representative; only classes are joined.
+A document is the set of 64-bit hashes of its word n-grams. Documents of the same set, told by a 128-bit
+digest of it, are one class; only classes are joined.
 
 Tiles. Sizes fall into bands such that sets link only within a band or with the next. All sets are ordered
 by one order of n-grams, those of frequent hash buckets last. If two sets link, their prefixes of size -
 ceil(t * size) + 1 n-grams share one. All classes with an n-gram in their prefixes and a band in common
 belong to the tile of the least class among them, so classes that share many n-grams meet in few tiles. In
-a tile classes are sorted by size, and each meets the run of those not too large for it.
+a tile classes are sorted by size, and each meets the run of those not too large for it. An n-gram that very
+many sets have is dealt to several tasks, whose least classes are then compared.
 
 Signatures. A class has a bitmap of the parities of hashed n-gram counts, some bits an n-gram. The bits in
 which two bitmaps differ are at most the n-grams in which the sets differ, so counting them bounds the
@@ -16,14 +17,15 @@ that pass; sorted arrays of exactly those are intersected. Where a proposed pair
 met again without it, and with many times as many proposals between two parts as before, until no
 proposal fails. So components are exact, and a group of near copies costs a row a member, not a pair.
 
-A tile above TILE classes is met in blocks. Its members are first compared with its least class; links of
-that one need not meet each other, so only the others meet each other and everyone, block against block.
+A tile above TILE classes is met in blocks. Its members are first compared with its least class, FANOUT of
+them in a task; links of that one need not meet each other, so only the others meet each other and everyone,
+block against block.
 
-Hashes of 64 bits stand for n-grams and classes; two that differ collide once in 2**64 pairs.
+Hashes of 64 bits stand for n-grams, of which two that differ collide once in 2**64 pairs.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of fewer words than n
 has its whole sequence as its one n-gram. Rows without id make no links of their own (their component is
-null) unless a row with an id has the same set. Rows that repeat an id and a text are one document.
+null) unless a row with an id is in their group. Rows that repeat an id are documents of their own texts.
 """
 
 from __future__ import annotations
@@ -40,19 +42,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import LABEL_ROWS, blank, cut, on_small, packed
+from meshwright.llm.common import blank, if_light, join_uneven, remove, stored
 from meshwright.llm.graph import components
 
-#: Words that a worker remembers; classes that meet in one task.
-HELD, TILE = 200_000, 8_192
+#: Words that a worker remembers; classes that meet in one task; postings of an n-gram in one task.
+HELD, TILE, POSTINGS = 200_000, 1_024, 1 << 16
 #: Buckets that count n-grams for their order: fine ones for the lowest quarter of hashes, from which most
 #: prefixes come, and coarse ones for the others.
 FINE_BITS, COARSE_BITS = 24, 20
 FINE = 1 << (FINE_BITS - 2)
 SKETCH = FINE + (1 << COARSE_BITS)
 CHUNK = 1 << 15
-#: Bits of the filter that picks the rows whose sets are fetched again.
-FILTER_BITS = 23
+#: The filter that picks the rows whose sets are fetched again has this many bits a row, and at most 2 to the power of FILTER_BITS.
+FILTER_LOAD, FILTER_BITS = 16, 27
 NO_ID = -(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,8 +95,13 @@ class Shingler:
         return np.unique(_mix(grams))
 
 
-def class_name(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_name(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def short_name(name: bytes) -> int:
+    """What postings carry of a class."""
+    return int.from_bytes(name[:8], "little", signed=True)
 
 
 def buckets(grams: np.ndarray) -> np.ndarray:
@@ -103,13 +110,15 @@ def buckets(grams: np.ndarray) -> np.ndarray:
     return np.where(fine < FINE, fine, coarse)
 
 
-def frequency_ranks(counts: np.ndarray) -> np.ndarray:
+def usual_counts(grams: int) -> tuple[float, float]:
+    """The count that a fine and a coarse bucket of `grams` evenly spread hashes hardly exceed."""
+    means = (grams / (1 << FINE_BITS), grams / (1 << COARSE_BITS))
+    return tuple(m + 6 * m**0.5 + 4 for m in means)
+
+
+def frequency_ranks(counts: np.ndarray, usual: float) -> np.ndarray:
     """0 for buckets as full as chance makes them; then a rank for each doubling."""
-    ranks = np.zeros(len(counts), np.uint8)
-    for part in (slice(0, FINE), slice(FINE, None)):
-        usual = counts[part].mean() + 6 * np.sqrt(counts[part].mean()) + 4
-        ranks[part] = np.ceil(np.log2(np.maximum(counts[part] / usual, 1)))
-    return ranks
+    return np.ceil(np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
 
 
 def bitmap_bits(n: int) -> int:
@@ -131,8 +140,8 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return words
 
 
-def _reduced(parts: DataFrame, size: int, kind: Any, join: np.ufunc) -> np.ndarray:
-    """One array from (chunk, blob) rows of compressed pieces, joined piece by piece on the executors."""
+def _reduced(parts: DataFrame, kind: Any, join: np.ufunc) -> Iterator[tuple[int, np.ndarray]]:
+    """(chunk, array) of (chunk, blob) rows of compressed pieces, joined piece by piece on the executors."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = None
@@ -141,11 +150,8 @@ def _reduced(parts: DataFrame, size: int, kind: Any, join: np.ufunc) -> np.ndarr
             total = own if total is None else join(total, own)
         return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "blob": [zlib.compress(total.tobytes(), 1)]})
 
-    out = np.zeros(size, kind)
     for r in parts.groupBy("chunk").applyInPandas(add, "chunk long, blob binary").collect():
-        own = np.frombuffer(zlib.decompress(r["blob"]), kind)
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(own)] = own
-    return out
+        yield r["chunk"], np.frombuffer(zlib.decompress(r["blob"]), kind)
 
 
 def _pieces(array: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -154,36 +160,58 @@ def _pieces(array: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield k // CHUNK, zlib.compress(array[k : k + CHUNK].tobytes(), 1)
 
 
-def sign(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(id, class, n) of each row of (_id, _text); (class, n, rep, bits); and the order's bucket ranks.
+SIGNED = "_id long, _hash long, class binary, short long, n long, bits binary"
 
-    One pass over the texts; the bucket counts travel as compressed pieces beside the rows.
+
+def sign(texts: DataFrame, words: int, paths: list[str]) -> tuple[DataFrame, np.ndarray, int]:
+    """Rows of SIGNED for (_id, _hash, _text) rows, the order's bucket ranks, and the number of n-grams.
+
+    One pass over the texts; the bucket counts travel as compressed pieces beside the rows, with n -1. A task
+    gives the bitmap of a class once.
     """
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, counts, held, size = Shingler(words), np.zeros(SKETCH, np.int32), [], 0
+        shingle, counts, held, size, seen = Shingler(words), np.zeros(SKETCH, np.int32), [], 0, set()
+        columns = ["_id", "_hash", "class", "short", "n", "bits"]
         for frame in frames:
             own = []
-            for doc, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
+            for doc, mark, text in zip(frame["_id"].tolist(), frame["_hash"].tolist(), frame["_text"].tolist(), strict=True):
                 grams = shingle(text)
-                name = class_name(grams)
-                own.append((doc, name, len(grams), bitmap(grams).tobytes() if len(grams) else b""))
+                name, bits = class_name(grams), None
+                if name not in seen and len(grams):
+                    if len(seen) > HELD:
+                        seen.clear()
+                    seen.add(name)
+                    bits = bitmap(grams).tobytes()
+                own.append((doc, mark, name, short_name(name), len(grams), bits))
                 held.append(buckets(grams))
                 size += len(grams)
                 if size > 1 << 21:
                     counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
                     held, size = [], 0
-            yield pd.DataFrame(own, columns=["_id", "class", "n", "bits"])
+            yield pd.DataFrame(own, columns=columns)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
-        yield pd.DataFrame([(k, 0, -1, blob) for k, blob in _pieces(counts)], columns=["_id", "class", "n", "bits"])
+        yield pd.DataFrame([(k, 0, b"", 0, -1, blob) for k, blob in _pieces(counts)], columns=columns)
+
+    signed = stored(texts.mapInPandas(task, SIGNED), paths)
+    counts = np.zeros(SKETCH, np.int32)
+    for k, own in _reduced(signed.where("n = -1").select(F.col("_id").alias("chunk"), F.col("bits").alias("blob")), np.int32, np.add):
+        counts[k * CHUNK : k * CHUNK + len(own)] = own
+    grams = int(counts.sum(dtype=np.int64))
+    usual, ranks = usual_counts(grams), np.zeros(SKETCH, np.uint8)
+    for k in range(0, SKETCH, CHUNK):  # FINE is a multiple of CHUNK
+        ranks[k : k + CHUNK] = frequency_ranks(counts[k : k + CHUNK], usual[k >= FINE])
+    return signed.where("n >= 0"), ranks, grams
 
-    signed = cut(texts.mapInPandas(task, "_id long, class long, n long, bits binary"))
-    counts = _reduced(signed.where("n = -1").select(F.col("_id").alias("chunk"), F.col("bits").alias("blob")), SKETCH, np.int32, np.add)
-    ranks = frequency_ranks(counts)
-    rows = signed.where("n >= 0")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min(F.when(F.col("_id") != NO_ID, F.col("_id"))).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    return rows.select("_id", "class", "n"), cut(classes.withColumn("rep", F.coalesce("rep", F.lit(NO_ID)))), ranks
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(class, short, rep, copies, n, bits) of the rows of sign(), without the empty set."""
+    least = F.min(F.when(F.col("_id") != NO_ID, F.col("_id")))
+    own = rows.where("n > 0").groupBy("class").agg(
+        F.first("short").alias("short"), least.alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits")
+    )
+    return own.withColumn("rep", F.coalesce("rep", F.lit(NO_ID)))
 
 
 def band_starts(share: tuple[int, int]) -> np.ndarray:
@@ -195,11 +223,12 @@ def band_starts(share: tuple[int, int]) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def prefix_postings(texts: DataFrame, words: int, share: tuple[int, int], ranks: Broadcast) -> DataFrame:
-    """(gram, class) for the prefix of every set, each class once a task; gram is of an n-gram and a size band.
+def prefix_postings(texts: DataFrame, words: int, share: tuple[int, int], ranks: Broadcast, usual: tuple[float, float]) -> DataFrame:
+    """(gram, salt, short) for the prefix of every set, each class once a task; gram is of an n-gram and a size band.
 
     A set has the n-grams of its prefix in its own band. In the next band, where partners are at least as
-    large as that begins, a shorter prefix will do.
+    large as that begins, a shorter prefix will do. salt: which of an n-gram's tasks gets the class; it is -1
+    where the n-gram has only one.
     """
     num, den = share
     starts = band_starts(share)
@@ -208,45 +237,64 @@ def prefix_postings(texts: DataFrame, words: int, share: tuple[int, int], ranks:
         shingle, seen = Shingler(words), set()
         order = ranks.value
         for frame in frames:
-            out, names, held = [], [], 0
+            out, salts, names, held = [], [], [], 0
             for text in frame["_text"].tolist():
                 grams = shingle(text)
                 n = len(grams)
                 if not n:
                     continue
-                name = class_name(grams)
+                name = short_name(class_name(grams))
                 if name in seen:
                     continue
                 if len(seen) > HELD:
                     seen.clear()
                 seen.add(name)
                 size = n - -(-num * n // den) + 1
-                rank = order[buckets(grams)]
-                first = grams[np.argsort(rank, kind="stable")[:size]] if rank.any() else grams[:size]
+                own = buckets(grams)
+                rank = order[own]
+                at = np.argsort(rank, kind="stable")[:size] if rank.any() else np.arange(size)
+                first = grams[at]
                 band = int(np.searchsorted(starts, n, side="right")) - 1
                 ahead = max(0, n - -(-num * int(starts[band + 1]) // den) + 1)
-                salts = [np.uint64(b * int(_P) & (1 << 64) - 1) for b in (band, band + 1)]
-                keys = np.concatenate([first + salts[0], first[:ahead] + salts[1]])
+                offsets = [np.uint64(b * int(_P) & (1 << 64) - 1) for b in (band, band + 1)]
+                keys = np.concatenate([first + offsets[0], first[:ahead] + offsets[1]])
+                expected = np.where(own[at] < FINE, *usual) * np.exp2(rank[at])
+                tasks = np.maximum(expected / POSTINGS, 1).astype(np.int64)
+                salt = np.where(tasks > 1, name % tasks, -1).astype(np.int32)
                 out.append(_mix(keys).view(np.int64))
+                salts.append(np.concatenate([salt, salt[:ahead]]))
                 names.append(np.full(len(keys), name, np.int64))
                 held += len(keys)
                 if held > 500_000:
-                    yield pd.DataFrame({"gram": np.concatenate(out), "class": np.concatenate(names)})
-                    out, names, held = [], [], 0
+                    yield pd.DataFrame({"gram": np.concatenate(out), "salt": np.concatenate(salts), "short": np.concatenate(names)})
+                    out, salts, names, held = [], [], [], 0
             if out:
-                yield pd.DataFrame({"gram": np.concatenate(out), "class": np.concatenate(names)})
+                yield pd.DataFrame({"gram": np.concatenate(out), "salt": np.concatenate(salts), "short": np.concatenate(names)})
+
+    return texts.select("_text").mapInPandas(task, "gram long, salt int, short long")
 
-    return texts.select("_text").mapInPandas(task, "gram long, class long")
+
+def leaders(postings: DataFrame, salted: bool) -> DataFrame:
+    """(lead, short): each class but the least of an n-gram, with the least. salted: whether any n-gram has several tasks."""
+    # a running first keeps no rows
+    least = F.first("short").over(Window.partitionBy("gram", "salt").orderBy("short").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = postings.withColumn("lead", least)
+    if salted:
+        own = led.where("salt >= 0").groupBy("gram", "salt").agg(F.min("short").alias("lead"))
+        of_gram = own.groupBy("gram").agg(F.min("lead").alias("least"))
+        both = led.where("salt >= 0").drop("lead").join(own.join(of_gram, "gram").select("gram", "salt", F.col("least").alias("lead")), ["gram", "salt"])
+        led = led.where("salt < 0").unionByName(both)
+    return led.where("lead <> short").select("lead", "short").distinct()
 
 
 class Parts:
     """Which members of a tile are known to hang together."""
 
-    def __init__(self, names: np.ndarray, linked: list[tuple[int, int]], near: np.ndarray) -> None:
+    def __init__(self, names: np.ndarray, linked: list[tuple[bytes, bytes]], near: np.ndarray) -> None:
         self.of = np.arange(len(names))
         if near.any():
             self.of[near] = int(np.flatnonzero(near)[0])  # all of them link with the tile's least class
-        place = {int(x): i for i, x in enumerate(names)} if linked else {}
+        place = {x: i for i, x in enumerate(names)} if linked else {}
         for x, y in linked:
             self.join(place[x], place[y])
 
@@ -256,8 +304,10 @@ class Parts:
             self.of[self.of == b] = a
 
 
-def propose(n: np.ndarray, bits: list[np.ndarray], linked: list[tuple[int, int]], share: tuple[int, int], failed: set[tuple[int, int]], names: np.ndarray, budget: int, near: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a tile, as class names, whose bitmaps allow a link.
+def propose(
+    n: np.ndarray, bits: list[np.ndarray], linked: list[tuple[bytes, bytes]], share: tuple[int, int], failed: set[tuple[bytes, bytes]], names: list[bytes], budget: int, near: np.ndarray
+) -> list[tuple[int, int]]:
+    """Pairs of a tile, as places of the members, whose bitmaps allow a link; the one of the least name first.
 
     With a budget of 1 they are a forest that joins parts; with more, up to that many between two parts.
     linked, failed: pairs of names that are known to. near: members that link with a class of their own, and
@@ -301,9 +351,8 @@ def propose(n: np.ndarray, bits: list[np.ndarray], linked: list[tuple[int, int]]
             by.append(differ[allowed])
         hits, by = np.concatenate(hits), np.concatenate(by)
         for j in hits[np.argsort(by, kind="stable")].tolist():
-            a, b = int(names[i]), int(names[j])
-            pair = (a, b) if a < b else (b, a)
-            if parts.of[i] == parts.of[j] or pair in failed:
+            pair = (i, j) if names[i] < names[j] else (j, i)
+            if parts.of[i] == parts.of[j] or (names[pair[0]], names[pair[1]]) in failed:
                 continue
             if budget == 1:
                 parts.join(i, j)
@@ -327,146 +376,196 @@ def _pair_differs(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+MEMBER = ["tile", "kind", "class", "rep", "other", "n", "bits", "near"]
+#: Kinds of a tile's rows: pairs that are known to link, pairs that are known not to, members.
+LINKED, FAILED, OWN = 0, 1, 2
+
+
 def meet_tiles(members: DataFrame, share: tuple[int, int], budget: int) -> DataFrame:
-    """(x, y): proposals of all tiles. members: (tile, n, class, other, bits, near); rows of n -1 name pairs, as class
-    and other, that are known to fail, and rows of n -2 pairs that are known to link."""
+    """(tile, x, x_rep, y, y_rep, fan): the proposals of each tile, from rows of MEMBER columns.
+
+    fan: the FANOUT pairs of x that this one is of.
+    """
     num, den = share
 
-    def met(n: np.ndarray, names: np.ndarray, others: np.ndarray, bits: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
-        links, known = (int(k) for k in np.searchsorted(n, (-1, 0)))  # these rows come first
-        failed = {(int(x), int(y)) for x, y in zip(names[links:known], others[links:known], strict=True)}
-        linked = list(zip(names[:links].tolist(), others[:links].tolist(), strict=True))
-        n, names, bits, near = n[known:], names[known:], bits[known:], near[known:]
+    def met(tile: str, rows: pd.DataFrame) -> list[tuple]:
+        kind, names = rows["kind"].to_numpy(), rows["class"].tolist()
+        links, known = (int(k) for k in np.searchsorted(kind, (FAILED, OWN)))  # sorted by kind
+        others = rows["other"].tolist()
+        linked, failed = list(zip(names[:links], others[:links], strict=True)), set(zip(names[links:known], others[links:known], strict=True))
+        names, n, near = names[known:], rows["n"].to_numpy(np.int64)[known:], rows["near"].to_numpy(bool)[known:]
         if len(n) < 2:
             return []
+        blobs, reps = rows["bits"].tolist()[known:], rows["rep"].to_numpy(np.int64)[known:]
         if len(n) == 2 and not known:
-            a, b = int(names[0]), int(names[1])
             p, q = int(n[0]), int(n[1])
-            if den * p < num * q or (near[0] and near[1]) or (num + den) * _pair_differs(bits[0], bits[1]) > (den - num) * (p + q):
+            if den * p < num * q or (near[0] and near[1]) or (num + den) * _pair_differs(blobs[0], blobs[1]) > (den - num) * (p + q):
                 return []
-            return [(a, b) if a < b else (b, a)]
-        maps = [np.frombuffer(b, np.uint64) for b in bits]
-        return propose(n, maps, linked, share, failed, names, budget, near)
+            pairs = [(0, 1) if names[0] < names[1] else (1, 0)]
+        else:
+            pairs = propose(n, [np.frombuffer(b, np.uint64) for b in blobs], linked, share, failed, names, budget, near)
+        of_x: dict[int, int] = {}
+        out = []
+        for x, y in pairs:
+            of_x[x] = of_x.get(x, -1) + 1
+            out.append((tile, names[x], int(reps[x]), names[y], int(reps[y]), of_x[x] // FANOUT))
+        return out
 
     def tiles_of(frame: pd.DataFrame) -> pd.DataFrame:
-        tiles = frame["tile"].to_numpy()
-        n, names, others = (frame[c].to_numpy(np.int64) for c in ("n", "class", "other"))
-        bits, near = frame["bits"].to_numpy(), frame["near"].to_numpy(bool)
-        edges = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
+        tiles = frame["tile"].tolist()
+        edges = [0, *(k for k in range(1, len(tiles)) if tiles[k] != tiles[k - 1]), len(tiles)]
         out = []
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(tiles)], strict=True):
-            out += met(n[a:b], names[a:b], others[a:b], bits[a:b], near[a:b])
-        return pd.DataFrame(out, columns=["x", "y"])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            out += met(tiles[a], frame.iloc[a:b])
+        return pd.DataFrame(out, columns=["tile", "x", "x_rep", "y", "y_rep", "fan"])
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: list[pd.DataFrame] = []
         for frame in frames:  # sorted by tile; the last tile of a batch may go on in the next
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            others = np.flatnonzero(frame["tile"].to_numpy() != frame["tile"].iloc[-1])
+            tiles = frame["tile"].to_numpy()
+            if rest and tiles[0] != rest[0]["tile"].iloc[0]:
+                yield tiles_of(pd.concat(rest, ignore_index=True))
+                rest = []
+            others = np.flatnonzero(tiles != tiles[-1])
             whole = int(others[-1]) + 1 if len(others) else 0
             if whole:
-                yield tiles_of(frame.iloc[:whole])
-            rest = frame.iloc[whole:]
-        if rest is not None and len(rest):
-            yield tiles_of(rest)
+                yield tiles_of(pd.concat([*rest, frame.iloc[:whole]], ignore_index=True))
+                rest = []
+            rest.append(frame.iloc[whole:])
+        if rest:
+            yield tiles_of(pd.concat(rest, ignore_index=True))
 
-    rows = members.select("tile", "n", "class", "other", "bits", "near").repartition("tile").sortWithinPartitions("tile", "n", "class")
-    return rows.mapInPandas(task, "x long, y long").distinct()
+    rows = members.select(*MEMBER).repartition("tile").sortWithinPartitions("tile", "kind", "n", "class")
+    return rows.mapInPandas(task, "tile string, x binary, x_rep long, y binary, y_rep long, fan int")
 
 
-def _sets(texts: DataFrame, words: int, need: DataFrame) -> DataFrame:
-    """(rep, class, grams: binary of the sorted set) of the needed representatives' rows, from the texts.
+def _sets(texts: DataFrame, words: int, need: DataFrame, n_need: int) -> DataFrame:
+    """(class, grams: binary of the sorted set) of the rows whose id is needed, from the texts.
 
-    Few representatives are broadcast after a count. Many set a filter of fixed size over their ids, and what
-    that lets through by chance falls to the caller's join by class.
+    Light ids are broadcast. Many set a filter sized by their count, and what that lets through by chance
+    falls to the caller's join by class; beyond what a filter can hold the rows are joined with the ids.
     """
+    size = max(FILTER_LOAD * n_need, 1).bit_length()
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
-        field = np.unpackbits(shared.value).view(bool) if shared else None
+        field = np.frombuffer(shared.value, np.uint8) if shared else None
         for frame in frames:
             if field is not None:
-                frame = frame[field[_filter_slots(frame["_id"].to_numpy(np.int64))]]
-            out, size = [], 0
-            for doc, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
+                at = _filter_slots(frame["_id"].to_numpy(np.int64), size)
+                frame = frame[(field[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+            out, held = [], 0
+            for text in frame["_text"].tolist():
                 grams = shingle(text)
                 if len(grams):
-                    out.append((doc, class_name(grams), grams.tobytes()))
-                    size += len(grams)
-                if size > 1 << 20:
-                    yield pd.DataFrame(out, columns=["rep", "class", "grams"])
-                    out, size = [], 0
-            yield pd.DataFrame(out, columns=["rep", "class", "grams"])
-
-    shared = None
-    if need.count() <= LABEL_ROWS:
-        texts = texts.join(F.broadcast(need.select(F.col("rep").alias("_id")).distinct()), "_id", "left_semi")
+                    out.append((class_name(grams), grams.tobytes()))
+                    held += len(grams)
+                if held > 1 << 20:
+                    yield pd.DataFrame(out, columns=["class", "grams"])
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=["class", "grams"])
+
+    shared, ids = None, need.select(F.col("rep").alias("_id")).distinct()
+    if n_need * 8 <= 1 << 19 or size > FILTER_BITS:
+        texts = texts.join(if_light(ids, n_need, 8), "_id", "left_semi")
     else:
 
         def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            field = np.zeros(1 << FILTER_BITS, bool)
+            field = np.zeros(1 << size, bool)
             for frame in frames:
-                field[_filter_slots(frame["rep"].to_numpy(np.int64))] = True
-            yield pd.DataFrame([*_pieces(field)], columns=["chunk", "blob"])
+                field[_filter_slots(frame["_id"].to_numpy(np.int64), size)] = True
+            yield pd.DataFrame([*_pieces(np.packbits(field, bitorder="little"))], columns=["chunk", "blob"])
 
-        field = _reduced(need.select("rep").mapInPandas(mark, "chunk long, blob binary"), 1 << FILTER_BITS, bool, np.logical_or)
-        shared = texts.sparkSession.sparkContext.broadcast(np.packbits(field))
-    return texts.select("_id", "_text").mapInPandas(sets_of, "rep long, class long, grams binary")
+        field = np.zeros(1 << size - 3, np.uint8)
+        for k, own in _reduced(ids.mapInPandas(mark, "chunk long, blob binary"), np.uint8, np.bitwise_or):
+            field[k * CHUNK : k * CHUNK + len(own)] = own
+        shared = texts.sparkSession.sparkContext.broadcast(field.tobytes())
+    return texts.select("_id", "_text").mapInPandas(sets_of, "class binary, grams binary")
 
 
-def _filter_slots(ids: np.ndarray) -> np.ndarray:
-    return (_mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_slots(ids: np.ndarray, size: int) -> np.ndarray:
+    return (_mix(ids.view(np.uint64)) >> np.uint64(64 - size)).astype(np.int64)
 
 
-#: Pairs of one class that are intersected in one task on average.
-FANOUT = 2_000
+#: Pairs of one class that are compared in one task on average.
+FANOUT = 512
 
 
-def verify(texts: DataFrame, words: int, share: tuple[int, int], classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(x, y, linked) for distinct pairs of classes: whether their sets reach the share.
+def verify(texts: DataFrame, words: int, share: tuple[int, int], pairs: DataFrame, paths: list[str]) -> DataFrame:
+    """(x, y, linked) for the distinct pairs of (x, x_rep, y, y_rep, fan): whether their sets reach the share.
 
-    A set goes from its text to where it is needed in one shuffle: y's to x's, and x's own once for every
-    FANOUT of its pairs.
+    A set goes from its text to where it is needed: y's to x's, and x's own once for every fan.
     """
     num, den = share
-    pairs = packed(pairs.select("x", "y").distinct())[0]
-    fans = pairs.groupBy("x").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("fans"))
-    keyed = pairs.join(fans, "x").withColumn("fan", F.pmod(F.xxhash64("y"), F.col("fans")).cast("int"))
-    # ids travel as text: a column of integers with nulls would come as floating point
-    to_x = keyed.select(F.col("y").alias("class"), "x", "fan", F.col("y").cast("string").alias("y"))
-    own = fans.select(F.col("x").alias("class"), "x", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("string").alias("y"))
-    errands, n_errands = packed(to_x.unionByName(own))
-    ends = errands.select("class").distinct()
-    need = packed(on_small(ends, n_errands, LABEL_ROWS).join(classes.select("class", "rep"), "class"))[0]
-    sent = _sets(texts, words, need).join(on_small(errands, n_errands, LABEL_ROWS), "class")
+    own = pairs.groupBy("x", "y").agg(*(F.min(c).alias(c) for c in ("x_rep", "y_rep", "fan")))
+    to_x = own.select(F.col("y").alias("class"), F.col("y_rep").alias("rep"), "x", "fan", F.col("y").alias("other"))
+    itself = own.select(F.col("x").alias("class"), F.col("x_rep").alias("rep"), "x", "fan", F.lit(None).cast("binary").alias("other")).distinct()
+    errands = stored(to_x.unionByName(itself), paths)
+    n = errands.count()
+    sent = _sets(texts, words, errands, n).join(if_light(errands.drop("rep"), n, 64), "class")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, own = None, np.zeros(0, np.uint64)
+        name, mine = None, np.zeros(0, np.uint64)
         for frame in frames:
             out = []
-            for x, fan, y, blob in zip(frame["x"].tolist(), frame["fan"].tolist(), frame["y"].tolist(), frame["grams"].tolist(), strict=True):
+            for x, fan, y, blob in zip(frame["x"].tolist(), frame["fan"].tolist(), frame["other"].tolist(), frame["grams"].tolist(), strict=True):
                 grams = np.frombuffer(blob, np.uint64)
                 if y is None:
-                    name, own = (x, fan), grams
+                    name, mine = (x, fan), grams
                 elif name == (x, fan):
-                    at = np.searchsorted(own, grams)
-                    both = int((own[np.minimum(at, len(own) - 1)] == grams).sum())
-                    out.append((x, int(y), den * both >= num * (len(own) + len(grams) - both)))
+                    at = np.searchsorted(mine, grams)
+                    both = int((mine[np.minimum(at, len(mine) - 1)] == grams).sum())
+                    out.append((x, y, den * both >= num * (len(mine) + len(grams) - both)))
             yield pd.DataFrame(out, columns=["x", "y", "linked"])
 
-    rows = sent.select("x", "fan", "y", "grams").repartition("x", "fan").sortWithinPartitions("x", "fan", F.col("y").asc_nulls_first())
+    rows = sent.select("x", "fan", "other", "grams").repartition("x", "fan").sortWithinPartitions("x", "fan", F.col("other").asc_nulls_first())
     # rows that repeat a representative's id and text bring its set twice
-    return rows.mapInPandas(task, "x long, y long, linked boolean").dropDuplicates(["x", "y"])
+    return stored(rows.mapInPandas(task, "x binary, y binary, linked boolean").dropDuplicates(["x", "y"]), paths)
+
+
+def _stars(big: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(tile, x, x_rep, y, y_rep, fan): members of large tiles whose bitmaps allow a link with the least class, as x.
 
+    big: (lead, tasks, first, class, rep, n, bits); `first` marks the tile's least class, which goes to every
+    task, the others to one of them each.
+    """
+    num, den = share
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+        for frame in frames:
+            out = []
+            columns = (frame[c].tolist() for c in ("lead", "fan", "class", "rep", "n", "bits"))
+            for lead, fan, name, rep, n, bits in zip(*columns, strict=True):
+                own = np.frombuffer(bits, np.uint64)
+                if key != (lead, fan):  # the least class comes first
+                    key, star = (lead, fan), (name, rep, n, own)
+                    continue
+                x, x_rep, m, other = star
+                if den * min(n, m) < num * max(n, m):
+                    continue
+                size = min(len(own), len(other))
+                differ = int(np.bitwise_count(folded(own, size) ^ folded(other, size)).sum())
+                if (num + den) * differ <= (den - num) * (n + m):
+                    out.append((str(lead), x, x_rep, name, rep, fan))
+            yield pd.DataFrame(out, columns=["tile", "x", "x_rep", "y", "y_rep", "fan"])
+
+    fans = F.when(F.col("first"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("tasks")).cast("int")))
+    rows = big.select("lead", F.explode(fans).alias("fan"), "first", "class", "rep", "n", "bits")
+    rows = rows.repartition("lead", "fan").sortWithinPartitions("lead", "fan", F.col("first").desc(), "class")
+    return rows.mapInPandas(task, "tile string, x binary, x_rep long, y binary, y_rep long, fan int")
 
-def _blocks(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of tiles above TILE classes, dealt to tiles of blocks: (tile, class, near).
+
+def _blocks(big: DataFrame, links: DataFrame, n_tiles: int) -> DataFrame:
+    """The members of large tiles, dealt to tiles of blocks: (tile, class, rep, n, bits, near).
 
     links: (tile, class) of members that link with the tile's least class. They meet only the others.
     """
-    own = members.join(links.withColumn("near", F.lit(True)), ["tile", "class"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    sizes = own.groupBy("tile").agg(F.ceil(F.sum(F.when(F.col("near"), 1).otherwise(0)) / TILE).cast("int").alias("near_blocks"), F.ceil(F.sum(F.when(F.col("near"), 0).otherwise(1)) / TILE).cast("int").alias("far_blocks"))
-    dealt = own.join(sizes, "tile")
+    own = big.withColumn("tile", F.col("lead").cast("string")).join(links.withColumn("near", F.lit(True)), ["tile", "class"], "left")
+    own = own.withColumn("near", F.coalesce("near", F.lit(False)) | F.col("first"))
+    blocks = lambda near: F.ceil(F.sum(F.when(F.col("near") == near, 1).otherwise(0)) / TILE).cast("int")
+    sizes = own.groupBy("tile").agg(blocks(True).alias("near_blocks"), blocks(False).alias("far_blocks"))
+    dealt = own.join(if_light(sizes, n_tiles, 40), "tile").where("far_blocks > 0")
     block = F.pmod(F.xxhash64("class"), F.greatest(F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("far_blocks")), F.lit(1))).cast("int")
     dealt = dealt.withColumn("block", block)
     others = F.sequence(F.lit(1), F.col("far_blocks"))
@@ -475,99 +574,103 @@ def _blocks(members: DataFrame, links: DataFrame) -> DataFrame:
     with_near = F.transform(F.sequence(F.lit(1), F.greatest(F.col("near_blocks"), F.lit(1))), lambda o: name(F.col("block").cast("string"), F.concat(F.lit("n"), (o - 1).cast("string"))))
     near = F.transform(others, lambda o: name((o - 1).cast("string"), F.concat(F.lit("n"), F.col("block").cast("string"))))
     places = F.when(F.col("near"), near).otherwise(F.concat(far, F.when(F.col("near_blocks") > 0, with_near).otherwise(F.array().cast("array<string>"))))
-    return dealt.where("far_blocks > 0").withColumn("tile", F.explode(places)).select("tile", "class", "near")
+    return dealt.withColumn("tile", F.explode(places)).select("tile", "class", "rep", "n", "bits", "near")
 
 
-def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, words: int, share: tuple[int, int]) -> DataFrame:
+def class_links(texts: DataFrame, classes: DataFrame, ranks: np.ndarray, grams: int, words: int, share: tuple[int, int], paths: list[str]) -> DataFrame:
     """(a, b): links between classes that join exactly the classes that links join."""
-    spark = texts.sparkSession
-    postings = prefix_postings(texts, words, share, spark.sparkContext.broadcast(ranks))
-    # the least class of an n-gram leads its tile; a running first keeps no rows
-    least = F.first("class").over(Window.partitionBy("gram").orderBy("class").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tiles = cut(postings.withColumn("lead", least).where("lead <> class").select("lead", "class").distinct())
-    rows = tiles.unionByName(tiles.select("lead", F.col("lead").alias("class")).distinct())
-    members = rows.select("lead", F.col("lead").cast("string").alias("tile"), "class", F.lit(False).alias("near"))
-    large = cut(tiles.groupBy("lead").agg((F.count("*") + 1).alias("size")).where(F.col("size") > TILE).select("lead"))
-    found = spark.createDataFrame([], "a long, b long")
+    spark, usual = texts.sparkSession, usual_counts(grams)
+    shared = spark.sparkContext.broadcast(ranks)
+    fullest = [u * 2.0 ** int(r.max()) for u, r in zip(usual, (ranks[:FINE], ranks[FINE:]), strict=True)]
+    tiles = stored(leaders(prefix_postings(texts, words, share, shared, usual), max(fullest) > POSTINGS), paths)
+    shared.unpersist()
+    rows = tiles.withColumn("first", F.lit(False)).unionByName(tiles.select("lead", F.col("lead").alias("short"), F.lit(True).alias("first")).distinct())
+    members = stored(rows.join(classes.select("short", "class", "rep", "n", "bits"), "short").drop("short"), paths)
+    tasks = F.ceil(F.col("size") / FANOUT).cast("int").alias("tasks")
+    large = stored(members.groupBy("lead").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("lead", tasks), paths)
+    tile = F.col("lead").cast("string").alias("tile")
+    own = members.join(large, "lead", "left_anti").select(tile, "class", "rep", "n", "bits", F.lit(False).alias("near"))
+    found = []
     if n_large := large.count():
-        hinted = on_small(large, n_large)
-        big = cut(members.join(hinted, "lead", "left_semi").join(classes.select("class", "n", "bits"), "class"))
-        lead = big.where("class = lead").select("lead", F.col("n").alias("lead_n"), F.col("bits").alias("lead_bits"))
-        differing = _bits_differ(big.join(on_small(lead, n_large), "lead").where("class <> lead"), share)
-        stars = cut(verify(texts, words, share, classes, differing.select(F.col("lead").alias("x"), F.col("class").alias("y"))))
-        linked = cut(stars.where("linked").select(F.col("x").cast("string").alias("tile"), F.col("y").alias("class"), F.col("x").alias("a"), F.col("y").alias("b")))
-        found = linked.select("a", "b")
-        itself = big.where("class = lead").select("tile", "class")
-        blocks = _blocks(big.select("tile", "class"), linked.select("tile", "class").unionByName(itself))
-        members = members.join(hinted, "lead", "left_anti").drop("lead").unionByName(blocks)
-    members = packed(members.select("tile", "class", "near"))[0]
-
-    def in_tiles(pairs: DataFrame, own: DataFrame) -> DataFrame:
-        """`pairs` once for each tile that has both ends."""
-        at_x = pairs.join(own.select("tile", F.col("class").alias("x")), "x")
-        return at_x.join(own.select("tile", F.col("class").alias("y")), ["tile", "y"])
-
-    active, known, budget = members, None, 1
+        big = stored(members.join(if_light(large, n_large, 16), "lead"), paths)
+        near = stored(_stars(big, share), paths)
+        linked = near.join(verify(texts, words, share, near, paths).where("linked"), ["x", "y"])
+        linked = stored(linked.select("tile", F.col("x").alias("a"), F.col("y").alias("b")).distinct(), paths)
+        found.append(linked.select("a", "b"))
+        own = own.unionByName(_blocks(big, linked.select("tile", F.col("b").alias("class")), n_large))
+        own = stored(own, paths)
+
+    told, budget = None, 1
+    now = own
     while True:
-        met = on_small(active, active.count(), LABEL_ROWS).join(classes.select("class", "n", "bits"), "class")
-        now = met.select("tile", "n", "class", F.col("class").alias("other"), "bits", "near")
-        if known is not None:
-            kind = F.when(F.col("linked"), -2).otherwise(-1).cast("long")
-            told = in_tiles(known, active).select("tile", kind.alias("n"), F.col("x").alias("class"), F.col("y").alias("other"), F.lit(b"").alias("bits"), F.lit(False).alias("near"))
-            now = now.unionByName(told)
-        checked = packed(verify(texts, words, share, classes, meet_tiles(now, share, budget)))[0]
-        found = found.unionByName(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        wrong, n_wrong = packed(checked.where("not linked").select("x", "y"))
-        if not n_wrong:
-            return found
-        known = checked if known is None else known.unionByName(checked)
+        rows = now.select("tile", F.lit(OWN).alias("kind"), "class", "rep", F.lit(None).cast("binary").alias("other"), "n", "bits", "near")
+        if told is not None:
+            kind = F.when(F.col("linked"), LINKED).otherwise(FAILED)
+            zero = F.lit(0).cast("long")  # no null: it would turn the column's integers into floating point
+            rows = rows.unionByName(told.select("tile", kind.alias("kind"), F.col("x").alias("class"), zero.alias("rep"), F.col("y").alias("other"), zero.alias("n"), F.lit(b"").alias("bits"), F.lit(False).alias("near")))
+        proposed = stored(meet_tiles(rows, share, budget), paths)
+        checked = verify(texts, words, share, proposed, paths)
+        found.append(checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
         # only tiles with a pair that failed just now can have more to propose
-        again, n_again = packed(in_tiles(on_small(wrong, n_wrong, LABEL_ROWS), members).select("tile").distinct())
-        active = packed(members.join(on_small(again, n_again, LABEL_ROWS), "tile", "left_semi"))[0]
-        budget *= 4
+        told_now = stored(proposed.select("tile", "x", "y").join(checked, ["x", "y"]), paths)
+        wrong = told_now.where("not linked").select("tile").distinct()
+        again = stored(wrong, paths)
+        if not again.count():
+            break
+        told = told_now if told is None else told.unionByName(told_now)
+        told = stored(told.join(again, "tile", "left_semi"), paths)
+        now = stored(now.join(again, "tile", "left_semi"), paths)
+        budget *= 16
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def _bits_differ(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The rows whose bitmap and size allow a link with their tile's least class."""
-    num, den = share
+def grouped(docs: DataFrame, words: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(_id, _hash, n, component, name) for every row: its component's least class and that one's least id, NO_ID for none.
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            stays = []
-            for n, bits, m, other in zip(frame["n"].tolist(), frame["bits"], frame["lead_n"].tolist(), frame["lead_bits"], strict=True):
-                if den * min(n, m) < num * max(n, m):
-                    stays.append(False)
-                    continue
-                a, b = np.frombuffer(bits, np.uint64), np.frombuffer(other, np.uint64)
-                size = min(len(a), len(b))
-                differ = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
-                stays.append((num + den) * differ <= (den - num) * (n + m))
-            yield frame.loc[stays, ["lead", "class"]]
-
-    return rows.select("lead", "class", "n", "bits", "lead_n", "lead_bits").mapInPandas(task, "lead long, class long")
+    _hash is of the text as given. An empty set has the component null.
+    """
+    spark, used = docs.sparkSession, []
+    text = blank(text_col)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_hash"), text.alias("_text"))
+    signed, ranks, grams = sign(texts, words, used)
+    rows = stored(signed.select("_id", "_hash", "class", "n"))
+    classes = stored(classes_of(signed), used)
+    links = class_links(texts.select("_id", "_text"), classes, ranks, grams, words, share, used)
+    found = stored(components(links), used)
+    named = classes.select("class", "rep", "copies").join(found.withColumnRenamed("node", "class"), "class", "left")
+    named = stored(named.withColumn("component", F.coalesce("component", "class")), used)
+    # ids that are not null come first
+    least = F.coalesce(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))), F.lit(NO_ID))
+    names = named.groupBy("component").agg(least.alias("name"), F.count("*").alias("_members"))
+    total, members = named.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+    of_class = stored(join_uneven(named.select("class", "copies", "component"), names, ["component"], "_members", members))
+    remove(spark, used)
+    some = join_uneven(rows.where("n > 0"), of_class, ["class"], "copies", total).select("_id", "_hash", "n", "component", "name")
+    none = rows.where("n = 0").select("_id", "_hash", "n", F.lit(None).cast("binary").alias("component"), F.lit(NO_ID).alias("name"))
+    return some.unionByName(none)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row. Two documents link when share[1] * |A and B| >= share[0] * |A or B|."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), blank(text_col).alias("_text"))
-    rows, classes, ranks = sign(texts, words)
-    links = class_links(texts, classes, ranks, words, share)
-    # links of classes to links of representatives: the least id of a component is its name
-    found = components(links)
-    named = found.join(classes.select(F.col("class").alias("node"), "rep"), "node")
-    least = named.where(F.col("rep") != NO_ID).groupBy("component").agg(F.min("rep").alias("name"))
-    joined = cut(named.join(least, "component", "left").select(F.col("node").alias("class"), "name"))
-    alone = cut(classes.join(joined, "class", "left").select("class", F.coalesce("name", F.when(F.col("rep") != NO_ID, F.col("rep"))).alias("name")))
-    own = F.when(F.col("_id") != NO_ID, F.col("_id"))
-    return rows.join(alone, "class", "left").select(own.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("name", own).alias("component_id"))
+    rows = grouped(docs, words, share, id_col, text_col)
+    own, name = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("_id", "name"))
+    return rows.select(own.alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(name, own).alias("component_id"))
 
 
 def near_distinct(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id names their component, with their own columns: one document of each group.
+    """The rows of `docs` with their own columns, but of each group only the one of the least id, ties to the text's hash.
 
-    Rows without id stay, as nothing names them. Rows that repeat an id all stay or all go.
+    Rows without id count as the greatest. Rows with an empty set all stay.
     """
-    groups = jaccard_components(docs, words, share, id_col, text_col)
-    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    return rows.join(cut(dropped), F.col("_id") == F.col("_dropped"), "left_anti").select("_row.*")
+    rows = stored(grouped(docs, words, share, id_col, text_col))
+    order = F.struct((F.col("_id") == NO_ID).alias("none"), "_id", "_hash")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(order).alias("o")).select("o._id", "o._hash", F.lit(False).alias("_all"))
+    keep = stored(first.unionByName(rows.where("component is null").select("_id", "_hash", F.lit(True).alias("_all")).distinct()))
+    own = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    met = own.join(keep, ["_id", "_hash"])
+    same = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
+    one = met.where("not _all").withColumn("_same", same).where("_same = 1")
+    return met.where("_all").select("_row.*").unionByName(one.select("_row.*"))

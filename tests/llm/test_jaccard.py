@@ -62,8 +62,18 @@ def test_stage_keeps_one_of_each_group(spark):
     rows = [(4, long), (9, long + " tail"), (6, "other text of its own entirely"), (None, long), (7, None), (8, "")]
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, n string")
     kept = jaccard.near_distinct(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "6", "7", "8", "None"]
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "6", "7", "8"]
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
+    assert jaccard.near_distinct(docs.limit(0)).count() == 0
+
+
+def test_stage_with_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(200)) for p in "abc")
+    rows = [(1, a), (1, a), (5, a + " tail"), (5, b), (None, b + " tail"), (None, c), (None, c + " tail"), (9, None), (9, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id int")
+    kept = jaccard.near_distinct(docs).collect()
+    # one of each group, whatever shares an id with it; texts without words all stay
+    assert sorted((str(r.doc_id), (r.text or "")[:2]) for r in kept) == sorted([("1", "a0"), ("5", "b0"), ("None", "c0"), ("9", ""), ("9", ""), ("None", ""), ("None", "")])
 
 
 def test_query(same_rows):
