@@ -46,7 +46,7 @@ from meshwright.llm.common import blank, if_light, join_uneven, remove, stored
 from meshwright.llm.graph import components
 
 #: Words that a worker remembers; classes that meet in one task; postings of an n-gram in one task.
-HELD, TILE, POSTINGS = 200_000, 1_024, 1 << 16
+HELD, TILE, POSTINGS = 200_000, 512, 1 << 16
 #: Buckets that count n-grams for their order: fine ones for the lowest quarter of hashes, from which most
 #: prefixes come, and coarse ones for the others.
 FINE_BITS, COARSE_BITS = 24, 20

@@ -100,14 +100,108 @@ def test_toxicity_keeps_every_entry_under_its_own_name(spark):
     from pyspark.sql import functions as F
 
     n = 4000
-    names = spark.range(n).select(F.concat(F.lpad(F.hex("id"), 5, "0"), F.lit("x")).alias("word"), (F.col("id") % 2).alias("toxic"))
+    names = spark.range(n).select(F.lit(0).alias("h"), F.concat(F.lpad(F.hex("id"), 5, "0"), F.lit("x")).alias("name"), (F.col("id") % 2).alias("side"))
     many, few = F.lit(40).cast("long"), F.lit(0).cast("long")
-    sides = [F.when(F.col("toxic") == k, many).otherwise(few).alias(c) for k, c in enumerate(("ordinary", "toxic"))]
-    kinds = [names.select(F.lit(k).alias("kind"), (F.col("word") if k == 0 else F.substring("word", 1, 5)).alias("name"), *sides, many.alias("all")) for k in (0, 1)]
-    common = spark.createDataFrame([(k, "common"[: 6 - k], 40 * n, 40 * n, 1000 * n) for k in (0, 1)], "kind int, name string, ordinary long, toxic long, `all` long")
-    model = toxicity.fit_tables(kinds[0].unionByName(kinds[1]).unionByName(common))
-    found = [{round(model.ratio(f"{i:05X}x"), 5) for i in range(k, n, 2)} for k in (0, 1)]
-    assert all(len(x) == 1 for x in found) and max(found[0]) < 0 < max(found[1])
+    own = names.select("h", "name", *(F.when(F.col("side") == k, many).otherwise(few).alias(c) for k, c in enumerate(("ordinary", "toxic"))), many.alias("all"))
+    common = spark.createDataFrame([(0, f"common{i}", 10, 10, 100) for i in range(n)], "h int, name string, ordinary long, toxic long, `all` long")
+    for model in toxicity.fit_models(own.unionByName(common), []):
+        found = [{round(float(model.ratios(f"{i:05X}x")[0]), 5) for i in range(k, n, 2)} for k in (0, 1)]
+        assert all(len(x) == 1 for x in found) and max(found[0]) < 0 < max(found[1])
+
+
+def brute_ratios(rows, side, common, share):
+    """Log ratio of every pair by the formulas, and each text's mean; all counts held in dictionaries."""
+    from collections import Counter
+    from math import log
+
+    def pairs(text):
+        h, out = 0, []
+        for w in text.lower().split():
+            if name := w.strip(toxicity.EDGES):
+                out.append((h, name))
+                h = common.index(name) + 1 if name in common else h
+        return out
+
+    n, every = {0: Counter(), 1: Counter()}, Counter()
+    for i, t in rows:
+        own = set(pairs(t))
+        every.update(own)
+        if side.get(i) is not None:
+            n[side[i]].update(own)
+
+    def stems(counts):
+        out = Counter()
+        for (h, w), k in counts.items():
+            out[h, w[: toxicity.STEM]] += k
+        return out
+
+    def discount(counts, part):
+        below, values = 0, sorted(counts.values())
+        for i, v in enumerate(values):
+            if below + (len(values) - i) * v >= part * sum(values):
+                return (part * sum(values) - below) / (len(values) - i)
+            below += v
+
+    s, s_every = {c: stems(n[c]) for c in n}, stems(every)
+    d, e = {c: discount(n[c], share[0]) for c in n}, {c: discount(s[c], share[1]) for c in n}
+    d0, types = toxicity.SHARED_DISCOUNT, len(every)
+    after, total, kinds = Counter(w for _, w in every), Counter(), Counter()
+    mass, freed, s_freed = ({c: Counter() for c in n} for _ in range(3))
+    for (h, w), k in every.items():
+        total[h] += k
+        kinds[h] += 1
+    for c in n:
+        for (h, w), k in n[c].items():
+            mass[c][h] += k
+            freed[c][h] += min(k, d[c])
+        for (h, w), k in s[c].items():
+            s_freed[c][h] += min(k, e[c])
+    ratios = {}
+    for h, w in every:
+        shared = max(every[h, w] - d0, 0) / total[h] + d0 * kinds[h] / total[h] * (max(after[w] - d0, 0) + d0) / types
+        p = {}
+        for c in n:
+            m, stem = mass[c][h], (h, w[: toxicity.STEM])
+            if not m:
+                p[c] = shared
+                continue
+            of_stem = max(s[c][stem] - e[c], 0) / m + s_freed[c][h] / m * s_every[stem] / total[h]
+            p[c] = max(n[c][h, w] - d[c], 0) / m + freed[c][h] / m * of_stem * shared / (s_every[stem] / total[h])
+        ratios[h, w] = log(p[1] / p[0])
+    means = [sum(ratios[x] for x in set(own)) / len(own) ** toxicity.LENGTH if (own := pairs(t)) else 0.0 for _, t in rows]
+    return ratios, means
+
+
+def test_toxicity_equals_brute_force(spark):
+    rows, labels = corpus(300)
+    rows = [(i, t.replace("w1 ", "the, ").replace("w2 ", "Und ").replace("w3 ", "de ") + " -- the the und de " + t[:20]) for i, t in rows] + [(900, "   "), (901, "?! ..")]
+    docs, marks = frames(spark, rows, labels)
+    common = toxicity.common_words(docs, "text")
+    assert common == ["de", "the", "und"]
+    labelled = toxicity.with_labels(docs.select("doc_id", "text"), marks, "toxic")
+    models = toxicity.fit_models(toxicity.stored(toxicity.count_pairs(labelled, "text", common)), common)
+    side = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5 > toxicity.CALIBRATION}
+    for model, share in zip(models, toxicity.MASSES, strict=True):
+        ratios, means = brute_ratios(rows, side, common, share)
+        assert len(model.words) and len(model.stems)
+        for (h, w), want in ratios.items():
+            assert abs(model.ratios(w)[h] - want) < 1e-9, (h, w)
+        got = {r.doc_id: r._mean for r in toxicity.mean_ratios(docs, model, "text", ["doc_id"]).collect()}
+        assert all(abs(got[i] - m) < 1e-9 for (i, _), m in zip(rows, means, strict=True))
+
+
+def test_toxicity_of_repeats_ties_and_long_texts(spark, monkeypatch):
+    rows, labels = corpus(400)
+    long = " ".join(t for _, t in rows) + " " + "x" * 100_000 + " " + " ".join(f"u{i}" for i in range(20_000))
+    more = [(rows[0][0], rows[0][1]), (7000, long), (7001, long), (7002, "w1 " * 50_000)]
+    docs, marks = frames(spark, [*rows, *more], [*labels, (0, 1, 0), (0, 1, 1), (None, 1, 1), (8000, None, None)])
+    model = toxicity.fit_toxicity(docs, marks)
+    order = lambda df: sorted((str(r.doc_id), r.score, r.predicted) for r in df.collect())
+    want = order(toxicity.score_toxicity(docs, model))
+    assert len(want) == len(rows) + 4 and len({x for x in want if x[0] in ("7000", "7001")}) == 2
+    assert len({x[1] for x in want if x[0] in ("7000", "7001")}) == 1 and len({x for x in want if x[0] == str(rows[0][0])}) == 1
+    monkeypatch.setattr(toxicity, "HELD", 50)  # workers forget all the time
+    assert order(toxicity.score_toxicity(docs.repartition(3), model)) == want
 
 
 def test_toxicity_by_join_equals_broadcast(spark, monkeypatch):
