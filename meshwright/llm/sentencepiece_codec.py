@@ -3,15 +3,24 @@
 The model file's normaliser is read here: its compiled character map is a double-array trie over UTF-8
 bytes whose values point into a block of replacements. At each place the longest prefix in the trie is
 replaced, else one character is copied, and every normalised byte records the source byte it came from.
-Piece k of an encoding covers a run of normalised bytes, so its span in the source is read off that record.
+Ids come from the normalised text by the model's own merges: of all neighbours that make a piece together the
+pair of the highest score is joined first, the leftmost of equals. No piece of the vocabulary spans the
+place before a space mark or around an isolated character such as the line feed, so a text falls into words
+there whose ids a worker remembers. Characters without a piece become byte pieces. Piece k covers a run of
+normalised bytes, so its span in the source is read off the record. Models of another kind than BPE, or with
+user-defined or unused pieces, take their ids from the library; the spans are found in the same way.
 
 Defined cases: a null text is empty; an empty text has no ids and decodes to an empty text. Rows that
-repeat an id are coded one by one. Texts of any length are coded whole.
+repeat an id are coded one by one. Texts of any length are coded whole. If pieces should not cover the normalised
+text, the row's spans are null.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import heapq
+import re
 import struct
 from collections.abc import Iterator
 
@@ -20,12 +29,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import blank, shared_dir
+from meshwright.llm.common import blank, bound_batches
 
 #: U+2581, which stands for a space in pieces, and the replacement for bytes that are not UTF-8.
 SPACE_MARK, BAD = "▁".encode(), "�".encode()
 #: Types of pieces in the model file.
-UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
+UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
+#: The model type that merges pairs.
+BPE = 2
+#: Words whose ids a worker remembers; characters from which on a word's merges go through a heap.
+HELD, LONG = 300_000, 100
+NEVER = float("-inf")
+
+
+def _one_byte(error: UnicodeError) -> tuple[str, int]:
+    """A byte that is not UTF-8 decodes on its own to the replacement character."""
+    return "\ufffd", error.start + 1
+
+
+codecs.register_error("meshwright_one_byte", _one_byte)
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -170,6 +192,88 @@ class Normalizer:
         return out, np.append(origin, len(raw))
 
 
+class Merges:
+    """Ids of normalised text by the merges of a BPE model; a worker's own, as it remembers words."""
+
+    def __init__(self, pieces: list[tuple[bytes, float, int]]) -> None:
+        self.ids = {p.decode(): i for i, (p, _, kind) in enumerate(pieces) if kind == 1}
+        self.scores = {p.decode(): score for p, score, kind in pieces if kind == 1}
+        self.of_byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
+        self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
+        self.known: dict[str, tuple[bytes, str]] = {}
+        mark = SPACE_MARK.decode()
+        #: No piece goes on with a space mark after another character; none of several characters has a line feed.
+        self.by_mark = not any(mark in p.lstrip(mark) for p in self.ids)
+        line = "\n" if not any("\n" in p and len(p) > 1 for p in self.ids) else ""
+        self.word = re.compile(f"{mark}*[^{mark}{line}]+|{mark}+" + (f"|{line}" if line else "") if self.by_mark else "(?s:.+)")
+
+    def _join(self, word: str) -> list[str]:
+        """The pieces of a word."""
+        parts, score = list(word), self.scores.get
+        if len(parts) > LONG:
+            return self._join_long(parts)
+        found = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while found and (best := max(found)) != NEVER:
+            k = found.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del found[k]
+            if k:
+                found[k - 1] = score(parts[k - 1] + parts[k], NEVER)
+            if k < len(found):
+                found[k] = score(parts[k] + parts[k + 1], NEVER)
+        return parts
+
+    def _join_long(self, parts: list[str]) -> list[str]:
+        """The same with a heap of candidates; those whose ends have changed meanwhile are passed over."""
+        score, n = self.scores.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and (j := after[i]) < n and (s := score(both := parts[i] + parts[j], NEVER)) != NEVER:
+                heapq.heappush(heap, (-s, i, both))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            if not parts[i] or (j := after[i]) >= n or len(parts[i]) + len(parts[j]) != len(both) or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j], after[i] = both, "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [x for x in parts if x]
+
+    def _learn(self, word: str) -> tuple[bytes, str]:
+        ids = []
+        for piece in self._join(word):
+            found = self.ids.get(piece)
+            if found is not None:
+                ids.append(found)
+            elif self.of_byte:
+                ids += [self.of_byte[c] for c in piece.encode()]
+            else:
+                ids.append(self.unknown)
+        own = np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids))
+        if len(word) <= LONG:
+            self.known[word] = own
+        return own
+
+    def __call__(self, normal: str) -> tuple[bytes, str]:
+        """Ids of a normalised text, as little-endian unsigned 32-bit integers and in decimal with commas."""
+        words = self.word.findall(normal)
+        known = self.known
+        if len(known) > HELD:
+            known.clear()
+        try:
+            found = [known[w] for w in words]
+        except KeyError:
+            found = [known[w] if w in known else self._learn(w) for w in words]
+        return b"".join([raw for raw, _ in found]), ",".join([text for _, text in found])
+
+
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
@@ -178,43 +282,72 @@ class PieceCodec:
 
         with open(path, "rb") as f:
             model = f.read()
-        pieces, normalizer = [], b""
+        pieces, normalizer, kind = [], b"", 0
         for number, value in _fields(model):
             if number == 1:
                 own = dict(_fields(value))
-                pieces.append((own.get(1, b""), own.get(3, 1)))
+                score = struct.unpack("<f", struct.pack("<I", own.get(2, 0)))[0]
+                pieces.append((own.get(1, b""), score, own.get(3, 1)))
+            elif number == 2:
+                kind = dict(_fields(value)).get(3, 1)
             elif number == 3:
                 normalizer = value
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.normalize = Normalizer(normalizer, tuple(p for p, kind in pieces if kind == USER_DEFINED))
+        self.normalize = Normalizer(normalizer, tuple(p for p, _, kind in pieces if kind == USER_DEFINED))
+        self.merges = Merges(pieces) if kind == BPE and not {k for _, _, k in pieces} & {USER_DEFINED, UNUSED} else None
         #: Normalised bytes of each piece: a byte piece covers one, the unknown piece what is left over.
-        self.widths = np.array([1 if kind == BYTE else 0 if kind in (UNKNOWN, CONTROL) else len(p) for p, kind in pieces], np.int64)
-        self.unknown = next((i for i, (_, kind) in enumerate(pieces) if kind == UNKNOWN), -1)
-        self.surfaces = [p for p, _ in pieces]
-        self.decimal = [str(i) for i in range(len(pieces))]
+        self.widths = np.array([1 if kind == BYTE else 0 if kind in (UNKNOWN, CONTROL) else len(p) for p, _, kind in pieces], np.int64)
+        self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), -1)
+        self.surfaces = [p for p, _, _ in pieces]
+        #: What each piece decodes to.
+        shown = {UNKNOWN: lambda p: " \u2047 ".encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes((int(p[3:5], 16),))}
+        self.texts = [shown.get(kind, lambda p: p.replace(SPACE_MARK, b" "))(p) for p, _, kind in pieces]
+        self.marked = [kind not in (UNKNOWN, CONTROL, BYTE) and p.startswith(SPACE_MARK) for p, _, kind in pieces]
+        self.silent = [kind == CONTROL for _, _, kind in pieces]
+
+    def coded(self, text: str) -> tuple[np.ndarray, str, bytes, np.ndarray]:
+        """Ids, the same in decimal, the normalised bytes, and the source offset of each and of the end."""
+        normal, origin = self.normalize(text)
+        if self.merges is None:
+            ids = self.library.encode(text, add_bos=False, add_eos=False, enable_sampling=False)
+            return np.array(ids, np.int64), ",".join(map(str, ids)), normal, origin
+        raw, decimal = self.merges(normal.decode())
+        return np.frombuffer(raw, np.uint32).astype(np.int64), decimal, normal, origin
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids without begin or end ids, no sampling."""
-        return self.library.encode(texts, num_threads=1, add_bos=False, add_eos=False, enable_sampling=False)
+        return [self.coded(t)[0].tolist() for t in texts]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.library.decode(ids, num_threads=1)
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids. The space mark that normalising puts before a text is taken off again."""
+        silent = [k for k, i in enumerate(ids) if self.silent[i]] if any(map(self.silent.__getitem__, set(ids))) else []
+        if silent:  # control ids part the bytes of a character
+            runs = [ids[a + 1 : b] for a, b in zip([-1, *silent], [*silent, len(ids)], strict=True)]
+        else:
+            runs = [ids]
+        out = [b"".join([self.texts[i] for i in run]).decode("utf-8", "meshwright_one_byte") for run in runs]
+        first = next((k for k, run in enumerate(runs) if run), None)
+        if first is not None and self.marked[runs[first][0]] and (self.normalize.add_prefix or self.normalize.trim):
+            out[first] = out[first][1:]
+        return "".join(out)
 
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """(begin, end) of every piece in the text's UTF-8 bytes, one row an id.
+    def spans(self, text: str, ids: list[int]) -> np.ndarray | None:
+        """(begin, end) of every piece in the text's UTF-8 bytes, one row an id; None if they do not cover it.
 
         A piece that covers only inserted bytes, such as the leading space mark, has an empty span; the
         byte pieces of one character each have the span of their own byte.
         """
-        normal, origin = self.normalize(text)
-        of = np.asarray(ids, np.int64)
-        width = self.widths[of] if len(of) else np.zeros(0, np.int64)
-        if len(of) and (of == self.unknown).any():
-            width = self._with_unknown(normal, of, width)
+        return self.projected(np.asarray(ids, np.int64), *self.normalize(text))
+
+    def projected(self, ids: np.ndarray, normal: bytes, origin: np.ndarray) -> np.ndarray | None:
+        """spans() of a text that is normalised already."""
+        width = self.widths[ids]
+        if (ids == self.unknown).any():
+            width = self._with_unknown(normal, ids, width)
         ends = np.cumsum(width)
         if (int(ends[-1]) if len(ends) else 0) != len(normal):
-            raise ValueError("the pieces do not cover the normalised text")
-        return np.stack([origin[ends - width], origin[ends]], axis=1) if len(of) else np.zeros((0, 2), np.int64)
+            return None
+        return np.stack([origin[ends - width], origin[ends]], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
 
     def _with_unknown(self, normal: bytes, ids: np.ndarray, width: np.ndarray) -> np.ndarray:
         """An unknown piece reaches to where the next known piece begins."""
@@ -241,13 +374,17 @@ def codec(path: str) -> PieceCodec:
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: array, spans: array of (begin, end) in UTF-8 bytes, decoded) for every row."""
 
+    bound_batches(docs.sparkSession)
+
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
         for frame in frames:
-            texts = frame["_text"].tolist()
-            ids = own.encode(texts)
-            spans = [[(int(a), int(b)) for a, b in own.spans(t, i)] for t, i in zip(texts, ids, strict=True)]
-            yield pd.DataFrame({"_id": frame["_id"], "ids": ids, "spans": spans, "decoded": own.decode(ids)})
+            out = []
+            for doc, text in zip(frame["_id"], frame["_text"].tolist(), strict=True):
+                ids, _, normal, origin = own.coded(text)
+                spans = own.projected(ids, normal, origin)
+                out.append((doc, ids.tolist(), None if spans is None else [(int(x), int(y)) for x, y in spans], own.decode(ids.tolist())))
+            yield pd.DataFrame(out, columns=["_id", "ids", "spans", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("_id"), blank(text_col).alias("_text"))
     kind = dict(docs.dtypes)[id_col]
@@ -258,33 +395,31 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, span_bytes) for every row; also ids, if asked for.
 
-    span_bytes: source bytes in the spans of the pieces, which is all of them if nothing was lost.
+    span_bytes: source bytes in the spans of the pieces, which is all of them if nothing was lost; null if they
+    do not cover the text.
     ids: little-endian unsigned 32-bit integers.
     """
 
-    shared_dir(docs.sparkSession)  # bounds the batches
+    bound_batches(docs.sparkSession)
     columns = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", *(["ids"] if with_ids else [])]
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
-        digits = own.decimal
 
         def sha(text: str) -> str:
             return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
         for frame in frames:
-            out, ids_of, texts_of = [], frame["_id"].tolist(), frame["_text"].tolist()
-            for at in range(0, len(ids_of), 64):  # lists of ids are large; few of them live at once
-                texts = texts_of[at : at + 64]
-                ids = own.encode(texts)
-                for doc, text, i, back in zip(ids_of[at : at + 64], texts, ids, own.decode(ids), strict=True):
-                    spans = own.spans(text, i)
-                    covered = int((spans[:, 1] - spans[:, 0]).sum())
-                    raw = (np.array(i, np.uint32).tobytes(),) if with_ids else ()
-                    out.append((doc, len(i), sha(",".join([digits[x] for x in i])), sha(back), covered, *raw))
+            out = []
+            for doc, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
+                ids, decimal, normal, origin = own.coded(text)
+                spans = own.projected(ids, normal, origin)
+                covered = None if spans is None else str(int((spans[:, 1] - spans[:, 0]).sum()))
+                raw = (ids.astype(np.uint32).tobytes(),) if with_ids else ()
+                out.append((doc, len(ids), sha(decimal), sha(own.decode(ids.tolist())), covered, *raw))
             yield pd.DataFrame(out, columns=columns)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), blank(text_col).alias("_text"))
-    coded = rows.mapInPandas(task, "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long" + ", ids binary" * with_ids)
+    coded = rows.mapInPandas(task, "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes string" + ", ids binary" * with_ids)
     kind = dict(docs.dtypes)[id_col]
-    return coded.select(F.when(F.col("_id") != "", F.col("_id")).cast(kind).alias(id_col), *columns[1:])
+    return coded.withColumn("span_bytes", F.col("span_bytes").cast("long")).select(F.when(F.col("_id") != "", F.col("_id")).cast(kind).alias(id_col), *columns[1:])

@@ -49,3 +49,71 @@ def test_rows(spark):
     full = {r.doc_id: r for r in sc.encode_pieces(docs.where("doc_id = 3"), MODEL).collect()}[3]
     assert full.ids == library.encode("\x00▁ <s>") and full.decoded == library.decode(full.ids) and len(full.spans) == len(full.ids)
     assert sc.piece_digests(docs.limit(0), MODEL).count() == 0
+
+
+def hostile(rng, n):
+    alphabet = ["a", "b", "the", " ", "  ", "\n", "\t", "▁", "é", "ß", "日本", "😀", "\x00", "<s>", "<0x41>", "ing", "tion", ".", ",", "\u0301", "\ufffd", "zz", "0", "12"]
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_ids_and_texts_equal_library():
+    library = spm.SentencePieceProcessor(model_file=MODEL)
+    own = sc.codec(MODEL)
+    rng = random.Random(1)
+    texts = [hostile(rng, rng.randint(0, 60)) for _ in range(4000)] + [hostile(rng, 3000), "x" * 5000, "ab" * 3000, " " * 500, "the" * 400 + " " + "\n" * 300]
+    for text in texts:
+        ids = own.coded(text)[0].tolist()
+        assert ids == library.encode(text), text
+        assert own.decode(ids) == library.decode(ids), text
+
+
+def test_decoding_any_ids_equals_library():
+    library = spm.SentencePieceProcessor(model_file=MODEL)
+    own = sc.codec(MODEL)
+    rng = random.Random(2)
+    for _ in range(3000):
+        ids = [rng.randrange(rng.choice((10, 300, 32000))) for _ in range(rng.randint(0, 8))]
+        assert own.decode(ids) == library.decode(ids), ids
+
+
+def test_long_words_by_heap(monkeypatch):
+    own = sc.codec(MODEL)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abetionsr▁") for _ in range(rng.randint(2, 90))) for _ in range(300)]
+    want = [own.merges._join(w) for w in words]
+    monkeypatch.setattr(sc, "LONG", 0)
+    assert [own.merges._join(w) for w in words] == want
+
+
+def test_mapped_model_through_spark(spark, tmp_path):
+    """A model whose normaliser has a character map: each piece's span holds what the library aligns it with."""
+    with open(MODEL, "rb") as f:
+        given = f.read()
+    # the given vocabulary with another normaliser: no model is trained
+    spec = spm.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True).serialized_model_proto()
+    rule = dict(sc._fields(spec))[3]
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes(out + bytes([n]))
+
+    parts = []
+    for number, value in sc._fields(given):
+        if number != 3:
+            parts.append(varint(number << 3 | 2) + varint(len(value)) + value)
+    model = tmp_path / "mapped.model"
+    model.write_bytes(b"".join(parts) + varint(3 << 3 | 2) + varint(len(rule)) + rule)
+    library = spm.SentencePieceProcessor(model_file=str(model))
+    rows = [(1, "ﬁne  café １２"), (2, " ㍿ ｶﾞ\t½"), (3, ""), (4, None), (5, "Å" * 500), (5, " \u3000x ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sc.encode_pieces(docs, str(model)).collect()
+    assert len(got) == len(rows)
+    for r, (_, text) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0]), strict=True):
+        assert sorted(map(tuple, [(x.doc_id, tuple(x.ids)) for x in got])) == sorted((i, tuple(library.encode(t or ""))) for i, t in rows)
+        if r.doc_id != 5:
+            assert r.decoded == library.decode(r.ids)
+            raw = (text or "").encode()
+            assert all(0 <= s.begin <= s.end <= len(raw) for s in r.spans) and len(r.spans) == len(r.ids)
