@@ -6,6 +6,10 @@ fairly, until one of them is integral; the other goes on. So a source's mass sta
 most one row of a source is left over. Rows meet in chunks of bounded size, the chunks' leftovers meet in
 chunks of chunks, and so on: a reduction tree whose tasks never grow.
 
+The smaller of two rows tends to be settled, so what the tree leaves over tends to be large. Some RESERVE rows of
+each source, picked by hash, therefore wait at its root. There rows are settled by descending size, and what each
+is off goes to the next, so that a source misses its target by about the size of its smallest waiting row.
+
 Defined cases: a null text has size 0; null is a source of its own, last in order; a row of size 0, or
 in a source of target 0, is taken 0 times. Rows that repeat an id are rounded one by one. Random numbers
 are hashes of the ids and the seed, so reruns agree. An empty table gives no rows.
@@ -13,13 +17,15 @@ are hashes of the ids and the seed, so reruns agree. An empty table gives no row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm.common import WORD, blank, cut, numbered, on_small
 
-#: Rows that meet in one chunk on average.
-CHUNK = 32
+#: Rows that meet in one chunk, and rows of a source that wait at the root, on average.
+CHUNK, RESERVE = 32, 256
+ITEM = "struct<order:bigint,id:bigint,mark:bigint,size:bigint,base:bigint,p:double>"
+DONE = "array<struct<id:bigint,mark:bigint,size:bigint,copies:bigint>>"
 
 
 def word_count(text: str | Column) -> Column:
@@ -59,11 +65,16 @@ def _uniform(*parts: Column | str) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def _meet(items: Column, seed: int) -> Column:
-    """Folds an array of (order, id, size, base, p) to (left: the fractional item or null, done: (id, size, copies))."""
+def _settled(x: Column, up: Column) -> Column:
+    return F.struct(x["id"].alias("id"), x["mark"].alias("mark"), x["size"].alias("size"), (x["base"] + F.when(up, 1).otherwise(0)).cast("long").alias("copies"))
+
+
+def _with_p(x: Column, p: Column) -> Column:
+    return F.struct(*(x[c].alias(c) for c in ("order", "id", "mark", "size", "base")), p.alias("p"))
 
-    def settled(x: Column, up: Column) -> Column:
-        return F.struct(x.id.alias("id"), x["size"].alias("size"), (x.base + F.when(up, 1).otherwise(0)).cast("long").alias("copies"))
+
+def _meet(items: Column, seed: int) -> Column:
+    """Folds an array of ITEM to (left: the fractional item or null, done: DONE)."""
 
     def step(state: Column, b: Column) -> Column:
         a = state.left
@@ -73,27 +84,31 @@ def _meet(items: Column, seed: int) -> Column:
         # which of the two becomes integral: the one whose bound is met first
         a_ends = F.when(rise, (1 - a.p) * a["size"] <= b.p * b["size"]).otherwise(a.p * a["size"] <= (1 - b.p) * b["size"])
         mass = F.when(rise, up).otherwise(-down)
-        stays = F.when(
-            a_ends,
-            F.struct(b.order.alias("order"), b.id.alias("id"), b["size"].alias("size"), b.base.alias("base"), (b.p - mass / b["size"]).alias("p")),
-        ).otherwise(
-            F.struct(a.order.alias("order"), a.id.alias("id"), a["size"].alias("size"), a.base.alias("base"), (a.p + mass / a["size"]).alias("p"))
-        )
-        ends = F.when(a_ends, settled(a, rise)).otherwise(settled(b, ~rise))
+        stays = F.when(a_ends, _with_p(b, b.p - mass / b["size"])).otherwise(_with_p(a, a.p + mass / a["size"]))
+        ends = F.when(a_ends, _settled(a, rise)).otherwise(_settled(b, ~rise))
         tiny = F.lit(1e-12)
         both = (stays.p <= tiny) | (stays.p >= 1 - tiny)
-        none = F.lit(None).cast("struct<order:bigint,id:bigint,size:bigint,base:bigint,p:double>")
-        done = F.when(both, F.concat(state.done, F.array(ends, settled(stays, stays.p > 0.5)))).otherwise(F.concat(state.done, F.array(ends)))
-        met = F.struct(F.when(~both, stays).otherwise(none).alias("left"), done.alias("done"))
+        done = F.when(both, F.concat(state.done, F.array(ends, _settled(stays, stays.p > 0.5)))).otherwise(F.concat(state.done, F.array(ends)))
+        met = F.struct(F.when(~both, stays).otherwise(F.lit(None).cast(ITEM)).alias("left"), done.alias("done"))
         return F.when(a.isNull(), F.struct(b.alias("left"), state.done.alias("done"))).otherwise(met)
 
-    empty = F.struct(
-        F.lit(None).cast("struct<order:bigint,id:bigint,size:bigint,base:bigint,p:double>").alias("left"),
-        F.array().cast("array<struct<id:bigint,size:bigint,copies:bigint>>").alias("done"),
-    )
+    empty = F.struct(F.lit(None).cast(ITEM).alias("left"), F.array().cast(DONE).alias("done"))
     return F.aggregate(items, empty, step)
 
 
+def _settle(items: Column, seed: int) -> Column:
+    """DONE of an array of ITEM by descending size: each is rounded at random, and takes over what those before are off."""
+
+    def step(state: Column, x: Column) -> Column:
+        p = x["p"] + state["off"] / x["size"]
+        up = _uniform(x["order"], x["id"], F.lit(seed)) < p
+        off = (p - F.when(up, 1).otherwise(0)) * x["size"]
+        return F.struct(off.alias("off"), F.concat(state["done"], F.array(_settled(x, up))).alias("done"))
+
+    empty = F.struct(F.lit(0.0).alias("off"), F.array().cast(DONE).alias("done"))
+    return F.aggregate(items, empty, step)["done"]
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -104,31 +119,40 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) for every row; copies is how often the mix repeats it."""
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("_size")))
+    """(id, size, source_size, target, copies, taken, _mark) for every row; copies is how often the mix repeats it.
+
+    _mark is a hash of the row's text.
+    """
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("_size"), F.xxhash64(text_col).alias("_mark")))
     sources, count = source_targets(rows, weights, share, most)
     sources = cut(sources)
     hinted = on_small(sources, count)
     same = F.col("r._source").eqNullSafe(F.col("s._source"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    placed = rows.alias("r").join(hinted.alias("s"), same).select("r._source", "r._id", "r._size", "rows", each.alias("_each"))
+    placed = rows.alias("r").join(hinted.alias("s"), same).select("r._source", "r._id", "r._mark", "r._size", "rows", each.alias("_each"))
     base = F.floor(F.col("_each") + 1e-12)
     part = F.greatest(F.col("_each") - base, F.lit(0.0))
     split = placed.withColumns({"base": base.cast("long"), "p": part})
     certain = (F.col("_size") == 0) | (F.col("p") <= 1e-12)
-    done = split.where(certain).select("_source", F.col("_id").alias("id"), F.col("_size").alias("size"), F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("base")).cast("long").alias("copies"))
-    left = split.where(~certain).select(
-        "_source",
-        F.ceil(F.col("rows") / CHUNK).alias("_chunks"),
-        F.xxhash64("_id", "_size", F.lit(seed)).alias("order"),
-        F.col("_id").alias("id"),
-        F.col("_size").alias("size"),
-        "base",
-        "p",
+    done = split.where(certain).select("_source", F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.col("_size").alias("size"), F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("base")).cast("long").alias("copies"))
+    order = F.xxhash64("_id", "_size", F.lit(seed))
+    fractional = cut(
+        split.where(~certain).select(
+            "_source",
+            F.ceil(F.col("rows") / CHUNK).alias("_chunks"),
+            (F.pmod(F.xxhash64("_id", "_mark", F.lit(seed + 1)), F.ceil(F.col("rows") / RESERVE)) == 0).alias("_waits"),
+            order.alias("order"),
+            F.col("_id").alias("id"),
+            F.col("_mark").alias("mark"),
+            F.col("_size").alias("size"),
+            "base",
+            "p",
+        )
     )
+    item = F.struct("order", "id", "mark", "size", "base", "p")
+    left = fractional.where("not _waits").drop("_waits")
     chunks = -(-(sources.agg(F.max("rows")).first()[0] or 0) // CHUNK)
     while True:
-        item = F.struct("order", "id", "size", "base", "p")
         met = (
             left.withColumn("_chunk", F.pmod(F.xxhash64("order", "id", F.lit(chunks)), F.col("_chunks")))
             .groupBy("_source", "_chunks", "_chunk")
@@ -141,9 +165,10 @@ def mix_sources(
         if chunks <= 1:
             break
         chunks = -(-chunks // CHUNK)
-    # one row a source at most is left: its fraction is its chance
-    chance = _uniform("order", "id", F.lit(seed + 1)) < F.col("p")
-    last = left.select("_source", "id", "size", (F.col("base") + F.when(chance, 1).otherwise(0)).cast("long").alias("copies"))
+    # at the root: one row a source at most that is left over, and those that have waited
+    root = left.drop("_chunks").unionByName(fractional.where("_waits").drop("_waits", "_chunks"))
+    by_size = F.struct((-F.col("size")).alias("less"), "order", "id", "mark", "size", "base", "p")
+    last = root.groupBy("_source").agg(F.sort_array(F.collect_list(by_size)).alias("items")).select("_source", F.explode(_settle(F.col("items"), seed + 1)).alias("d")).select("_source", "d.*")
     d = done.unionByName(last).alias("d")
     return d.join(hinted.alias("s"), F.col("d._source").eqNullSafe(F.col("s._source"))).select(
         F.col("id").alias(id_col),
@@ -152,16 +177,19 @@ def mix_sources(
         F.col("target").cast("double").alias("target"),
         "copies",
         (F.col("size") * F.col("copies")).alias("taken"),
+        F.col("mark").alias("_mark"),
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The mix itself: the rows of `docs`, each as often as mix_sources() takes it, with their own columns.
 
-    Rows that share an id take the most copies decided for it.
+    Rows go by id and hash of the text; those that share both share out the copies decided for them.
     """
-    copies = mix_sources(docs, id_col=id_col, **settings).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    joined = rows.join(copies, F.col("_id").eqNullSafe(F.col("_mix_id"))).where("_copies > 0")
-    repeats = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
-    return joined.select("_row", repeats.alias("_repeat")).select("_row.*")
+    mix = mix_sources(docs, id_col=id_col, text_col=text_col, **settings)
+    copies = mix.groupBy(F.col(id_col).alias("_mix_id"), "_mark").agg(F.sort_array(F.collect_list(F.col("copies").cast("int"))).alias("_copies"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    joined = rows.join(copies, F.col("_id").eqNullSafe(F.col("_mix_id")) & (F.col("_hash") == F.col("_mark")))
+    place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
+    own = joined.withColumn("_n", F.element_at("_copies", place)).where("_n > 0")
+    return own.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_repeat")).select("_row.*")

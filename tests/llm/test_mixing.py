@@ -60,3 +60,44 @@ def test_edges(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     mixed = mixing.mixed(docs(spark, [(1, "a b", "s"), (2, "c d", "s"), (3, "e", "t")]))
     assert mixed.columns == ["doc_id", "text", "source", "copies"] and mixed.count() >= 3
+
+
+def test_sources_come_near_their_targets(spark):
+    """By the mass of a small row, whatever the sizes: brute-force levels of the targets, then the misses."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * int(rng.paretovariate(0.8) * 10 % 20_000 + 1)), f"s{rng.randint(0, 11):02d}") for i in range(3000)]
+    rows += [(9000, "w " * 60_000, "s00"), (9001, None, "s01"), (9002, "", None), (9003, "x y", None), (9004, "z", None)]
+    size, weight, of = {}, {}, {}
+    for i, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+        of[i] = s
+    for k, s in enumerate(sorted(size, key=lambda s: (s is None, s))):
+        weight[s] = (3, 1, 2)[k % 3]
+    total, fixed = 1.5 * sum(size.values()), {}
+    while True:
+        level = (total - sum(fixed.values())) / sum(w for s, w in weight.items() if s not in fixed)
+        over = [s for s in size if s not in fixed and weight[s] * level > 2 * size[s]]
+        if not over:
+            break
+        fixed |= {s: 2.0 * size[s] for s in over}
+    got = mixing.mix_sources(docs(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(of)
+    taken = dict.fromkeys(size, 0)
+    for r in got:
+        s = of[r.doc_id]
+        assert r.source_size == size[s] and r.target == pytest.approx(fixed.get(s, weight[s] * level)) and 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+    for s in size:
+        target = fixed.get(s, weight[s] * level)
+        assert abs(taken[s] - target) <= max(2, 0.005 * target), (s, taken[s], target)
+
+
+def test_repeated_ids_share_out_their_copies(spark):
+    rows = [(i % 5, "w " * (i % 7 + 1), "s") for i in range(60)] + [(None, "a b", "t")] * 3
+    df = docs(spark, rows)
+    want, made = {}, {}
+    for r in mixing.mix_sources(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    for r in mixing.mixed(df).collect():
+        made[r.doc_id] = made.get(r.doc_id, 0) + len(r.text.split())
+    assert {k: v for k, v in want.items() if v} == made
