@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import blank, cut
+from meshwright.llm.common import blank, cut, if_light, join_uneven
 
 #: Groups, and then partial partitions, that meet in one task on average.
 BUCKET, FAN = 4096, 512
@@ -87,14 +87,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
         for b in frame["_bytes"]:
             parts.append(np.zeros(shards, np.int64))
             parts[-1][0] = b
-        return frame.assign(_part=[int(x[0]) for x in difference(parts, shards)]).drop(columns="_rows")
+        return frame.assign(_part=[int(x[0]) for x in difference(parts, shards)])
 
     # level 0: groups to parts of their bucket
     placed = cut(
-        dealt.groupBy("_bucket").applyInPandas(first, "_hash long, text_crc32 long, size long, _bytes long, _bucket long, _part int")
+        dealt.groupBy("_bucket").applyInPandas(first, "_hash long, text_crc32 long, size long, _bytes long, _rows long, _bucket long, _part int")
     )
     sums = placed.groupBy("_bucket", "_part").agg(F.sum("_bytes").alias("_bytes"))
-    fates = []  # by level: (_bucket, _part) to (_up, _fate)
+    fates = []  # by level: (_bucket, _part) to (_up, _fate), and how many there are
     while True:
         ups = -(-buckets // FAN)
 
@@ -113,14 +113,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
             .groupBy("_up")
             .applyInPandas(merge, "_bucket long, _part int, _fate int, _bytes long, _up long")
         )
-        fates.append(met.select("_bucket", "_part", "_up", "_fate"))
+        fates.append((met.select("_bucket", "_part", "_up", "_fate"), buckets * shards))
         if ups <= 1:
             break
         sums = met.groupBy(F.col("_up").alias("_bucket"), F.col("_fate").alias("_part")).agg(F.sum("_bytes").alias("_bytes"))
         buckets = ups
-    for level in fates:
-        placed = placed.join(level, ["_bucket", "_part"]).select(*key, F.col("_up").alias("_bucket"), F.col("_fate").alias("_part"))
-    assigned = rows.join(cut(placed.select(*key, F.col("_part").alias("shard"))), key)
+    for level, n in fates:
+        placed = placed.join(if_light(level, n, 32), ["_bucket", "_part"]).select(*key, "_rows", F.col("_up").alias("_bucket"), F.col("_fate").alias("_part"))
+    assigned = join_uneven(rows, cut(placed.select(*key, "_rows", F.col("_part").alias("shard"))), key, "_rows", n_rows)
 
     # slots: rows are numbered in small runs of a shard, then moved by the runs before
     runs = max(64, n_rows // 400_000)

@@ -42,3 +42,31 @@ def test_shards(spark, monkeypatch, bucket, fan):
 
 def test_empty(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_equals_its_law(spark, data):
+    """Every row once, equal texts together, slots gapless, and the shards as near as whole groups allow."""
+    import zlib
+
+    from meshwright.llm.queries import op10_kk_sharding
+
+    rows = {r.doc_id: (r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = op10_kk_sharding(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    shards, slots, place = [0] * 40, [[] for _ in range(40)], {}
+    for r in got:
+        raw = rows[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        assert place.setdefault(raw, r.shard) == r.shard
+        shards[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    groups = {}
+    for t in rows.values():
+        groups[t] = groups.get(t, 0) + len(t.encode()) + 16
+    # the plain greedy of largest first is no better
+    plain = [0] * 40
+    for b in sorted(groups.values(), reverse=True):
+        k = plain.index(min(plain))
+        plain[k] += b
+    assert max(shards) - min(shards) <= max(plain) - min(plain) + 64
