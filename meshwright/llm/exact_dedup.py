@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import SPACES, blank, cut, shared_dir
+from meshwright.llm.common import SPACES, blank, cut, join_uneven, remove, shared_dir
 
 
 def normal_text(text: str | Column) -> Column:
@@ -74,7 +74,9 @@ class DigestIndex:
             .join(self.rows().hint("merge"), "_digest", "left")
             .join(fresh.select("_digest", "_keep_uid"), "_digest", "left")
         )
-        return marked.join(cut(keep), "_digest").select(
+        keep = cut(keep.withColumn("_copies", F.col("group_size")))
+        total = keep.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()[0]
+        return join_uneven(marked, keep, ["_digest"], "_copies", total).select(
             F.col("_id").alias(id_col),
             F.col("_keep_id").alias("keep_id"),
             "group_size",
@@ -83,8 +85,20 @@ class DigestIndex:
             "_text_hash",
         )
 
+    def compact(self) -> None:
+        """Rewrites the index at a new place, so that each bucket is one sorted file again, and drops the old files."""
+        old, self.location = self.location, f"{self.location.rstrip('/')}-{uuid.uuid4().hex[:8]}"
+        made = f"{self.name}_{uuid.uuid4().hex[:8]}"
+        fresh = DigestIndex(self.spark, made, self.location, self.buckets)
+        self.rows().repartition(self.buckets, "_digest").sortWithinPartitions("_digest").write.insertInto(made)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {fresh.name} RENAME TO {self.name}")
+        remove(self.spark, [old])
+
     def drop(self) -> None:
+        """The table and its files; decisions that admit() has given stay valid."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, [self.location])
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

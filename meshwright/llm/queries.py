@@ -30,7 +30,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are one batch for a new index; the digest column is the index's own."""
     from pyspark.sql import functions as F
 
-    decided = DigestIndex.temporary(spark).admit(table(spark, sf_dir, "documents"))
+    index = DigestIndex.temporary(spark)
+    decided = index.admit(table(spark, sf_dir, "documents"))
+    index.drop()
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
 
 

@@ -34,3 +34,16 @@ def test_later_batches(spark):
 
 def test_query(same_rows):
     same_rows("op1_exact_dedup")
+
+
+def test_compaction_keeps_the_index(spark):
+    index = DigestIndex.temporary(spark, buckets=3)
+    batches = [spark.createDataFrame([(10 * k + i, f"text {i * (k + 1)}") for i in range(9)], "doc_id long, text string") for k in range(3)]
+    for b in batches[:2]:
+        index.admit(b).count()
+    before = sorted(map(tuple, index.rows().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.rows().collect())) == before
+    again = index.admit(batches[0])
+    index.drop()
+    assert again.where("kept").count() == 0 and again.count() == 9
