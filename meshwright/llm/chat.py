@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import cut, numbered
+from meshwright.llm.common import cut, numbered, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -57,9 +57,11 @@ def common_turns(a: Column, b: Column) -> Column:
 def preference_format(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """`pairs` with prompt_turns, identical, prompt, and both completions with their learn spans.
 
-    chosen, rejected: arrays of (role, text).
+    chosen, rejected: arrays of (role, text). Columns of `pairs` with one of these names go on as input_<name>.
     """
-    a, b = F.col(chosen), F.col(rejected)
+    made = ["prompt_turns", "identical", "prompt", "chosen_completion", "rejected_completion", "chosen_spans", "rejected_spans"]
+    pairs = pairs.withColumnsRenamed({c: f"input_{c}" for c in pairs.columns if c in made})
+    a, b = (F.col(f"input_{c}" if c in made else c) for c in (chosen, rejected))
     shared = pairs.withColumn("prompt_turns", common_turns(a, b))
     n = F.col("prompt_turns")
     rest_a, rest_b = (F.slice(x, n + 1, F.size(x)) for x in (a, b))
@@ -89,16 +91,16 @@ def swapped_answers(turns: DataFrame) -> DataFrame:
     The neighbour comes by an equi-join of consecutive numbers, so no turn or conversation that many rows
     share gathers them in one task.
     """
-    assistant = F.filter("turns", lambda t: F.coalesce(t["role"] == "assistant", F.lit(False)))
-    own = conversation_arrays(turns).where(F.exists("turns", lambda t: F.coalesce(t["role"] == "assistant", F.lit(False))))
-    flags = F.transform("turns", lambda t: F.coalesce(t["role"] == "assistant", F.lit(False)))
+    is_answer = lambda t: F.coalesce(t["role"] == "assistant", F.lit(False))
+    flags = F.transform("turns", is_answer)
     last = (F.size("turns") - F.array_position(F.reverse(flags), True) + 1).cast("int")
-    own = own.select("conv_id", F.slice("turns", 1, last).alias("chosen"), F.element_at(assistant, -1).alias("answer"))
-    placed = cut(numbered(own, [F.col("conv_id")], "place"))
-    count = placed.count()
-    answers = placed.select(
-        F.pmod(F.col("place") - 1, F.lit(max(count, 1))).alias("place"), F.col("conv_id").alias("rejected_conv_id"), F.col("answer").alias("other")
-    )
-    pairs = placed.drop("answer").join(answers, "place")
+    own = stored(conversation_arrays(turns).where(F.exists("turns", is_answer)).select("conv_id", F.slice("turns", 1, last).alias("chosen")))
+    # ids alone are numbered; the texts follow by joins
+    ids = cut(numbered(own.select("conv_id"), [F.col("conv_id")], "place"))
+    count = ids.count()
+    after = ids.select(F.pmod(F.col("place") - 1, F.lit(max(count, 1))).alias("place"), F.col("conv_id").alias("rejected_conv_id"))
+    pairs = ids.join(after, "place").drop("place")
+    answers = own.select(F.col("conv_id").alias("rejected_conv_id"), F.element_at("chosen", -1).alias("other"))
+    met = own.join(pairs.join(answers, "rejected_conv_id"), "conv_id")
     head = F.slice("chosen", 1, F.size("chosen") - 1)
-    return pairs.select("conv_id", "rejected_conv_id", "chosen", F.concat(head, F.array("other")).alias("rejected"))
+    return met.select("conv_id", "rejected_conv_id", "chosen", F.concat(head, F.array("other")).alias("rejected"))

@@ -65,3 +65,39 @@ def test_every_answered_conversation_has_a_pair(spark, data):
     made = op6_preference_chat(spark, data)
     assert made.count() == own.where("role = 'assistant'").select("conv_id").distinct().count()
     assert made.where(F.col("identical")).count() == 0
+
+
+def test_chat_query_equals_brute_force(spark, data):
+    from meshwright.llm.queries import op6_preference_chat
+
+    talks = {}
+    for r in spark.read.parquet(f"{data}/conversations.parquet").collect():
+        talks.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    own = {}
+    for k, turns in talks.items():
+        turns = [(role, text) for _, role, text in sorted(turns, key=lambda t: (t[0], t[1] or "", t[2] or ""))]
+        answers = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+        if answers:
+            own[k] = turns[: answers[-1] + 1]
+    ids = sorted(own)
+    show = lambda turns: "".join(f"<|im_start|>{a or 'unknown'}\n{b or ''}<|im_end|>\n" for a, b in turns)
+    want = {}
+    for k, i in enumerate(ids):
+        other = ids[(k + 1) % len(ids)]
+        a, b = own[i], own[i][:-1] + [own[other][-1]]
+        n = next((j for j in range(len(a)) if a[j] != b[j]), len(a))
+        want[i] = (other, n, a == b, show(a[:n]), show(a[n:]), show(b[n:]))
+    got = op6_preference_chat(spark, data).collect()
+    assert {r.conv_id: (r.rejected_conv_id, r.prompt_turns, r.identical, r.prompt, r.chosen_completion, r.rejected_completion) for r in got} == want
+    for r in got:
+        for text, spans in ((r.chosen_completion, r.chosen_spans), (r.rejected_completion, r.rejected_spans)):
+            assert [text[s.begin : s.end] for s in spans] == [x.split("\n", 1)[1] for x in text.split("<|im_start|>") if x.startswith("assistant\n")]
+
+
+def test_clashing_names_and_long_texts(spark):
+    turns = "array<struct<role:string,text:string>>"
+    long = "x" * 2_000_000
+    df = spark.createDataFrame([(7, [("user", long), ("assistant", "a")], [("user", long), ("assistant", long)], "mine")], f"prompt int, identical {turns}, rejected {turns}, chosen_spans string")
+    r = chat.preference_format(df, chosen="identical").first()
+    assert (r.input_prompt, r.input_chosen_spans, r.prompt_turns, r.identical) == (7, "mine", 1, False)
+    assert r.rejected_completion == f"<|im_start|>assistant\n{long}<|im_end|>\n" and len(r.input_identical) == 2
