@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.llm.common import scratch, table
+from meshwright.llm.common import remove, scratch, table
 from meshwright.llm.exact_dedup import DigestIndex, exact_dedup
 from meshwright.llm.jaccard import near_distinct
 from meshwright.llm.mixing import mixed
@@ -25,7 +25,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return exact_dedup(docs, DigestIndex.temporary(spark))
+    index = DigestIndex.temporary(spark)
+    kept = exact_dedup(docs, index)
+    index.drop()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, used = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = scratch(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
+        remove(spark, used)
+        used.append(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
