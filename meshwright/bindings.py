@@ -395,7 +395,7 @@ def terminal_selection(spark, sf_dir):
 
 def _nodes(spark, sf_dir):
     lines = drawings(spark, sf_dir)
-    return c.connectivity(_terminals(spark, sf_dir), am.cut(c.conductor_components(lines, _events(spark, sf_dir))), lines)
+    return c.connectivity(am.cut(_terminals(spark, sf_dir)), am.cut(c.conductor_components(lines, _events(spark, sf_dir))), lines)
 
 
 @query(f"""WITH RECURSIVE {B2}, {EQUIPMENT}, {NEAREST}, {COMPONENTS}, {NODES}

@@ -163,15 +163,16 @@ def nearest_segments(equipment: DataFrame, segments: DataFrame) -> DataFrame:
     to the first segment. The search is within the drawing, and the aggregation keeps one row a port and task.
     """
     ports = equipment.select("drawing", "equipment", F.posexplode(g.boundary_ports(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))).alias("port", "p"))
-    lines = segments.select("drawing", "segment", g.point(F.col("x1"), F.col("y1")).alias("a"), g.point(F.col("x2"), F.col("y2")).alias("b"))
-    met = ports.join(lines, "drawing").withColumn("q", g.project(F.col("p"), F.col("a"), F.col("b")))
-    near = met.groupBy("drawing", "equipment", "port").agg(
-        F.min_by(F.struct("p", "segment", "q"), F.struct(F.col("q.gap"), F.col("segment"))).alias("n")
-    )
-    return near.select(
-        "drawing", "equipment", "port", F.col("n.p.x").alias("px"), F.col("n.p.y").alias("py"), F.col("n.segment").alias("segment"),
-        F.col("n.q.gap").alias("gap"), F.col("n.q.x").alias("qx"), F.col("n.q.y").alias("qy"),
-    )
+    ports = ports.select("drawing", "equipment", "port", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    # each step is a column, so that no expression repeats another and the stage's code stays small
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    lines = segments.select("drawing", "segment", "x1", "y1", dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("square"))
+    raw = F.try_divide((F.col("px") - F.col("x1")) * F.col("dx") + (F.col("py") - F.col("y1")) * F.col("dy"), F.col("square"))
+    met = ports.join(lines, "drawing").withColumn("t", F.when(F.col("square") <= 1e-18, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))))
+    met = met.withColumns({"qx": F.col("x1") + F.col("t") * F.col("dx"), "qy": F.col("y1") + F.col("t") * F.col("dy")})
+    met = met.withColumn("gap", g.length(F.col("px") - F.col("qx"), F.col("py") - F.col("qy")))
+    near = met.groupBy("drawing", "equipment", "port", "px", "py").agg(F.min(F.struct("gap", "segment", "qx", "qy")).alias("n"))
+    return near.select("drawing", "equipment", "port", "px", "py", "n.segment", "n.gap", "n.qx", "n.qy")
 
 
 def attach_terminals(equipment: DataFrame, segments: DataFrame, h: float = g.CANONICAL_H) -> DataFrame:

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meshwright.operators.lineage import cut
 
 
+#: Counted edges up to which one task joins them, in some tens of MB.
+LOCAL_EDGES = 200_000
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """`vertices` with component: the least node reachable over undirected edges; isolated ones are their own.
 
     Rounds link each node's larger neighbours, then the node and its smaller ones, to the least of them,
-    until every component is a star. The rounds grow with the logarithm of the longest path.
+    until every component is a star. The rounds grow with the logarithm of the longest path. Once the counted
+    edges are at most LOCAL_EDGES, one task joins them, with the same result.
     """
     links = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links = cut(links)
-    state = None
-    while True:
+    state, stars, count = None, None, links.count()
+    while count > LOCAL_EDGES:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -26,12 +36,41 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "nod
         links = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state and now[0] == now[1]:
+            stars = links.select(F.col("u").alias(node), F.col("v").alias("_c"))
             break
-        state = now
-    stars = links.select(F.col("u").alias(node), F.col("v").alias("_c"))
+        state, count = now, now[0]
+    if stars is None:
+        kind = links.schema["u"].dataType
+        stars = links.coalesce(1).mapInArrow(_joined, StructType().add(node, kind).add("_c", kind))
     return vertices.join(stars, node, "left").withColumn("component", F.coalesce("_c", node)).drop("_c")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least node of its component) of the edges (u, v), by union with path halving."""
+    above: dict[Any, Any] = {}
+    whole: dict[Any, Any] = {}  # the value of each key: a struct is compared by its fields
+
+    def key(value: Any) -> Any:
+        k = tuple(value.values()) if isinstance(value, dict) else value
+        whole.setdefault(k, value)
+        above.setdefault(k, k)
+        return k
+
+    def top(x: Any) -> Any:
+        while (up := above[x]) != x:
+            above[x] = x = above[up]
+        return x
+
+    kind, names = None, ["u", "v"]
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            x, y = top(key(u)), top(key(v))
+            above[max(x, y)] = min(x, y)
+    if kind is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([whole[k] for k in above], kind), pa.array([whole[top(k)] for k in above], kind)], names)
+
+
 def greedy_independent(items: DataFrame, conflicts: DataFrame, rank: str = "rank") -> DataFrame:
     """The items a sequential pass in rank order accepts when it skips whoever conflicts with an accepted one.
 

@@ -62,35 +62,48 @@ def shortlist(scores: DataFrame, k: int = SHORTLIST, prior: str | None = None) -
     return ranked.where(F.coalesce(keep, F.lit(False))).drop("_families", "_second", "_wanted")
 
 
-def _cloud(points: list) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2)
+def chamfer(a: np.ndarray, clouds: np.ndarray) -> np.ndarray:
+    """For each of the clouds, the mean of the two mean distances to the nearest point of the other one."""
+    dx = a[None, :, None, 0] - clouds[:, None, :, 0]
+    dy = a[None, :, None, 1] - clouds[:, None, :, 1]
+    d = np.sqrt(dx * dx + dy * dy)
+    return (d.min(2).mean(1) + d.min(1).mean(1)) / 2
 
 
-def chamfer(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean of the two mean distances to the nearest point of the other cloud."""
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-    return float((d.min(1).mean() + d.min(0).mean()) / 2)
+#: Turned templates that a worker remembers.
+TURNED = 4_096
 
 
 def chamfer_distances(pairs: DataFrame, candidates: DataFrame, templates: DataFrame) -> DataFrame:
     """`pairs` with distance and transform: the least over the eight turned and mirrored templates.
 
-    Candidates are aligned to their main axis. Clouds are bounded, so an Arrow batch holds both.
+    Candidates are aligned to their main axis. Clouds are bounded, so an Arrow batch holds both; they travel as flat
+    arrays of numbers, and a worker turns a template once.
     """
-    a = candidates.select("candidate", g.downsampled(g.axis_aligned(F.col("points")), CANDIDATE_POINTS).alias("_a"))
-    b = templates.select("template", g.downsampled(F.col("points"), TEMPLATE_POINTS).alias("_b"))
+    flat = lambda points: F.flatten(F.transform(points, lambda p: F.array(p["x"], p["y"])))
+    a = candidates.select("candidate", flat(g.downsampled(g.axis_aligned(F.col("points")), CANDIDATE_POINTS)).alias("_a"))
+    b = templates.select("template", flat(g.downsampled(F.col("points"), TEMPLATE_POINTS)).alias("_b"))
     if templates.count() <= LIBRARY_ROWS:
         b = F.broadcast(b)
-    turns = [(name, np.array(m, float).reshape(2, 2).T) for name, m in g.DIHEDRAL.items()]
+    names = list(g.DIHEDRAL)
+    turns = np.stack([np.array(m, float).reshape(2, 2).T for m in g.DIHEDRAL.values()])
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turned: dict = {}
         for frame in frames:
-            best = []
-            for own, other in zip(frame["_a"], frame["_b"], strict=True):
-                x, y = _cloud(own), _cloud(other)
-                # the first of equal distances wins
-                best.append(min(((round(chamfer(x, y @ m), DIGITS), k, name) for k, (name, m) in enumerate(turns))))
-            yield frame.drop(columns=["_a", "_b"]).assign(distance=[d for d, _, _ in best], transform=[n for _, _, n in best])
+            best, how = [], []
+            for name, own, other in zip(frame["template"].tolist(), frame["_a"], frame["_b"], strict=True):
+                clouds = turned.get(name)
+                if clouds is None:
+                    if len(turned) >= TURNED:
+                        turned.clear()
+                    y = np.asarray(other, float).reshape(-1, 2)
+                    clouds = turned[name] = np.stack([y @ m for m in turns])
+                d = np.round(chamfer(np.asarray(own, float).reshape(-1, 2), clouds), DIGITS)
+                k = int(d.argmin())  # the first of equal distances wins
+                best.append(float(d[k]))
+                how.append(names[k])
+            yield frame.drop(columns=["_a", "_b"]).assign(distance=best, transform=how)
 
     both = pairs.join(a, "candidate").join(b, "template").select(*pairs.columns, "_a", "_b")
     kept = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
