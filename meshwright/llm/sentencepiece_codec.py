@@ -37,8 +37,10 @@ SPACE_MARK, BAD = "▁".encode(), "�".encode()
 UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
 #: The model type that merges pairs.
 BPE = 2
-#: Words whose ids a worker remembers; characters from which on a word's merges go through a heap.
+#: Words in each of the two generations that a worker remembers; characters from which on a word's merges go through a heap.
 HELD, LONG = 300_000, 100
+#: Signs at which words are parted as well, where the vocabulary allows it.
+SIGNS = ".,;:!?"
 NEVER = float("-inf")
 
 
@@ -200,27 +202,35 @@ class Merges:
         self.scores = {p.decode(): score for p, score, kind in pieces if kind == 1}
         self.of_byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
+        self.decimal = [str(i) for i in range(len(pieces))]
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
         mark = SPACE_MARK.decode()
         #: No piece goes on with a space mark after another character; none of several characters has a line feed.
         self.by_mark = not any(mark in p.lstrip(mark) for p in self.ids)
         line = "\n" if not any("\n" in p and len(p) > 1 for p in self.ids) else ""
-        self.word = re.compile(f"{mark}*[^{mark}{line}]+|{mark}+" + (f"|{line}" if line else "") if self.by_mark else "(?s:.+)")
+        # a word of letters and digits ends before a sign, if no piece has the sign right after one of these
+        after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if re.match(r"[^\W_]", a)}
+        signs = re.escape("".join(c for c in SIGNS if c not in after))
+        letters = [rf"{mark}*[^\W_]+(?=[{signs}])"] if signs else []
+        ways = [*letters, f"{mark}*[^{mark}{line}]+", f"{mark}+", *([line] if line else [])]
+        self.word = re.compile("|".join(ways) if self.by_mark else "(?s:.+)")
 
     def _join(self, word: str) -> list[str]:
         """The pieces of a word."""
-        parts, score = list(word), self.scores.get
-        if len(parts) > LONG:
-            return self._join_long(parts)
-        found = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        score, n = self.scores.get, len(word)
+        if n > LONG:
+            return self._join_long(list(word))
+        parts = list(word)
+        found = [score(word[i : i + 2], NEVER) for i in range(n - 1)]
         while found and (best := max(found)) != NEVER:
             k = found.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            parts[k] = both = parts[k] + parts.pop(k + 1)
             del found[k]
             if k:
-                found[k - 1] = score(parts[k - 1] + parts[k], NEVER)
+                found[k - 1] = score(parts[k - 1] + both, NEVER)
             if k < len(found):
-                found[k] = score(parts[k] + parts[k + 1], NEVER)
+                found[k] = score(both + parts[k + 1], NEVER)
         return parts
 
     def _join_long(self, parts: list[str]) -> list[str]:
@@ -247,7 +257,11 @@ class Merges:
         return [x for x in parts if x]
 
     def _learn(self, word: str) -> tuple[bytes, str]:
-        ids = []
+        own = self.old.get(word)
+        if own is not None:
+            self.known[word] = own
+            return own
+        ids: list[int] = []
         for piece in self._join(word):
             found = self.ids.get(piece)
             if found is not None:
@@ -256,7 +270,7 @@ class Merges:
                 ids += [self.of_byte[c] for c in piece.encode()]
             else:
                 ids.append(self.unknown)
-        own = np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids))
+        own = struct.pack(f"<{len(ids)}I", *ids), ",".join([self.decimal[i] for i in ids])
         if len(word) <= LONG:
             self.known[word] = own
         return own
@@ -266,7 +280,8 @@ class Merges:
         words = self.word.findall(normal)
         known = self.known
         if len(known) > HELD:
-            known.clear()
+            self.old, self.known = known, {}
+            known = self.known
         try:
             found = [known[w] for w in words]
         except KeyError:
