@@ -15,6 +15,7 @@ from meshwright.functions import geometry as g
 from meshwright.operators import conductors as c
 from meshwright.operators import graph, inference, intervals, keys, matching, spatial, text
 from meshwright.plans import asset_model as am
+from meshwright.plans import recognise, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -417,10 +418,17 @@ def active_event_semijoin(spark, sf_dir):
     return c.active_events(events, _nodes(spark, sf_dir)).select("drawing", "left", "right", "kind", "x", "y", "state")
 
 
-@query(f"""WITH {B2}, {EQUIPMENT} SELECT s.d AS drawing, s.k AS segment FROM seg s WHERE NOT EXISTS (SELECT 1 FROM eqp e WHERE e.d = s.d AND e.equipment = s.k)""")
+@query(f"""WITH {B2}, {EQUIPMENT} SELECT DISTINCT ON (s.d, s.x1, s.y1, s.x2, s.y2) s.d AS drawing, s.k * 2147483648 AS segment, s.x1, s.y1, s.x2, s.y2 FROM seg s
+    WHERE NOT EXISTS (SELECT 1 FROM eqp e WHERE e.d = s.d AND e.equipment = s.k) ORDER BY s.d, s.x1, s.y1, s.x2, s.y2, s.k""")
 def consumed_antijoin(spark, sf_dir):
-    used = devices(spark, sf_dir).select("drawing", F.col("equipment").alias("segment"))
-    return drawings(spark, sf_dir).join(used, ["drawing", "segment"], "left_anti").select("drawing", "segment")
+    """Wires: the lines that no device owns, the first of equal ones."""
+    lines = drawings(spark, sf_dir)
+    shapes = lines.select(
+        "drawing", F.col("segment").alias("seq"), "evidence", F.lit("LINE").alias("entity"), F.lit("line").alias("kind"), F.lit(False).alias("closed"), F.lit("W").alias("layer"),
+        F.array(g.point(F.col("x1"), F.col("y1")), g.point(F.col("x2"), F.col("y2"))).alias("vertices"),
+    )
+    used = devices(spark, sf_dir).select("drawing", F.col("equipment").alias("evidence"))
+    return recognise.wires_of(shapes, used).drop("evidence")
 
 
 def _shapes(spark, sf_dir):
@@ -571,13 +579,12 @@ def statistics_block(spark, sf_dir):
 def path_prefix_descendants(spark, sf_dir):
     k = F.col("o_orderkey")
     parts = F.array(F.concat(F.lit("i"), (k % 3).cast("string")), F.concat(F.lit("j"), (k % 5).cast("string")), F.concat(F.lit("k"), (k % 2).cast("string")))
-    own = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("drawing"), k.alias("k"), F.slice(parts, 1, (1 + k % 3).cast("int")).alias("path"))
-    inserts = own.select("drawing", F.array_join("path", "/").alias("insert_path")).distinct()
-    # an equi-join on every prefix of every path, instead of a comparison of all pairs
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.array_join(F.slice("path", 1, n), "/"))
-    below = own.select("drawing", "k", F.explode(prefixes).alias("insert_path")).join(inserts, ["drawing", "insert_path"], "left_semi")
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda v: v.cast("string")), ",")
-    return below.groupBy("drawing", "insert_path").agg(F.count("*").alias("descendants"), members.alias("members"))
+    own = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("drawing"), k.alias("evidence"), F.slice(parts, 1, (1 + k % 3).cast("int")).alias("insert_path"))
+    path = F.array_join("insert_path", "/").alias("seq")
+    inserts = own.select("drawing", F.lit("insert").alias("record"), path, "insert_path").distinct()
+    members = F.array_join(F.transform(F.array_sort(F.collect_list("evidence")), lambda v: v.cast("string")), ",")
+    below = recognise.insert_members(inserts, own)
+    return below.groupBy("drawing", F.col("insert_seq").alias("insert_path")).agg(F.count("*").alias("descendants"), members.alias("members"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS d, list_distinct(list(o_orderkey % 7)) AS a, list_distinct(list(o_orderkey % 5 + 2)) AS b FROM orders GROUP BY ALL),
@@ -774,7 +781,8 @@ def _symbols(spark, sf_dir):
 
 @query(f"WITH {SYMBOL_SQL} SELECT * FROM vr")
 def symbol_variants(spark, sf_dir):
-    return _symbols(spark, sf_dir).groupBy("symbol_id", "signature").agg(F.count("*").alias("definitions"))
+    definitions = _symbols(spark, sf_dir).select("symbol_id", "signature", F.lit("pages").alias("file"), F.col("page_id").alias("seq"), F.col("page_id").alias("geometry"))
+    return templates.variants(definitions).select("symbol_id", "signature", F.col("definition_occurrences").alias("definitions"))
 
 
 @query(f"""WITH {SYMBOL_SQL} SELECT symbol_id, signature, symbol_id || CASE WHEN count(*) OVER (PARTITION BY symbol_id) > 1

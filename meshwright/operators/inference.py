@@ -80,19 +80,56 @@ def switch_roles(
     )
 
 
+#: Patterns that a library may have: its classes are few, and their pairs are named in the plan.
+PATTERNS = 2_000
+
+
 def physical_candidates(switches: DataFrame, patterns: DataFrame, k: int = 5) -> DataFrame:
     """(equipment, name, score, occurrences, rank): what a switch may be made of.
 
-    switches: (equipment, templates: text of its matched templates); patterns: (class_a, class_b, occurrences), a
-    few rows that are broadcast. Geometry weighs 0.65, the pattern's frequency on a log scale 0.35.
+    switches: (equipment, templates: text of its matched templates); patterns: (class_a, class_b, occurrences), of
+    which there are at most PATTERNS. Geometry weighs 0.65, the pattern's frequency on a log scale 0.35.
     """
     most = F.greatest(F.coalesce(F.max("occurrences"), F.lit(1)), F.lit(1))
     top = patterns.agg(most.alias("_most"))
-    known = patterns.join(F.broadcast(top), F.lit(True)).withColumns({"_a": F.least("class_a", "class_b"), "_b": F.greatest("class_a", "class_b")})
-    pairs = switches.join(F.broadcast(known), F.lit(True))
+    most_seen = top.first()["_most"]
+    known = patterns.withColumn("_most", F.lit(most_seen)).withColumns({"_a": F.least("class_a", "class_b"), "_b": F.greatest("class_a", "class_b")})
+    if (count := patterns.count()) > PATTERNS:
+        raise ValueError(f"{count} patterns are more than the {PATTERNS} that a switch is compared with")
+    kind = "array<struct<_a:string,_b:string,occurrences:bigint,_most:bigint>>"
+    listed = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("_a", "_b", "occurrences", "_most"))) for r in known.collect())).cast(kind)
+    pairs = switches.select("*", F.explode(listed).alias("_p")).select(*switches.columns, "_p.*")
     both = F.col("templates").contains("Breaker") & F.col("templates").contains("Disconnector")
     either = F.col("_a").isin("Breaker", "Disconnector") | F.col("_b").isin("Breaker", "Disconnector")
     geometry = F.when(both, 1.0).when(either, 0.35).otherwise(0.05)
     frequency = F.try_divide(F.log1p(F.col("occurrences").cast("double")), F.log1p(F.col("_most").cast("double")))
     scored = pairs.select("equipment", F.concat_ws("+", "_a", "_b").alias("name"), F.round(0.65 * geometry + 0.35 * frequency, 6).alias("score"), "occurrences")
     return top_k_per(scored, ["equipment"], [F.col("score").desc(), F.col("occurrences").desc(), F.col("name")], k)
+
+
+def enriched(equipment: DataFrame, roles: DataFrame, key: list[str], switch: str = "SwitchCombination") -> DataFrame:
+    """`equipment` (key, equipment, class, ...) with the role of each switch, its confidence and whether roles conflict.
+
+    What is no switch has none of these; a switch without a node keeps the role of a serial one.
+    """
+    own = roles.select(*key, "equipment", "functional_role", "confidence", "conflict")
+    joined = equipment.join(own.withColumnRenamed("confidence", "role_confidence"), [*key, "equipment"], "left")
+    is_switch = F.col("class") == switch
+    serial = "SerialSwitchCombination"
+    return joined.withColumns(
+        {
+            "functional_role": F.when(is_switch, F.coalesce("functional_role", F.lit(serial))),
+            "role_confidence": F.when(is_switch, F.coalesce("role_confidence", F.lit(ROLES[serial]))),
+            "conflict": F.when(is_switch, F.coalesce("conflict", F.lit(False))),
+        }
+    )
+
+
+def role_summary(equipment: DataFrame, key: list[str]) -> DataFrame:
+    """(key, equipment_count, switch_count, roles: text of role:count) of enriched() rows."""
+    by = equipment.groupBy(*key, "functional_role").agg(F.count("*").alias("n"))
+    known = F.col("functional_role").isNotNull()
+    return by.groupBy(*key).agg(
+        F.sum("n").alias("equipment_count"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("switch_count"),
+        histogram_text("functional_role", "n", where=known).alias("roles"),
+    )

@@ -164,6 +164,44 @@ def acceptance(
     return reason.isin(*good), reason
 
 
+def family_compatible(expected: Column, actual: Column) -> Column:
+    """Whether a family may stand for what a block's name says: itself, or any switch for a breaker."""
+    return (expected == actual) | ((expected == "Breaker") & actual.isin(*SWITCH_FAMILIES))
+
+
+#: The size that counts where no template is known, and how much larger and how wide, in H, a candidate may be.
+USUAL_SIZE, LARGER, LEAST_SPAN, MOST_SPAN = 20, 2, 0.2, 12.0
+
+
+def largest_template(templates: DataFrame) -> DataFrame:
+    """(largest): the most primitives of a supported template, from (supported, counts: map)."""
+    size = F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, v: a + v)
+    return templates.agg(F.coalesce(F.max(F.when(F.col("supported"), size)), F.lit(USUAL_SIZE)).alias("largest"))
+
+
+def eligible_candidates(candidates: DataFrame, fallback: DataFrame, largest: int, h: float = g.CANONICAL_H) -> DataFrame:
+    """The candidates of a size that templates have; a group without any has its fallback candidates.
+
+    Both: (group, candidate, primitives, span or null, owned, open_line, ...); owned counts the group's own shapes and
+    open_line says that the only one is an open line.
+    """
+    sized = F.col("span").isNull() | F.col("span").between(LEAST_SPAN * h, MOST_SPAN * h)
+    kept = candidates.where((F.col("primitives") <= LARGER * largest) & sized & ~((F.col("owned") == 1) & F.col("open_line")))
+    return kept.unionByName(fallback.join(kept.select("group").distinct(), "group", "left_anti"))
+
+
+def distinct_candidates(candidates: DataFrame) -> DataFrame:
+    """The first in `seq` of a group's candidates with the same handles, mode and counts, numbered after that.
+
+    candidates: (group, seq, handles: array, mode, counts: map, ...).
+    """
+    entries = F.array_sort(F.map_entries("counts"))
+    keyed = candidates.withColumns({"_h": F.array_sort(F.array_distinct("handles")), "_c": F.to_json(entries)})
+    first = F.row_number().over(Window.partitionBy("group", "_h", "mode", "_c").orderBy("seq"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("seq"))
+    return keyed.withColumn("_first", first).where("_first = 1").drop("_h", "_c", "_first").withColumn("number", place)
+
+
 def group_winners(evaluations: DataFrame) -> DataFrame:
     """The candidate that each group chooses: (group, candidate, accepted, primitives, score, owned) rows in,
     one a group out, by acceptance tier, score with a small bonus for more primitives, score, and size."""

@@ -85,10 +85,26 @@ def cabinet_family(text: Column) -> Column:
     return F.when(bare.contains(CABINET_MARK) & ~contains_any(bare, DIRECTIONS), family)
 
 
+#: Families that a nearby text suggests, by the first rule with a token in it; one text that must match as a whole.
+PRIOR_RULES = [(("配变", "变压器"), "PowerTransformer"), (("电压互感",), "PT")]
+PRIOR_WORD = ("PT", "PT")
+
+
 def text_prior(text: Column) -> Column:
     """The family that a nearby text suggests; empty if none."""
     bare = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(""))
-    return F.when(contains_any(bare, ["配变", "变压器"]), "PowerTransformer").when((F.upper(bare) == "PT") | bare.contains("电压互感"), "PT").otherwise("")
+    by_rule = F.coalesce(first_rule(bare, PRIOR_RULES), F.lit(""))
+    return F.when((F.upper(bare) == PRIOR_WORD[0]) & (by_rule == ""), PRIOR_WORD[1]).otherwise(by_rule)
+
+
+#: Labels of transformers hold the mark and one of the ratings.
+TRANSFORMER_MARK, RATINGS = "变", ["kVA", "KVA", "#专", "专变"]
+
+
+def transformer_label(text: Column) -> Column:
+    """Whether a text names a transformer, and no cabinet."""
+    given = F.coalesce(text, F.lit(""))
+    return given.contains(TRANSFORMER_MARK) & contains_any(given, RATINGS) & ~given.contains(CABINET_MARK)
 
 
 def dedupe_texts(texts: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meshwright.functions import geometry as g
 from meshwright.operators import conductors, matching, text
 from meshwright.operators.intervals import islands
-from meshwright.operators.keys import first_wins, numbered, quantised, top_k_per
+from meshwright.operators.keys import first_wins, histogram_text, numbered, quantised, top_k_per
 from meshwright.operators.lineage import cut
 from meshwright.operators.spatial import box_join
 
@@ -44,6 +44,39 @@ def scale_units(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("drawing").distinct().join(own, "drawing", "left").select("drawing", h.alias("h"))
 
 
+def in_canonical_units(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """`rows` with all lengths in hundredths of their drawing's unit H, so that every drawing has H = 100.
+
+    units: (drawing, h), a row a drawing.
+    """
+    factor = F.lit(g.CANONICAL_H) / F.col("h")
+    scaled = lambda p: F.when(p.isNotNull(), g.point(p["x"] * factor, p["y"] * factor))
+    changed = {"points": F.transform("points", scaled), "center": scaled(F.col("center")), "radius": F.col("radius") * factor, "height": F.col("height") * factor}
+    return rows.join(units, "drawing").withColumns(changed).select(*rows.columns)
+
+
+def exclusion_counts(rows: DataFrame) -> DataFrame:
+    """(drawing, reason, layer, entities, inserts): what visibility left out, by reason and layer."""
+    own = rows.where("record = 'excluded'")
+    return own.groupBy("drawing", "reason", "layer").agg(F.count("*").alias("entities"), F.sum((F.col("kind") == "INSERT").cast("long")).alias("inserts"))
+
+
+def provenance(things: DataFrame, rows: DataFrame) -> DataFrame:
+    """(drawing, thing, provenance): where each handle of a thing comes from, in the order of its handles.
+
+    things: (drawing, thing, handles: array). A handle that no entity has is left out.
+    """
+    own = things.select("drawing", "thing", F.posexplode("handles").alias("place", "evidence"))
+    names = F.transform("insert_path", lambda p: F.substring_index(p, ":", -1))
+    known = rows.where("record = 'entity'").select("drawing", "evidence", "source_handle", "insert_path", names.alias("block_names"), F.col("kind").alias("entity_type"), "layer", "virtual")
+    met = own.join(known, ["drawing", "evidence"])
+    item = F.struct("place", "evidence", "source_handle", "insert_path", "block_names", "entity_type", "layer", "virtual")
+    listed = met.groupBy("drawing", "thing").agg(F.array_sort(F.collect_list(item)).alias("_p"))
+    found = things.select("drawing", "thing").distinct().join(listed, ["drawing", "thing"], "left")
+    dropped = F.transform(F.coalesce("_p", F.array().cast(listed.schema["_p"].dataType)), lambda x: x.dropFields("place"))
+    return found.select("drawing", "thing", dropped.alias("provenance"))
+
+
 def shapes_of(rows: DataFrame) -> DataFrame:
     """(drawing, seq, evidence, entity, layer, kind, points, closed, length, x0, y0, x1, y1): what has a plane shape.
 
@@ -167,7 +200,7 @@ def wires_of(shapes: DataFrame, consumed: DataFrame, h: float = g.CANONICAL_H) -
     edges = F.zip_with(F.slice("vertices", 1, n), F.slice("vertices", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     cuts = free.select("drawing", "seq", "evidence", F.posexplode(edges).alias("k", "e"))
     flat = cuts.select(
-        "drawing", (F.col("seq") * 100_000 + F.col("k")).alias("segment"), "evidence", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")
+        "drawing", (F.col("seq") * (1 << 31) + F.col("k")).alias("segment"), "evidence", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")
     )
     return conductors.dedupe_segments(flat, h)
 
@@ -197,10 +230,23 @@ class Network:
     edges: DataFrame
 
 
-def recognise(rows: DataFrame, rules: list[tuple] | None = None, h: float = g.CANONICAL_H) -> Network:
-    """The detailed network of drawings in one unit H, from what their blocks and wires say."""
+def recognise(rows: DataFrame, rules: list[tuple] | None = None, h: float | None = None, library: DataFrame | None = None) -> Network:
+    """The detailed network of drawings, from what their blocks, free shapes and wires say.
+
+    h: the unit of all drawings; without it each drawing's own, from its texts, is made 100. library: templates of
+    plans.templates.prepared(); without it free shapes are no equipment.
+    """
+    if h is None:
+        rows, h = cut(in_canonical_units(rows, scale_units(rows, texts_of(rows)))), g.CANONICAL_H
     shapes = cut(dedupe_shapes(shapes_of(rows), h))
     equipment = cut(block_equipment(rows, shapes, rules))
+    if library is not None:
+        from meshwright.plans.free_geometry import free_equipment, with_free
+
+        equipment = cut(with_free(equipment, free_equipment(shapes, equipment, library, h)))
+    moved = complete_transformers(equipment, shapes, h).select("drawing", "equipment", *(F.col(c).alias(f"_{c}") for c in ("handles", "x0", "y0", "x1", "y1")))
+    better = {c: F.coalesce(f"_{c}", c) for c in ("handles", "x0", "y0", "x1", "y1")}
+    equipment = cut(equipment.join(moved, ["drawing", "equipment"], "left").withColumns(better).drop(*(f"_{c}" for c in better)))
     owned = equipment.select("drawing", F.explode("handles").alias("evidence"))
     segments = cut(wires_of(shapes, owned, h))
     dots = shapes.where((F.col("kind") == "circle") & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2 <= g.DOT_RADIUS_H * h))
@@ -224,3 +270,60 @@ def documents(network: Network) -> DataFrame:
         out = own if out is None else out.join(own, "drawing", "full")
     body = [F.concat(F.lit(f'"{n}":['), F.coalesce(F.array_join(n, ","), F.lit("")), F.lit("]")) for n in parts]
     return out.select("drawing", F.concat(F.lit('{"truth_used_during_recognition":false,'), F.concat_ws(",", *body), F.lit("}")).alias("document"))
+
+
+def statistics(rows: DataFrame, network: Network) -> DataFrame:
+    """One row a drawing with its counters: what was read, what was left out and what was recognised."""
+    kind = lambda c: F.sum(c.cast("long"))
+    entity, insert, excluded = (F.col("record") == r for r in ("entity", "insert", "excluded"))
+    out = rows.groupBy("drawing").agg(
+        kind(entity).alias("expanded_entity_count"),
+        kind(entity & F.coalesce("virtual", F.lit(False))).alias("virtual_entity_count"),
+        kind(insert).alias("expanded_insert_count"),
+        kind(excluded).alias("excluded_source_entity_count"),
+        kind(excluded & (F.col("kind") == "INSERT")).alias("excluded_insert_count"),
+    )
+    reasons = exclusion_counts(rows)
+    for column, name in (("reason", "excluded_reason_counts"), ("layer", "excluded_layer_counts")):
+        by = reasons.groupBy("drawing", column).agg(F.sum("entities").alias("n"))
+        out = out.join(by.groupBy("drawing").agg(histogram_text(column, "n").alias(name)), "drawing", "left")
+    for table, name in ((network.equipment, "accepted_equipment_count"), (network.segments, "conductor_candidate_count"), (network.terminals, "terminal_count"), (network.nodes, "connectivity_node_count"), (network.edges, "derived_device_edge_count"), (network.events, "active_crossing_count")):
+        out = out.join(table.groupBy("drawing").agg(F.count("*").alias(name)), "drawing", "left")
+    own = network.equipment.groupBy("drawing", "source").agg(F.count("*").alias("n"))
+    out = out.join(own.groupBy("drawing").agg(histogram_text("source", "n").alias("equipment_source_counts")), "drawing", "left")
+    types = network.equipment.groupBy("drawing", "physical_type").agg(F.count("*").alias("n"))
+    out = out.join(types.groupBy("drawing").agg(histogram_text("physical_type", "n").alias("equipment_type_counts")), "drawing", "left")
+    texts = [c for c in out.columns if c.endswith("_counts")]
+    return out.fillna("", texts).fillna(0)
+
+
+def totals(stats: DataFrame) -> DataFrame:
+    """One row: the drawings and the sum of every counter of statistics()."""
+    counters = [c for c in stats.columns if c.endswith("_count")]
+    return stats.agg(F.count("*").alias("drawings"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters))
+
+
+#: The share of a drawing's extent that is left free around it.
+MARGIN = 0.08
+
+
+def render_list(segments: DataFrame, boxes: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """(drawing, layer, item, x0, y0, x1, y1): what an overlay draws, and as layer `frame` its extent with a margin.
+
+    segments: (drawing, segment, x1, y1, x2, y2); boxes: (drawing, equipment, x0, y0, x1, y1); relations: (drawing,
+    source, target), drawn between the middles of two boxes.
+    """
+    ends = lambda df, layer, item, a, b, c, d: df.select("drawing", F.lit(layer).alias("layer"), F.col(item).cast("string").alias("item"), *(F.col(x).cast("double").alias(y) for x, y in zip((a, b, c, d), ("x0", "y0", "x1", "y1"), strict=True)))
+    out = ends(segments, "segment", "segment", "x1", "y1", "x2", "y2").unionByName(ends(boxes, "box", "equipment", "x0", "y0", "x1", "y1"))
+    if relations is not None:
+        middle = boxes.select("drawing", "equipment", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"))
+        a = middle.select("drawing", F.col("equipment").alias("source"), F.col("mx").alias("ax"), F.col("my").alias("ay"))
+        b = middle.select("drawing", F.col("equipment").alias("target"), F.col("mx").alias("bx"), F.col("my").alias("by"))
+        lines = relations.join(a, ["drawing", "source"]).join(b, ["drawing", "target"]).withColumn("item", F.concat_ws("-", "source", "target"))
+        out = out.unionByName(ends(lines, "relation", "item", "ax", "ay", "bx", "by"))
+    low = lambda c: F.min(F.least(f"{c}0", f"{c}1"))
+    high = lambda c: F.max(F.greatest(f"{c}0", f"{c}1"))
+    frame = out.groupBy("drawing").agg(low("x").alias("a"), low("y").alias("b"), high("x").alias("c"), high("y").alias("d"))
+    wide, tall = (F.col("c") - F.col("a")) * MARGIN, (F.col("d") - F.col("b")) * MARGIN
+    framed = frame.select("drawing", F.lit("frame").alias("layer"), F.lit("").alias("item"), (F.col("a") - wide).alias("x0"), (F.col("b") - tall).alias("y0"), (F.col("c") + wide).alias("x1"), (F.col("d") + tall).alias("y1"))
+    return out.unionByName(framed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from meshwright.plans.recognise import Network
 from meshwright.sinks.documents import write_workbook
 
@@ -14,7 +16,7 @@ VERDICTS = ["correct", "wrong", "unsure"]
 
 def sheets(network: Network, drawing: Any) -> dict[str, list[list[Any]]]:
     """Instructions, equipment, terminals, crossings, rows for what was missed, and nodes of one drawing."""
-    own = {name: [r.asDict(recursive=True) for r in getattr(network, name).where(f"drawing = '{drawing}'").collect()] for name in ("equipment", "terminals", "events", "nodes")}
+    own = {name: [r.asDict(recursive=True) for r in getattr(network, name).where(F.col("drawing") == F.lit(drawing)).collect()] for name in ("equipment", "terminals", "events", "nodes")}
     devices = {r["equipment"]: r for r in own["equipment"]}
     equipment = [[r["equipment"], r["physical_type"], r["source"], ",".join(r["handles"]), r["confidence"], "", ""] for r in own["equipment"]]
     terminals = [[f"{r['equipment']}.{r['rank']}", r["equipment"], devices[r["equipment"]]["physical_type"], r["px"], r["py"], r["confidence"], "", ""] for r in own["terminals"]]

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwright.sources.files import contents
+
 _RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 SCHEMA = "file string, record string, seq long, object_id string, class string, name string, subtype string, properties map<string,string>, references map<string,string>, detail string"
 COLUMNS = ["file", "record", "seq", "object_id", "class", "name", "subtype", "properties", "references", "detail"]
@@ -44,9 +46,8 @@ def _rows(name: str, content: bytes) -> list[tuple]:
     return out
 
 
-def read_models(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all models under a path. Any fault rejects its whole file, as one row of record `error`."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+def read_models(spark: SparkSession, path: str, pattern: str = "*", most: int | None = None) -> DataFrame:
+    """The records of all models under a path, or of the first by path. Any fault rejects its whole file, as one row of record `error`."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -57,7 +58,37 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(name, "error", 0, None, None, None, None, None, None, f"ParseError: {e}")]
                 yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return files.mapInPandas(task, SCHEMA)
+    return contents(spark, path, pattern, most).select("name", "content").mapInPandas(task, SCHEMA)
+
+
+#: How an object, its name, and a terminal with its equipment are written.
+OBJECT = r'(?s)<cim:([A-Za-z0-9_]+)\b[^>]*\brdf:ID="([^"]+)"[^>]*>(.*?)</cim:\1>'
+NAME = r"(?s)<cim:Naming\.name>(.*?)</cim:Naming\.name>"
+TERMINAL = r"(?s)<cim:Terminal\b[^>]*>(.*?)</cim:Terminal>"
+EQUIPMENT = r'<cim:Terminal\.ConductingEquipment\b[^>]*\brdf:resource="#([^"]+)"'
+
+
+def scanned_objects(texts: DataFrame) -> DataFrame:
+    """(file, object_id, class, name) of the objects in (file, text) rows, found by pattern, without reading the files as XML.
+
+    The last of an id counts; white space in a name is one space. A file that is no XML has what can be found in it.
+    """
+    part = lambda k: F.regexp_extract_all("text", F.lit(OBJECT), k)
+    each = texts.where("text is not null").select("file", F.posexplode(F.arrays_zip(part(1).alias("class"), part(2).alias("object_id"), part(3).alias("body"))).alias("seq", "o"))
+    name = F.trim(F.regexp_replace(F.regexp_extract(F.col("o.body"), NAME, 1), r"\s+", " "))
+    return each.groupBy("file", F.col("o.object_id").alias("object_id")).agg(F.max_by(F.struct(F.col("o.class").alias("class"), name.alias("name")), "seq").alias("l")).select("file", "object_id", "l.*")
+
+
+def scanned_terminals(texts: DataFrame) -> DataFrame:
+    """(file, object_id, n): how many terminals name each equipment, found by pattern in (file, text) rows."""
+    bodies = texts.where("text is not null").select("file", F.explode(F.regexp_extract_all("text", F.lit(TERMINAL), 1)).alias("body"))
+    own = bodies.select("file", F.regexp_extract("body", EQUIPMENT, 1).alias("object_id")).where("object_id <> ''")
+    return own.groupBy("file", "object_id").agg(F.count("*").alias("n"))
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.xml", most: int | None = None) -> DataFrame:
+    """(file, text) of the first files by path, for the scans by pattern; bytes that are no UTF-8 become replacement characters."""
+    return contents(spark, path, pattern, most).select(F.col("stem").alias("file"), F.decode(F.col("content"), "UTF-8").alias("text"))
 
 
 def objects(records: DataFrame) -> DataFrame:

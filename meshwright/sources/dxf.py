@@ -14,7 +14,8 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from meshwright.sources.files import contents
 
 SCHEMA = """drawing string, record string, seq long, evidence string, source_handle string, insert_path array<string>, virtual boolean,
     kind string, layer string, points array<struct<x: double, y: double>>, center struct<x: double, y: double>, radius double,
@@ -234,17 +235,16 @@ def expand(name: str, text: str, error: float = 2.5) -> Iterator[dict[str, Any]]
     yield from walk(grouped(entities_of(parts.get("ENTITIES", []))), IDENTITY, (), "")
 
 
-def read_drawings(spark: SparkSession, path: str, error: float = 2.5) -> DataFrame:
-    """The rows of all drawings under a path; `drawing` is the file's name without its ending."""
-    files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("name"))
+def read_drawings(spark: SparkSession, path: str, error: float = 2.5, pattern: str = "*", most: int | None = None) -> DataFrame:
+    """The rows of all drawings under a path, or of the first by path; `drawing` is the file's name without its ending."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, text in zip(frame["name"], frame["value"], strict=True):
+            for name, content in zip(frame["stem"], frame["content"], strict=True):
                 try:
-                    rows = list(expand(name, text, error))
+                    rows = list(expand(name, content.decode("utf-8", "replace"), error))
                 except (ValueError, IndexError, ArithmeticError) as e:
                     rows = [dict.fromkeys(COLUMNS) | {"drawing": name, "record": "error", "seq": 0, "error": f"{type(e).__name__}: {e}"}]
                 yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return files.mapInPandas(task, SCHEMA)
+    return contents(spark, path, pattern, most).select("stem", "content").mapInPandas(task, SCHEMA)
