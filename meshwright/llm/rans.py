@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -135,26 +135,30 @@ def encode(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> byte
 
 
 class Reader:
-    """A file's documents and checkpoints; its blocks decode on demand."""
+    """A file's documents and checkpoints; its blocks decode on demand, each from its own bytes."""
 
-    def __init__(self, blob: bytes) -> None:
-        if len(blob) < 16:
+    def __init__(self, blob: bytes | Callable[[int, int], bytes], size: int | None = None) -> None:
+        """blob: the file's bytes, or what fetches those from one place up to another of a file of `size` bytes."""
+        self._fetch = blob if callable(blob) else lambda a, b: blob[a:b]
+        self._size = size if callable(blob) else len(blob)
+        if self._size < 16:
             raise FormatError("too short")
-        magic, version, n, crc = struct.unpack_from("<4I", blob)
+        magic, version, n, crc = struct.unpack("<4I", self._fetch(0, 16))
         if magic != MAGIC or version != VERSION:
             raise FormatError("not a file of this format")
-        if zlib.crc32(blob[16 : 16 + n]) != crc:
+        header = self._fetch(16, 16 + n)
+        if zlib.crc32(header) != crc:
             raise FormatError("the header is damaged")
-        steps, self.lengths, self.symbols, freq, self.offsets, self.counts, self.sums, self.plain = _unpack(blob[16 : 16 + n], _KINDS)
+        steps, self.lengths, self.symbols, freq, self.offsets, self.counts, self.sums, self.plain = _unpack(header, _KINDS)
         self.doc_ids = np.cumsum(steps)
-        self._body = memoryview(blob)[16 + n :]
+        self._body = 16 + n
         self._freq = freq.astype(np.uint64)
         self._start = np.cumsum(self._freq) - self._freq if len(freq) else self._freq
         self._slot_of = np.repeat(np.arange(len(freq), dtype=np.int32), freq.astype(np.int64))
 
     def block(self, k: int) -> np.ndarray:
-        end = int(self.offsets[k + 1]) if k + 1 < len(self.offsets) else len(self._body)
-        blob = bytes(self._body[int(self.offsets[k]) : end])
+        end = self._body + int(self.offsets[k + 1]) if k + 1 < len(self.offsets) else self._size
+        blob = bytes(self._fetch(self._body + int(self.offsets[k]), end))
         if zlib.crc32(blob) != self.sums[k]:
             raise FormatError(f"block {k} is damaged")
         tokens = self.symbols[_decode(blob, int(self.counts[k]), self._freq, self._start, self._slot_of)]

@@ -152,6 +152,14 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def location(folder: str) -> str:
+    """A folder as a URI: a plain path is a local file's, and `file:/x` is the same as `file:///x`."""
+    scheme, colon, path = folder.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{folder}"
+    return folder if path.startswith("//") else f"{scheme}://{path}"
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: str, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; the manifest: (part, seq, path, documents, tokens, bytes), in that order of ids."""
     spark = docs.sparkSession
@@ -159,7 +167,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(location(folder))
         encode, part, seq = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
         ids, blobs, size = [], [], 0
@@ -186,10 +194,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, folder: st
         if ids:
             yield close()
 
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    store, root = fs.FileSystem.from_uri(location(folder))
     store.create_dir(root)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), blank(text_col).alias("_text"))
-    rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    order = [F.col("_id"), F.xxhash64("_text")]  # ids that many rows share, or that are missing, still part by text
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return cut(rows.mapInPandas(task, "part int, seq int, path string, documents long, tokens long, bytes long"))
 
 
@@ -197,7 +206,7 @@ def from_files(manifest: DataFrame, folder: str, rows: Callable[[rans.Reader], I
     """What `rows` makes of each file of the manifest, with the file's part and seq."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, _ = fs.FileSystem.from_uri(location(folder))
         for frame in frames:
             for part, seq, path in zip(frame["part"], frame["seq"], frame["path"], strict=True):
                 with store.open_input_stream(path) as source:
@@ -225,6 +234,30 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     return from_files(manifest, folder, rows, "_id long, ids binary")
 
 
+def read_blocks(manifest: DataFrame, folder: str) -> DataFrame:
+    """(part, seq, block, first, ids: binary of little-endian 32-bit): the ids of every block of the files, decoded on its own.
+
+    first: the block's first id among the file's. A task fetches a file's header and its block's bytes, so a large file is
+    decoded by as many tasks as it has blocks.
+    """
+    size = rans.LANES * rans.STEPS
+    blocks = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / size).cast("int") - 1, F.lit(0)))).alias("block")
+    count = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("tokens") / size)), F.lit(0))).first()[0]
+    spread = max(1, min(int(count), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    each = manifest.select("part", "seq", "path", "bytes", blocks).repartition(spread)
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = fs.FileSystem.from_uri(location(folder))
+        for frame in frames:
+            for part, seq, path, length, block in frame[["part", "seq", "path", "bytes", "block"]].itertuples(index=False, name=None):
+                with store.open_input_file(path) as source:
+                    reader = rans.Reader(lambda a, b, f=source: f.read_at(b - a, a), length)
+                    ids = reader.block(block).tobytes() if len(reader.offsets) else b""
+                yield pd.DataFrame({"part": [part], "seq": [seq], "block": [block], "first": [block * size], "ids": [ids]})
+
+    return each.mapInPandas(task, "part int, seq int, block int, first long, ids binary")
+
+
 def file_starts(manifest: DataFrame) -> DataFrame:
     """(part, seq, start): the ids in all files before. One row a task is all that meets in one window."""
     within = Window.partitionBy("part").orderBy("seq")

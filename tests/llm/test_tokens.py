@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +74,31 @@ def test_files(spark, tmp_path):
             assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, np.uint32).tobytes()))
         at += r.n_tokens
     assert token_output.token_round_trip(docs.limit(0), WORDS).count() == 0
+
+
+def test_blocks_in_parallel(spark, tmp_path):
+    """Blocks that are decoded alone give the files' ids, whichever way the folder is named."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 400)))) for i in range(60)] + [(None, "x y"), (None, "z"), (None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = f"file:{tmp_path}/blocks"
+    assert token_output.location("/a/b") == "file:///a/b" and token_output.location("file:/a") == "file:///a" and token_output.location("hdfs://h/a") == "hdfs://h/a"
+    manifest = token_output.write_tokens(docs, WORDS, 1, folder, file_tokens=5000)
+    whole = {(r.part, r.seq): b"" for r in manifest.collect()}
+    assert token_output.read_tokens(manifest, folder).count() == len(rows)
+    for r in token_output.from_files(manifest, folder, lambda reader: iter([pd.DataFrame({"ids": [reader.tokens().tobytes()]})]), "ids binary").collect():
+        whole[r.part, r.seq] = bytes(r.ids)
+    found = {}
+    for r in sorted(token_output.read_blocks(manifest, folder).collect(), key=lambda r: (r.part, r.seq, r.block)):
+        assert 4 * r["first"] == len(found.get((r.part, r.seq), b""))
+        found[r.part, r.seq] = found.get((r.part, r.seq), b"") + bytes(r.ids)
+    assert found == whole and sum(map(len, whole.values())) == 4 * manifest.agg({"tokens": "sum"}).first()[0]
+
+
+def test_blocks_of_a_large_file():
+    tokens = (np.random.default_rng(1).zipf(1.3, 700_000) % 40_000).astype(np.uint32)
+    blob = rans.encode(np.array([1]), np.array([len(tokens)]), tokens)
+    asked = []
+    reader = rans.Reader(lambda a, b: (asked.append(b - a), blob[a:b])[1], len(blob))
+    size = rans.LANES * rans.STEPS
+    assert (reader.block(2) == tokens[2 * size :]).all() and sum(asked) < len(blob) / 2
