@@ -213,3 +213,63 @@ def test_toxicity_by_join_equals_broadcast(spark, monkeypatch):
     model = toxicity.fit_toxicity(docs, marks)
     assert model.entries is not None and order(toxicity.score_toxicity(docs, model)) == want
     assert sorted(map(str, toxicity.not_toxic(docs, marks).collect())) == kept
+
+
+def brute_slots(text):
+    """Slots of a text's words, and of the runs of one to three shapes, by the plain definition."""
+    words = text.split()
+    if not words:
+        return set()
+    one = [7 if k and w == words[k - 1] else quality.xxhash.xxh64_intdigest(quality.shape(w).encode(), seed=1) for k, w in enumerate(words)]
+    mask, m = (1 << 64) - 1, lambda x: int(quality._mix(np.array([x], np.uint64))[0])
+    found = {m(quality.xxhash.xxh64_intdigest(w.encode())) for w in words} | {m((a + 11) & mask) for a in one}
+    two = [m((a * 3 + b) & mask) for a, b in zip(one, one[1:], strict=False)]
+    three = [m((a * 5 + c) & mask) for a, c in zip(two, one[2:], strict=False)]
+    return {x & (quality.SLOTS - 1) for x in (*found, *two, *three)}
+
+
+def test_quality_equals_brute_force(spark):
+    from math import log, sqrt
+
+    rows, labels = corpus(250)
+    rows += [(900, None), (901, ""), (902, "A A A b"), (0, rows[0][1])]
+    docs, marks = frames(spark, rows, [*labels, (901, 0, 0)])
+    model = quality.fit_quality(docs, marks)
+    label = {i: q for i, q, _ in labels} | {901: 0}
+    counts, seen = ({}, {}), [0, 0]
+    for i, t in rows:
+        if i in label and not held_out(i):
+            seen[label[i]] += 1
+            for s in brute_slots(t or ""):
+                counts[label[i]][s] = counts[label[i]].get(s, 0) + 1
+    want = np.zeros(quality.SLOTS)
+    for s in {*counts[0], *counts[1]}:
+        a, b = counts[0].get(s, 0), counts[1].get(s, 0)
+        if a + b >= 3:
+            want[s] = log((b + 1) / (seen[1] + 2)) - log((a + 1) / (seen[0] + 2))
+    assert np.abs(model.ratios - want).max() < 1e-5
+    text = dict(rows)
+    for r in quality.score_quality(docs, model).collect():
+        slots = sorted(brute_slots(text[r.doc_id] or ""))
+        norm = sqrt(sum(want[s] ** 2 for s in slots)) or 1.0
+        margin = model.bias + sum(float(model.weights[s]) * want[s] for s in slots) / norm
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-5
+    assert quality.score_quality(docs.limit(0), model).count() == 0
+    assert len({r.score for r in quality.score_quality(docs, model).where("doc_id in (900, 901)").collect()}) == 1
+    assert len({r.score for r in quality.score_quality(docs, model).where("doc_id = 0").collect()}) == 1
+
+
+def test_descent_reaches_the_optimum():
+    """The dual's value is that of the primal, so no other weights do better."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4))
+    y = np.where(x[:, 0] + rng.normal(size=60) * 0.7 > 0, 1.0, -1.0)
+    rows = [(np.arange(4), v) for v in x]
+    costs = quality.COST * len(y) / 2 / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
+
+    def value(w):
+        return w @ w / 2 + (costs * np.maximum(0, 1 - y * (x @ w[:4] + w[4]))).sum()
+
+    own = quality.descend(rows, y, 4)
+    rounds = [value(own + rng.normal(size=5) * s) for s in (0.01, 0.05, 0.2) for _ in range(300)]
+    assert value(own) < min(rounds) + 0.02 * value(own)

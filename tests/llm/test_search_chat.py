@@ -101,3 +101,12 @@ def test_clashing_names_and_long_texts(spark):
     r = chat.preference_format(df, chosen="identical").first()
     assert (r.input_prompt, r.input_chosen_spans, r.prompt_turns, r.identical) == (7, "mine", 1, False)
     assert r.rejected_completion == f"<|im_start|>assistant\n{long}<|im_end|>\n" and len(r.input_identical) == 2
+
+
+def test_top_k_with_repeated_ids_and_other_columns(spark):
+    rows = [(0, [1.0, 0.0], 1, "a"), (0, [0.0, 2.0], 2, "b"), (1, [3.0, 1.0], 3, "c"), (2, [3.0, 1.0], 4, "d"), (3, [3.0, 1.0], 5, "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, rank string")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df, every=50, k=2).collect())
+    # ties go to the smaller id; both rows of id 0 are queries, and neither is the other's candidate
+    assert {g for g in got if g[3] == 3 * 256 * 256} == {(0, 1, 1, 196608), (0, 2, 2, 196608)}
+    assert all(g[2] != 0 for g in got)
