@@ -70,6 +70,61 @@ def chamfer(a: np.ndarray, clouds: np.ndarray) -> np.ndarray:
     return (d.min(2).mean(1) + d.min(1).mean(1)) / 2
 
 
+def coarse_shortlist(candidates: DataFrame, templates: DataFrame, k: int = SHORTLIST, prior: str | None = None) -> DataFrame:
+    """shortlist(coarse_scores(...)) with the same rows. A library of counted, bounded size goes to every worker as arrays, so
+    that candidates are ranked where they are and only their shortlists leave the task; a larger one is joined."""
+    if templates.count() > LIBRARY_ROWS:
+        return shortlist(coarse_scores(candidates, templates, prior), k, prior)
+    outlined = lambda df, *more: df.select(*more, F.map_keys("counts").alias("_k"), F.map_values("counts").alias("_v"), g.radial_descriptor(F.col("points")).alias("_o"))
+    library = outlined(templates, "template", "family").orderBy("template").toPandas()
+    kinds = {x: i for i, x in enumerate(sorted({x for own in library["_k"] for x in own}))}
+    families = library["family"].to_numpy()
+    outlines = np.array(library["_o"].tolist(), float).reshape(len(library), -1)
+
+    def counted(keys: list, values: list) -> tuple[np.ndarray, float]:
+        """Counts by the library's kinds, and how many are of other kinds."""
+        own, other = np.zeros(len(kinds)), 0.0
+        for x, n in zip(keys, values, strict=True):
+            if x in kinds:
+                own[kinds[x]] += n
+            else:
+                other += n
+        return own, other
+
+    counts = np.array([counted(a, b)[0] for a, b in zip(library["_k"], library["_v"], strict=True)]).reshape(len(library), len(kinds))
+    names = library["template"].to_numpy()
+    extra = [prior] if prior else []
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: list[tuple] = []
+            hints = frame[prior].tolist() if prior else [None] * len(frame)
+            for name, keys, values, outline, hint in zip(frame["candidate"].tolist(), frame["_k"], frame["_v"], frame["_o"], hints, strict=True):
+                own, other = counted(keys, values)
+                low, high = np.minimum(counts, own).sum(1), np.maximum(counts, own).sum(1) + other
+                alike = np.divide(low, high, out=np.ones(len(high)), where=high > 0)
+                score = 0.55 * alike + 0.45 * np.maximum(0.0, 1 - 0.5 * np.abs(outlines - np.asarray(outline, float)).sum(1))
+                if hint is not None:
+                    score = score + 0.05 * (families == hint)
+                score = np.round(score, DIGITS)
+                order = np.argsort(-score, kind="stable")  # the library comes by name
+                chosen, seen = list(range(min(k, len(order)))), {*families[order[:k]]}
+                ranked = families[order]
+                if len(seen) < 2 and len(others := np.flatnonzero(~np.isin(ranked, list(seen)))):
+                    chosen.append(int(others[0]))
+                if hint is not None and hint not in seen and len(wanted := np.flatnonzero(ranked == hint)):
+                    chosen.append(int(wanted[0]))
+                for place in sorted({*chosen}):
+                    at = order[place]
+                    out.append((name, names[at], families[at], float(score[at]), *([hint] if prior else []), place + 1))
+            yield pd.DataFrame(out, columns=["candidate", "template", "family", "coarse", *extra, "rank"])
+
+    rows = outlined(candidates, "candidate", *extra)
+    kind = dict(candidates.dtypes) | dict(templates.dtypes)
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in ("candidate", "template", "family")) + ", coarse double" + "".join(f", `{c}` {kind[c]}" for c in extra) + ", rank int"
+    return rows.mapInPandas(task, schema)
+
+
 #: Turned templates that a worker remembers.
 TURNED = 4_096
 

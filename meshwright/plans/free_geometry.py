@@ -67,8 +67,8 @@ def free_equipment(shapes: DataFrame, known: DataFrame, library: DataFrame, h: f
     chosen = cut(matching.distinct_candidates(matching.eligible_candidates(named, fallback, largest, h)))
     templates = cut(library.where("supported").select("template", "family", "points", "counts"))
     usable = chosen.select("candidate", g.normalised(F.col("points")).alias("points"), "counts")
-    short = cut(matching.shortlist(matching.coarse_scores(usable, templates)))
-    similar = matching.g.multiset_similarity(F.col("counts"), F.col("t_counts"))
+    short = cut(matching.coarse_shortlist(usable, templates))
+    similar = g.multiset_similarity(F.col("counts"), F.col("t_counts"))
     measured = matching.chamfer_distances(short.select("candidate", "template", "family"), usable, templates)
     both = measured.join(usable.select("candidate", "counts"), "candidate").join(templates.select("template", F.col("counts").alias("t_counts")), "template")
     scores = cut(matching.combined_scores(both.withColumn("_sim", similar).drop("counts", "t_counts"), F.col("_sim")))
