@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import geometry as g
 from meshwright.operators.lineage import cut
+from meshwright.operators.spatial import box_join
 
 #: Shapes of a grown group, rounds of growth, and lengths of stubs by the size of what they touch.
 MOST, ROUNDS = 24, 2
@@ -29,7 +30,11 @@ def expand_groups(groups: DataFrame, shapes: DataFrame, h: float = g.CANONICAL_H
         box = _box_of(own.join(shapes, ["drawing", "shape"]))
         scale = F.greatest(F.col("c") - F.col("a"), F.col("d") - F.col("b"), F.lit(h))
         box = box.withColumns({"scale": scale, "mx": (F.col("a") + F.col("c")) / 2, "my": (F.col("b") + F.col("d")) / 2}).withColumn("reach", F.greatest(F.lit(0.15 * h), F.col("scale") * 0.3))
-        near = shapes.where("not annotation").join(box.where(F.col("held") < MOST), "drawing")
+        # the boxes are grown by their own reach, so that a grid finds what may be near
+        grown = box.where(F.col("held") < MOST).select("*", *((F.col(c) + F.col("reach") * side).alias(n) for c, side, n in (("a", -1, "x0"), ("b", -1, "y0"), ("c", 1, "x1"), ("d", 1, "y1"))))
+        met = box_join(shapes.where("not annotation"), grown, ["drawing"], 0.0, 10 * h)
+        kept = [F.col(f"l_{c}").alias(c) for c in shapes.columns if c != "drawing"]
+        near = met.select("drawing", *kept, *(F.col(f"r_{c}").alias(c) for c in box.columns if c != "drawing"))
         dx = F.greatest(F.lit(0.0), F.col("x0") - F.col("c"), F.col("a") - F.col("x1"))
         dy = F.greatest(F.lit(0.0), F.col("y0") - F.col("d"), F.col("b") - F.col("y1"))
         cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions import geometry as g
 from meshwright.operators.keys import first_wins
-from meshwright.operators.spatial import box_join
+from meshwright.operators.spatial import box_join, points_in_boxes
 
 #: What block names and attributes say, by the first rule with a token in them:
 #: tokens, physical type, template family, terminals.
@@ -127,24 +127,37 @@ def nearest_prior(boxes: DataFrame, texts: DataFrame, key: list[str], reach: flo
     return near.select(*key, "box", F.col("n.r_text_id").alias("text_id"), F.col("n.r_family").alias("family"), F.round("n.gap", 3).alias("distance"))
 
 
+def _in_windows(points: DataFrame, windows: DataFrame, key: list[str], h: float) -> DataFrame:
+    """(key, ...) of every point (x, y) in a window (x0, y0, x1, y1) of its key, by a grid, with the other columns of both."""
+    met = points_in_boxes(points, windows, key, 20 * h)
+    own = [F.col(f"l_{c}").alias(c) for c in points.columns if c not in key]
+    return met.select(*key, *own, *(F.col(f"r_{c}").alias(c) for c in windows.columns if c not in (*key, "x0", "y0", "x1", "y1")))
+
+
 def labels_to_frames(labels: DataFrame, frames: DataFrame, key: list[str], h: float = g.CANONICAL_H) -> DataFrame:
     """(key, label, frame): each label's nearest frame in its window; of labels with one frame the first has it.
 
     labels: (key, label, x, y); frames: (key, frame, x0, y0, x1, y1).
     """
-    pairs = labels.join(frames, key)
-    x, y = F.col("x"), F.col("y")
-    inside = x.between(F.col("x0") - 10 * h, F.col("x1") + 10 * h) & y.between(F.col("y0") - 3 * h, F.col("y1") + 12 * h)
-    gap = g.interval_distance(x, F.col("x0"), F.col("x1")) + F.abs(y - F.col("y1"))
-    near = pairs.where(inside).groupBy(*key, "label").agg(F.min_by("frame", F.struct(gap, F.col("frame"))).alias("frame"))
+    windows = frames.select(
+        *key, "frame", F.col("x0").alias("left"), F.col("x1").alias("right"), F.col("y1").alias("top"),
+        (F.col("x0") - 10 * h).alias("x0"), (F.col("x1") + 10 * h).alias("x1"), (F.col("y0") - 3 * h).alias("y0"), (F.col("y1") + 12 * h).alias("y1"),
+    )
+    pairs = _in_windows(labels.select(*key, "label", "x", "y"), windows, key, h)
+    gap = g.interval_distance(F.col("x"), F.col("left"), F.col("right")) + F.abs(F.col("y") - F.col("top"))
+    near = pairs.groupBy(*key, "label").agg(F.min_by("frame", F.struct(gap, F.col("frame"))).alias("frame"))
     return near.groupBy(*key, "frame").agg(F.min("label").alias("label")).select(*key, "label", "frame")
 
 
 def labels_to_buses(labels: DataFrame, buses: DataFrame, key: list[str], h: float = g.CANONICAL_H) -> DataFrame:
     """(key, label, segment): the horizontal bus below each label, by height and half as much again of the width between."""
-    pairs = labels.join(buses.withColumnRenamed("y", "bus_y"), key)
-    down, aside = F.col("y") - F.col("bus_y"), g.interval_distance(F.col("x"), F.col("x0"), F.col("x1"))
-    near = pairs.where(down.between(2 * h, 60 * h) & (aside <= 30 * h))
+    windows = buses.select(
+        *key, "segment", F.col("y").alias("bus_y"), F.col("x0").alias("left"), F.col("x1").alias("right"),
+        (F.col("x0") - 30 * h).alias("x0"), (F.col("x1") + 30 * h).alias("x1"), (F.col("y") + 2 * h).alias("y0"), (F.col("y") + 60 * h).alias("y1"),
+    )
+    near = _in_windows(labels.select(*key, "label", "x", "y"), windows, key, h)
+    down, aside = F.col("y") - F.col("bus_y"), g.interval_distance(F.col("x"), F.col("left"), F.col("right"))
+    near = near.where(down.between(2 * h, 60 * h) & (aside <= 30 * h))
     return near.groupBy(*key, "label").agg(F.min_by("segment", F.struct(down + aside * 1.5, F.col("segment"))).alias("segment"))
 
 
@@ -153,10 +166,12 @@ def transformers_to_buses(transformers: DataFrame, buses: DataFrame, key: list[s
 
     transformers: (key, transformer, x, top); buses: (key, container, segment, y, x0, x1).
     """
-    pairs = transformers.join(buses, key)
-    up, aside = F.col("y") - F.col("top"), g.interval_distance(F.col("x"), F.col("x0"), F.col("x1"))
-    near = pairs.where(up.between(0, 50 * h) & (aside <= 2 * h))
+    windows = buses.select(
+        *key, "container", "segment", F.col("y").alias("bus_y"), F.col("x0").alias("left"), F.col("x1").alias("right"),
+        (F.col("x0") - 2 * h).alias("x0"), (F.col("x1") + 2 * h).alias("x1"), (F.col("y") - 50 * h).alias("y0"), F.col("y").alias("y1"),
+    )
+    near = _in_windows(transformers.select(*key, "transformer", "x", F.col("top").alias("y")), windows, key, h)
+    up, aside = F.col("bus_y") - F.col("y"), g.interval_distance(F.col("x"), F.col("left"), F.col("right"))
+    near = near.where(up.between(0, 50 * h) & (aside <= 2 * h))
     best = near.groupBy(*key, "transformer").agg(F.min_by(F.struct("container", "segment"), F.struct(up + aside * 2, F.col("container"), F.col("segment"))).alias("b"))
     return best.select(*key, "transformer", "b.*")
-
-
