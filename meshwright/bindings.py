@@ -597,7 +597,16 @@ def handle_set_ops(spark, sf_dir):
     return own.select("drawing", as_text(F.array_union("a", "b")).alias("both"), as_text(F.array_intersect("a", "b")).alias("common"), as_text(F.array_except("a", "b")).alias("only_first"), F.arrays_overlap("a", "b").alias("overlap"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EQUIPMENT}, ix AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY equipment) - 1 AS i, count(*) OVER (PARTITION BY d) AS n FROM eqp),
+    gr AS (SELECT DISTINCT d, n FROM ix),
+    nr AS (SELECT a.d, a.i AS u, b.i AS v FROM ix a JOIN ix b ON a.d = b.d AND a.i <> b.i AND a.n <= 6
+           AND sqrt(greatest(0, a.x0 - b.x1, b.x0 - a.x1) ** 2 + greatest(0, a.y0 - b.y1, b.y0 - a.y1) ** 2) <= 100),
+    mk AS (SELECT d, unnest(range(1, (1 << n::INT)::BIGINT)) AS mask FROM gr WHERE n <= 6),
+    lo AS (SELECT mk.d, mask, min(i) AS i FROM mk JOIN ix ON ix.d = mk.d AND (mask >> i) & 1 = 1 GROUP BY ALL),
+    re(d, mask, i) AS (SELECT d, mask, i FROM lo UNION SELECT re.d, re.mask, nr.v FROM re JOIN nr ON nr.d = re.d AND nr.u = re.i AND (re.mask >> nr.v) & 1 = 1),
+    ok AS (SELECT d, mask, count(*)::INT AS size FROM re GROUP BY ALL HAVING count(*) = bit_count(mask))
+    SELECT d AS "group", mask, NULL::BIGINT AS shape, size FROM ok UNION SELECT d, (1 << n::INT)::BIGINT - 1, NULL, n::INT FROM gr WHERE n <= 6
+    UNION ALL SELECT d, NULL, equipment, 1 FROM ix WHERE n > 6 UNION ALL SELECT d, -1, NULL, n::INT FROM gr WHERE n > 6""")
 def powerset_connected_subsets(spark, sf_dir):
     shapes = devices(spark, sf_dir).select(F.col("drawing").alias("group"), F.col("equipment").alias("shape"), "x0", "y0", "x1", "y1")
     return matching.subset_candidates(shapes, 100.0)
