@@ -169,7 +169,15 @@ def nearest_segments(equipment: DataFrame, segments: DataFrame) -> DataFrame:
     lines = segments.select("drawing", "segment", "x1", "y1", dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("square"))
     raw = F.try_divide((F.col("px") - F.col("x1")) * F.col("dx") + (F.col("py") - F.col("y1")) * F.col("dy"), F.col("square"))
     met = ports.join(lines, "drawing").withColumn("t", F.when(F.col("square") <= 1e-18, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))))
-    met = met.withColumns({"qx": F.col("x1") + F.col("t") * F.col("dx"), "qy": F.col("y1") + F.col("t") * F.col("dy")})
+    # along an axis the port's own coordinate is kept: t * dx would round it, and gaps that are equal would differ
+    straight = ((F.col("dx") == 0) | (F.col("dy") == 0)) & (F.col("square") > 1e-18)
+
+    def foot(p: str, a: str, d: str) -> Column:
+        start, end = F.col(a), F.col(a) + F.col(d)
+        kept = F.greatest(F.least(start, end), F.least(F.greatest(start, end), F.col(p)))
+        return F.when(straight, kept).otherwise(start + F.col("t") * F.col(d))
+
+    met = met.withColumns({"qx": foot("px", "x1", "dx"), "qy": foot("py", "y1", "dy")})
     met = met.withColumn("gap", g.length(F.col("px") - F.col("qx"), F.col("py") - F.col("qy")))
     near = met.groupBy("drawing", "equipment", "port", "px", "py").agg(F.min(F.struct("gap", "segment", "qx", "qy")).alias("n"))
     return near.select("drawing", "equipment", "port", "px", "py", "n.segment", "n.gap", "n.qx", "n.qy")

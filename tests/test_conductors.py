@@ -64,3 +64,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], COLUMNS)
     events = c.pair_events(none)
     assert events.count() == 0 and c.conductor_components(none, events).count() == 0
+
+
+#: A port at (230, 150) is on wire 0, where 230 / 300 * 300 gives 230.00000000000003. The port at (270, 75) is on
+#: wire 1, which does not meet wire 0. Wire 2 crosses 1, wire 3 crosses 0.
+TIED = ((0, 150, 300, 150), (270, -300, 270, 90), (200, -200, 400, -200), (100, 50, 100, 250))
+DEVICES = "drawing long, equipment long, x0 double, y0 double, x1 double, y1 double, terminal_count int"
+A = (1, 7, 190.0, 0.0, 270.0, 150.0, 1)
+
+
+def test_equal_gaps_go_to_the_first_segment(spark):
+    wires = (*TIED, (0, 150, 350, 150))  # the port is on the last one too, without rounding
+    found = {r.port: (r.segment, r.gap, r.qx, r.qy) for r in c.nearest_segments(spark.createDataFrame([A], DEVICES), lines(spark, *wires)).collect()}
+    assert found == {0: (0, 0.0, 230.0, 150.0), 1: (1, 40.0, 270.0, 0.0), 2: (0, 75.0, 190.0, 150.0), 3: (1, 0.0, 270.0, 75.0)}
+    turned = lines(spark, *((y2, x2, y1, x1) for x1, y1, x2, y2 in wires))
+    found = {r.port: (r.segment, r.gap, r.qx, r.qy) for r in c.nearest_segments(spark.createDataFrame([(1, 7, 0.0, 190.0, 150.0, 270.0, 1)], DEVICES), turned).collect()}
+    assert found[3] == (0, 0.0, 150.0, 230.0) and found[0] == (1, 0.0, 75.0, 270.0)
