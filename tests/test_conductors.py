@@ -80,3 +80,8 @@ def test_equal_gaps_go_to_the_first_segment(spark):
     turned = lines(spark, *((y2, x2, y1, x1) for x1, y1, x2, y2 in wires))
     found = {r.port: (r.segment, r.gap, r.qx, r.qy) for r in c.nearest_segments(spark.createDataFrame([(1, 7, 0.0, 190.0, 150.0, 270.0, 1)], DEVICES), turned).collect()}
     assert found[3] == (0, 0.0, 150.0, 230.0) and found[0] == (1, 0.0, 75.0, 270.0)
+
+
+def test_equal_gaps_of_terminals_go_to_the_first_port(spark):
+    found = c.attach_terminals(spark.createDataFrame([A], DEVICES), lines(spark, *TIED)).collect()
+    assert [(r.port, r.segment, r.gap, r["rank"]) for r in found] == [(0, 0, 0.0, 1)]
