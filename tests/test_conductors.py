@@ -85,3 +85,14 @@ def test_equal_gaps_go_to_the_first_segment(spark):
 def test_equal_gaps_of_terminals_go_to_the_first_port(spark):
     found = c.attach_terminals(spark.createDataFrame([A], DEVICES), lines(spark, *TIED)).collect()
     assert [(r.port, r.segment, r.gap, r["rank"]) for r in found] == [(0, 0, 0.0, 1)]
+
+
+def tied_nodes(spark, *devices):
+    wires = lines(spark, *TIED)
+    events = c.pair_events(wires)
+    return c.connectivity(c.attach_terminals(spark.createDataFrame(list(devices), DEVICES), wires), c.conductor_components(wires, events), wires), events
+
+
+def test_equal_gaps_make_one_node(spark):
+    found = tied_nodes(spark, A)[0].collect()
+    assert [(r.root, r.equipment, r.terminals, r.handles) for r in found] == [(0, [7], 1, ["h0"])]
