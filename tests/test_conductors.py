@@ -96,3 +96,9 @@ def tied_nodes(spark, *devices):
 def test_equal_gaps_make_one_node(spark):
     found = tied_nodes(spark, A)[0].collect()
     assert [(r.root, r.equipment, r.terminals, r.handles) for r in found] == [(0, [7], 1, ["h0"])]
+
+
+def test_equal_gaps_join_devices_of_one_node(spark):
+    below, beside = (1, 8, 230.0, -400.0, 310.0, -200.0, 1), (1, 9, 20.0, 150.0, 60.0, 200.0, 1)
+    found = c.device_edges(tied_nodes(spark, A, below, beside)[0]).collect()
+    assert [(r.root, r.source, r.target) for r in found] == [(0, 7, 9)]
