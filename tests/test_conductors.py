@@ -102,3 +102,9 @@ def test_equal_gaps_join_devices_of_one_node(spark):
     below, beside = (1, 8, 230.0, -400.0, 310.0, -200.0, 1), (1, 9, 20.0, 150.0, 60.0, 200.0, 1)
     found = c.device_edges(tied_nodes(spark, A, below, beside)[0]).collect()
     assert [(r.root, r.source, r.target) for r in found] == [(0, 7, 9)]
+
+
+def test_equal_gaps_keep_the_events_of_their_node(spark):
+    nodes, events = tied_nodes(spark, A)
+    found = c.active_events(c.distinct_events(events), nodes).collect()
+    assert [(r.left, r.right, r.kind) for r in found] == [(0, 3, "x_not_connected")]
