@@ -59,8 +59,6 @@ MASSES = ((0.7, 0.85), (0.8, 0.9), (0.85, 0.95), (0.92, 0.97), (0.97, 0.99))
 ENTRIES, NAME_CHARS = 100_000, 4_000_000
 #: Distinct words that a worker remembers while it counts or scores.
 HELD = 200_000
-#: A word counts as common only where it is at least one in this many words of a task.
-RARE = 2_000
 #: The fold that calibrates; fold 0 is held out, the others are counted by class.
 CALIBRATION = 1
 #: Bins of the calibration histogram in a unit of mean log ratio.
@@ -118,23 +116,28 @@ class Tokens:
 
 
 def common_words(docs: DataFrame, text_col: str) -> list[str]:
-    """The COMMON most common expressions of all texts, of those that are one in OFTEN or more."""
+    """The COMMON most common expressions of all texts, of those that are one in OFTEN or more.
+
+    Every word is counted: a task that holds too many passes its counts on and begins anew, and all are added up.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        total = 0  # travels under the empty name
+
+        def counted() -> pa.RecordBatch:
+            names: Counter[str] = Counter()
+            for w, n in counts.items():
+                names[w.strip(EDGES)] += n
+            names[""] = counts.total()  # the number of words travels under the empty name
+            return pa.RecordBatch.from_pydict({"name": pa.array(list(names), pa.string()), "n": pa.array(list(names.values()), pa.int64())})
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                counts.update(words)
-                total += len(words)
-            if len(counts) > HELD:  # a word that is rare so far may go: it lacks a share of RARE at most
-                counts = Counter({w: n for w, n in counts.items() if n * RARE >= total})
-        names: Counter[str] = Counter({"": total})
-        for w, n in counts.items():
-            if n * RARE >= total and (name := w.strip(EDGES)):
-                names[name] += n
-        yield pa.RecordBatch.from_pydict({"name": pa.array(list(names), pa.string()), "n": pa.array(list(names.values()), pa.int64())})
+                counts.update(text.lower().split())
+                if len(counts) > HELD:
+                    yield counted()
+                    counts.clear()
+        yield counted()
 
     found = docs.select(blank(text_col).alias("_text")).mapInArrow(task, "name string, n long")
     top = found.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.col("name") != "", F.desc("n"), "name").limit(COMMON + 1).collect()

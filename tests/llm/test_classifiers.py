@@ -273,3 +273,14 @@ def test_descent_reaches_the_optimum():
     own = quality.descend(rows, y, 4)
     rounds = [value(own + rng.normal(size=5) * s) for s in (0.01, 0.05, 0.2) for _ in range(300)]
     assert value(own) < min(rounds) + 0.02 * value(own)
+
+
+def test_common_words_count_what_is_rare_in_a_task(spark, monkeypatch):
+    """c8 is once more in all texts than c7, in a task where it is one word in 4,001."""
+    texts = [" ".join(f"c{k}" for k in range(1, 9)) + " "] * 200, [f"f{i} " for i in range(4000)] + ["c8"]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([("".join(t),) for t in texts], 2), "text string")
+    want = ["c1", "c2", "c3", "c4", "c5", "c6", "c8"]
+    assert toxicity.common_words(docs, "text") == want
+    monkeypatch.setattr(toxicity, "HELD", 50)  # passes its counts on all the time
+    assert toxicity.common_words(docs, "text") == want
+    assert toxicity.common_words(docs.limit(0), "text") == []
