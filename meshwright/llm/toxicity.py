@@ -5,11 +5,14 @@ corpus's most common words before it, or that there was none: common words tell
 the kind of text, so a class is not told by these. A class c (toxic, ordinary) gives w, of stem s (its first
 letters), the probability
 
-    P_c(w | h) = max(n_c(h, w) - D_c, 0) / n_c(h) + L_c(h) P_c(s | h) P(w | h) / P(s | h)
-    P_c(s | h) = max(n_c(h, s) - E_c, 0) / n_c(h) + K_c(h) P(s | h)
+    P_c(w | h) = (n_c(h, w) - d(n_c(h, w), D_c)) / n_c(h) + L_c(h) P_c(s | h) P(w | h) / P(s | h)
+    P_c(s | h) = (n_c(h, s) - d(n_c(h, s), E_c)) / n_c(h) + K_c(h) P(s | h)
 
-with n_c(h, w) the documents of c that have w after h, constant discounts D_c and E_c, and L_c(h) and K_c(h)
-the masses that they free. P is the shared model, of all documents, labelled or not:
+with n_c(h, w) the documents of c that have w after h, and L_c(h) and K_c(h) the masses that the discounts
+free. As in modified Kneser-Ney a discount grows with its count: d(n, D) = D (1 - exp(-n / D)) is less than
+every n, so no pair that a class has loses its own share, and D at most. (`fit_models` also makes the models
+of constant discounts, min(n, D), which leave pairs up to D without a share of their own.) P is the shared
+model, of all documents, labelled or not:
 
     P(w | h) = max(n(h, w) - D, 0) / n(h) + D N(h.) / n(h) P(w)
     P(w)     = max(N(.w) - D, 0) / N(..) + D / N(..)
@@ -17,16 +20,16 @@ the masses that they free. P is the shared model, of all documents, labelled or
 where N(.w) is the number of histories that w follows, N(h.) of expressions after h, N(..) of pairs. The
 discounts are set so that both classes free the same share of their mass: a model of fewer documents would
 else lean more on the shared counts, and long texts would differ by that alone. Which share is chosen from
-MASSES by the errors on labelled rows that the counts have not seen.
+GROWING by the errors on labelled rows that the counts have not seen.
 
 A text's log-likelihoods are over all its tokens. An expression that a text repeats after the same history is
 foretold by the text itself, alike under both models. The difference of the log-likelihoods, over the
 length to the power of LENGTH, is set against the threshold with the fewest errors on those rows.
 
-Counts come from every document and travel as one row per pair and task at most. Scoring needs the
-pairs, and the pairs of a history and a stem, with a class count above its discount. Each is kept under its own
-name: they are counted and broadcast up to ENTRIES of them and NAME_CHARS characters; beyond, they stay a table
-that is joined to the distinct pairs of blocks of documents. Both ways give the same means.
+Counts come from every document and travel as one row per pair and task at most. Scoring needs every
+pair, and every pair of a history and a stem, that a class has. Each is kept under its own name, or the 128-bit
+digest of it: they are counted and broadcast up to ENTRIES of them and NAME_CHARS characters; beyond, they stay
+a table that is joined to the distinct pairs of blocks of documents. Both ways give the same means.
 
 Defined cases: a null text is empty; a text without expressions has the mean 0. Rows that repeat an id are
 scored one by one, and counted as often. Without toxic or without ordinary labels no row is predicted toxic.
@@ -37,13 +40,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import fsum, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,10 +58,12 @@ from meshwright.llm.common import blank, bound_batches, stored, with_labels
 COMMON, OFTEN, STEM = 7, 200, 5
 #: Discount of the shared model, power of the length.
 SHARED_DISCOUNT, LENGTH = 0.75, 0.5
-#: Shares of a class's mass that its discounts free, for expressions and for stems.
+#: Shares of a class's mass that its discounts free, for expressions and for stems: by growing discounts,
+GROWING = ((0.85, 0.93), (0.93, 0.97), (0.96, 0.985))
+#: and by constant ones.
 MASSES = ((0.7, 0.85), (0.8, 0.9), (0.85, 0.95), (0.92, 0.97), (0.97, 0.99))
-#: Entries, and characters of their names, that are still broadcast.
-ENTRIES, NAME_CHARS = 100_000, 4_000_000
+#: Entries, and characters of their names, that are still broadcast: nine bytes an entry and 20 a name in a worker.
+ENTRIES, NAME_CHARS = 4_000_000, 64_000_000
 #: Distinct words that a worker remembers while it counts or scores.
 HELD = 200_000
 #: The fold that calibrates; fold 0 is held out, the others are counted by class.
@@ -182,25 +189,87 @@ def count_pairs(docs: DataFrame, text_col: str, common: list[str]) -> DataFrame:
     return parts.groupBy("h", "name").agg(*(F.sum(c).alias(c) for c in (*CLASSES, "all")))
 
 
+def digest(name: Column) -> list[Column]:
+    """128 bits that stand for a name, as two numbers; the same as digests()."""
+    return [F.xxhash64(name).alias("first"), F.xxhash64(name, name).alias("second")]
+
+
+def digests(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    own = [x.encode() for x in names]
+    first = [xxhash.xxh64_intdigest(x, 42) for x in own]
+    second = map(xxhash.xxh64_intdigest, own, first)
+    return np.array(first, np.uint64).view(np.int64), np.fromiter(second, np.uint64, len(own)).view(np.int64)
+
+
+class Ratios:
+    """Log ratios by the digest of a name and history, as sorted arrays."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, h: np.ndarray, ratio: np.ndarray) -> None:
+        """Rows by first and second; a name and history are there once."""
+        new = np.ones(len(first), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        self.start = np.append(np.flatnonzero(new), len(first)).astype(np.int32)
+        self.first, self.second = first[new], second[new]
+        self.h, self.ratio = h, ratio
+        same = np.flatnonzero(self.first[1:] == self.first[:-1])
+        #: How many names share a first half at most: one, but for chance.
+        self.alike = 1 + (int(np.unique(self.first[same], return_counts=True)[1].max()) if len(same) else 0)
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def put(self, names: list[str], table: np.ndarray) -> None:
+        """Writes the ratios of each name into its row of the table, by history."""
+        if not len(self) or not names:
+            return
+        first, second = digests(names)
+        lowest = np.searchsorted(self.first, first)
+        for k in range(self.alike):
+            at = np.minimum(lowest + k, len(self) - 1)
+            row = np.flatnonzero((self.first[at] == first) & (self.second[at] == second))
+            low, many = self.start[at[row]], self.start[at[row] + 1] - self.start[at[row]]
+            entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            table[np.repeat(row, many), self.h[entry]] = self.ratio[entry]
+
+
 @dataclass
 class ToxicityModel:
-    """Log ratios of pairs by expression and by stem, one for each history; what others have; the threshold.
+    """Log ratios of pairs by expression and by stem; by history, what others have; the threshold.
 
     entries: (kind, h, name, ratio) in place of the two where they are too many to broadcast.
     """
 
     common: list[str]
     rest: np.ndarray
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    stems: dict[str, np.ndarray] = field(default_factory=dict)
+    words: Ratios | None = None
+    stems: Ratios | None = None
     threshold: float = np.inf
     scale: float = 1.0
     entries: DataFrame | None = None
+    sent: Broadcast | None = None
+
+    def share(self, spark: SparkSession) -> Broadcast:
+        """The model on the executors, sent once."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
+    def drop(self) -> None:
+        if self.sent is not None:
+            self.sent.destroy()
+            self.sent = None
+
+    def table(self, names: list[str]) -> np.ndarray:
+        """The ratios of each name, by history."""
+        found = np.tile(self.rest, (len(names), 1))
+        if self.words is not None:
+            self.stems.put([x[:STEM] for x in names], found)
+            self.words.put(names, found)
+        return found
 
     def ratios(self, expression: str) -> np.ndarray:
         """By history."""
-        found = self.words.get(expression)
-        return self.stems.get(expression[:STEM], self.rest) if found is None else found
+        return self.table([expression])[0]
 
 
 class Scorer:
@@ -208,28 +277,48 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model, self.tokens = model, Tokens(model.common)
-        self.table = np.zeros((1024, len(model.rest)))
-        self.known = 0
-
-    def __call__(self, text: str) -> float:
-        tokens = self.tokens
-        if tokens.full():
-            tokens.forget()
-            self.known = 0
-        pairs, length = tokens(text)
-        if not length:
-            return 0.0
-        if len(tokens.names) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((2 * len(tokens.names), self.table.shape[1]))])
-        for k in range(self.known, len(tokens.names)):
-            self.table[k] = self.model.ratios(tokens.names[k])
-        self.known = len(tokens.names)
+        self.ratios, self.known = np.zeros((1024, len(model.rest))), 0
+
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        tokens, out = self.tokens, []
+        held: list[tuple[np.ndarray, int]] = []
+        for k, text in enumerate(texts, 1):
+            held.append(tokens(text or ""))
+            if k == len(texts) or tokens.full():
+                out += self._means(held)
+                held = []
+                if tokens.full():
+                    tokens.forget()
+                    self.known = 0
+        return out
+
+    def _means(self, held: list[tuple[np.ndarray, int]]) -> list[float]:
+        """Of texts that are read; expressions are looked up together."""
+        names = self.tokens.names
+        if len(names) > len(self.ratios):
+            self.ratios = np.concatenate([self.ratios, np.zeros((2 * len(names), self.ratios.shape[1]))])
+        self.ratios[self.known : len(names)] = self.model.table(names[self.known :])
+        self.known = len(names)
+        flat = self.ratios.ravel()
         # an exact sum, so that no order of adding shows
-        return fsum(self.table.ravel()[pairs].tolist()) / length**LENGTH
+        return [fsum(flat[pairs].tolist()) / length**LENGTH if length else 0.0 for pairs, length in held]
+
 
+def _bound(bins: list[tuple[int, float]], share: float) -> float:
+    """The D whose growing discounts free the share of the mass of (pairs, count of each)."""
+    pairs, n = (np.array(x, float) for x in zip(*bins, strict=True))
+    freed = lambda d: float((-d * np.expm1(-n / d) * pairs).sum())
+    want, low, high = share * float((pairs * n).sum()), 0.0, 1.0
+    while freed(high) < want:
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if freed(middle) < want else (low, middle)
+    return high
 
-def discounts(counts: DataFrame, shares: list[float]) -> list[dict[str, float]]:
-    """For each share, the discount of each class that frees it. Counts from 64 on go by sixteenths of a doubling."""
+
+def discounts(counts: DataFrame, shares: list[float], constant: bool) -> list[dict[str, float]]:
+    """For each share, the D of each class whose discounts free it. Counts from 64 on go by sixteenths of a doubling."""
     classes = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("n")) for c in CLASSES))
     own = counts.select(F.explode(classes).alias("x")).select("x.c", "x.n").where("n > 0")
     step = F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor(F.log2(F.col("n") / 64) * 16))
@@ -239,6 +328,9 @@ def discounts(counts: DataFrame, shares: list[float]) -> list[dict[str, float]]:
         found = {}
         for c in CLASSES:
             rows = [r for r in bins if r["c"] == c]
+            if not constant:
+                found[c] = _bound([(r["pairs"], r["mass"] / r["pairs"]) for r in rows], share)
+                continue
             total, below, above, found[c] = sum(r["mass"] for r in rows), 0, sum(r["pairs"] for r in rows), 0.0
             for r in rows:
                 if below + above * r["mass"] / r["pairs"] >= share * total:
@@ -249,75 +341,83 @@ def discounts(counts: DataFrame, shares: list[float]) -> list[dict[str, float]]:
     return out
 
 
+def _left(n: Column, bound: float, constant: bool) -> Column:
+    """What the discount leaves of a count."""
+    n = n.cast("double")
+    return F.greatest(n - bound, F.lit(0.0)) if constant else n + bound * F.expm1(-n / bound)
+
+
 def _by_history(values: dict[int, float], wide: int) -> Column:
     return F.element_at(F.array(*(F.lit(float(values.get(h, 0.0))) for h in range(wide))), F.col("h") + 1)
 
 
-def fit_models(counts: DataFrame, common: list[str]) -> list[ToxicityModel]:
-    """A model without its threshold for each of MASSES, from the stored counts; none without both classes."""
+def fit_models(counts: DataFrame, common: list[str], constant: bool = True) -> list[ToxicityModel]:
+    """A model without its threshold for each of MASSES, or else of GROWING, from the stored counts; none without both classes."""
+    return list(each_model(counts, common, constant))
+
+
+def each_model(counts: DataFrame, common: list[str], constant: bool) -> Iterator[ToxicityModel]:
+    """The models of fit_models(), one after the other, as each may be large."""
+    shares = MASSES if constant else GROWING
     wide = len(common) + 1
     sums = [F.sum(c).cast("double").alias(c) for c in (*CLASSES, "all")]
     totals = {r["h"]: r for r in counts.groupBy("h").agg(*sums, F.count("*").alias("types")).collect()}
     if not all(any(r[c] for r in totals.values()) for c in CLASSES):
-        return []
+        return
     stem = F.substring("name", 1, STEM)
     stems = stored(counts.groupBy("h", stem.alias("name")).agg(*(F.sum(c).alias(c) for c in (*CLASSES, "all"))))
-    found = list(zip(discounts(counts, [a for a, _ in MASSES]), discounts(stems, [b for _, b in MASSES]), strict=True))
+    found = list(zip(discounts(counts, [a for a, _ in shares], constant), discounts(stems, [b for _, b in shares], constant), strict=True))
 
     def freed(table: DataFrame, k: int) -> list[dict[str, dict[int, float]]]:
         """By model, class and history, the share of mass that discounts free; 1 where a class has no mass."""
-        least = [F.sum(F.least(F.col(c).cast("double"), F.lit(d[k][c]))).alias(f"{c}{i}") for i, d in enumerate(found) for c in CLASSES]
+        least = [F.sum(F.col(c) - _left(F.col(c), d[k][c], constant)).alias(f"{c}{i}") for i, d in enumerate(found) for c in CLASSES]
         rows = {r["h"]: r for r in table.groupBy("h").agg(*least).collect()}
         return [{c: {h: r[f"{c}{i}"] / totals[h][c] if totals[h][c] else 1.0 for h, r in rows.items()} for c in CLASSES} for i in range(len(found))]
 
     masses = list(zip(freed(counts, 0), freed(stems, 1), strict=True))
     types = sum(r["types"] for r in totals.values())
 
-    def strong(table: DataFrame, k: int) -> DataFrame:
-        return table.where(F.expr(" or ".join(f"{c} > {min(d[k][c] for d in found)!r}D" for c in CLASSES)))
+    def above(k: int, prefix: str, among: list) -> Column:
+        """Where the discounts of a model among these leave something."""
+        return F.expr(" or ".join(f"{prefix}{c} > {min(d[k][c] for d in among) if constant else 0.0!r}D" for c in CLASSES))
 
     follows = counts.groupBy("name").agg(F.count("*").alias("follows"))
     of_stem = stems.select("h", F.col("name").alias("stem"), *(F.col(c).alias(f"s_{c}") for c in (*CLASSES, "all")))
-    words = strong(counts, 0).withColumn("stem", stem).join(of_stem, ["h", "stem"]).join(follows, "name")
+    words = counts.where(above(0, "", found)).withColumn("stem", stem).join(of_stem, ["h", "stem"]).join(follows, "name")
     n = _by_history({h: r["all"] for h, r in totals.items()}, wide)
     lower = F.greatest(F.col("follows") - SHARED_DISCOUNT, F.lit(0.0)) / types + F.lit(SHARED_DISCOUNT / types)
     spread = _by_history({h: r["types"] * SHARED_DISCOUNT for h, r in totals.items()}, wide)
     words = stored(words.withColumn("shared", (F.greatest(F.col("all") - SHARED_DISCOUNT, F.lit(0.0)) + spread * lower) / n))
-    strong_stems = stored(strong(stems, 1).select("h", "name", *(F.col(c).alias(f"s_{c}") for c in (*CLASSES, "all"))))
+    strong_stems = stored(stems.where(above(1, "", found)).select("h", "name", *(F.col(c).alias(f"s_{c}") for c in (*CLASSES, "all"))))
 
-    models = []
     for d, mass in zip(found, masses, strict=True):
 
         def of_stems(c: str, d=d, mass=mass) -> Column:
             """P_c(s | h) / P(s | h)."""
-            own = F.try_divide(F.greatest(F.col(f"s_{c}") - d[1][c], F.lit(0.0)), _by_history({h: r[c] for h, r in totals.items()}, wide)) / (F.col("s_all") / n)
+            own = F.try_divide(_left(F.col(f"s_{c}"), d[1][c], constant), _by_history({h: r[c] for h, r in totals.items()}, wide)) / (F.col("s_all") / n)
             return F.coalesce(own, F.lit(0.0)) + _by_history(mass[1][c], wide)
 
         def ratio(parts: dict[str, Column]) -> Column:
             return (F.log(parts["toxic"]) - F.log(parts["ordinary"])).alias("ratio")
 
         backed = {c: _by_history(mass[0][c], wide) * of_stems(c) for c in CLASSES}
-        mine = {c: F.try_divide(F.greatest(F.col(c) - d[0][c], F.lit(0.0)), _by_history({h: r[c] for h, r in totals.items()}, wide)) for c in CLASSES}
+        mine = {c: F.try_divide(_left(F.col(c), d[0][c], constant), _by_history({h: r[c] for h, r in totals.items()}, wide)) for c in CLASSES}
         own = {c: F.coalesce(x / F.col("shared"), F.lit(0.0)) for c, x in mine.items()}
-        above = lambda k, prefix, d=d: F.expr(" or ".join(f"{prefix}{c} > {d[k][c]!r}D" for c in CLASSES))
-        entries = words.where(above(0, "")).select(F.lit(0).alias("kind"), "h", "name", ratio({c: own[c] + backed[c] for c in CLASSES}))
-        entries = entries.unionByName(strong_stems.where(above(1, "s_")).select(F.lit(1).alias("kind"), "h", "name", ratio(backed)))
+        entries = words.where(above(0, "", [d])).select(F.lit(0).alias("kind"), "h", "name", ratio({c: own[c] + backed[c] for c in CLASSES}))
+        entries = entries.unionByName(strong_stems.where(above(1, "s_", [d])).select(F.lit(1).alias("kind"), "h", "name", ratio(backed)))
         level = {c: [mass[0][c].get(h, 1.0) * mass[1][c].get(h, 1.0) for h in range(wide)] for c in CLASSES}
         model = ToxicityModel(common, np.array([log(t / o) for t, o in zip(level["toxic"], level["ordinary"], strict=True)]))
         count, chars = entries.agg(F.count("*"), F.coalesce(F.sum(F.length("name")), F.lit(0))).first()
         if count > ENTRIES or chars > NAME_CHARS:
             model.entries = entries
         else:
-            rows = entries.orderBy(F.desc("kind")).collect()  # stems first: words fall back on them
-            for r in rows:
-                if r["kind"] == 1:
-                    model.stems.setdefault(r["name"], model.rest.copy())[r["h"]] = r["ratio"]
-                else:
-                    if r["name"] not in model.words:
-                        model.words[r["name"]] = model.stems.get(r["name"][:STEM], model.rest).copy()
-                    model.words[r["name"]][r["h"]] = r["ratio"]
-        models.append(model)
-    return models
+            for kind, name in enumerate(("words", "stems")):
+                rows = entries.where(F.col("kind") == kind).select(*digest(F.col("name")), F.col("h").cast("byte"), "ratio")
+                rows = rows.orderBy("first", "second").toArrow()
+                setattr(model, name, Ratios(*(np.array(x) for x in rows.columns)))
+                del rows
+            pa.default_memory_pool().release_unused()
+        yield model
 
 
 def joined_means(rows: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -383,12 +483,12 @@ def mean_ratios(docs: DataFrame, model: ToxicityModel, text_col: str, keep: list
     if model.entries is not None:
         rows = stored(docs.select(F.struct(*keep).alias("_row"), F.monotonically_increasing_id().alias("_uid"), blank(text_col).alias("_text")))
         return rows.select("_row", "_uid").join(joined_means(rows, model), "_uid").select("_row.*", "_mean")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.share(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            means = [score(t) for t in batch.column("_text").to_pylist()]
+            means = score(batch.column("_text").to_pylist())
             yield batch.drop_columns(["_text"]).append_column("_mean", pa.array(means, pa.float64()))
 
     rows = docs.select(*keep, blank(text_col).alias("_text"))
@@ -420,16 +520,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     bound_batches(docs.sparkSession)
     common = common_words(docs, text_col)
     labelled = with_labels(docs.select(id_col, text_col), labels, label_col, id_col)
-    models = fit_models(stored(count_pairs(labelled, text_col, common)), common)
-    if not models:
-        return ToxicityModel(common, np.zeros(len(common) + 1))
     unseen = stored(labelled.where((F.col("_fold") == CALIBRATION) & F.col("_label").isNotNull()).select(text_col, "_label"))
-    errors = []
-    for model in models:
+    best, least = None, np.inf
+    for model in each_model(stored(count_pairs(labelled, text_col, common)), common, constant=False):
         means = mean_ratios(unseen, model, text_col, ["_label"])
         bins = F.greatest(F.least(F.rint(F.col("_mean") * BINS), F.lit(1e3 * BINS)), F.lit(-1e3 * BINS)).cast("int")
-        errors.append(calibrate(model, means.groupBy(bins.alias("bin"), F.col("_label").alias("label")).agg(F.count("*").alias("rows")).toPandas()))
-    return models[int(np.argmin(errors))]
+        errors = calibrate(model, means.groupBy(bins.alias("bin"), F.col("_label").alias("label")).agg(F.count("*").alias("rows")).toPandas())
+        if best is None or errors < least:
+            best, least, model = model, errors, best
+        if model is not None:
+            model.drop()
+    return best or ToxicityModel(common, np.zeros(len(common) + 1))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,12 +553,12 @@ def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     if model.entries is not None:
         rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
         return mean_ratios(rows, model, "_text", ["_row"]).where(F.col("_mean") < limit).select("_row.*")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.share(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            yield batch.filter(pa.array([not (score(t or "") >= limit) for t in texts], pa.bool_()))
+            means = score(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([not mean >= limit for mean in means], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)

@@ -284,3 +284,68 @@ def test_common_words_count_what_is_rare_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 50)  # passes its counts on all the time
     assert toxicity.common_words(docs, "text") == want
     assert toxicity.common_words(docs.limit(0), "text") == []
+
+
+def brute_growing(rows, side, common, share):
+    """Log ratio of every pair with discounts D (1 - exp(-n / D)), by the formulas; all counts held in dictionaries."""
+    from collections import Counter
+    from math import exp, log
+
+    def pairs(text):
+        h, out = 0, set()
+        for w in text.lower().split():
+            if name := w.strip(toxicity.EDGES):
+                out.add((h, name))
+                h = common.index(name) + 1 if name in common else h
+        return out
+
+    def summed(counts, key):
+        out = Counter()
+        for x, k in counts.items():
+            out[key(*x)] += k
+        return out
+
+    def discounted(counts, part):
+        """(count left, mass freed by history), with D by bisection over all pairs."""
+        taken = lambda d: {x: d * (1 - exp(-k / d)) for x, k in counts.items()}
+        low, high = 1e-6, 1e6
+        for _ in range(200):
+            middle = (low * high) ** 0.5
+            low, high = (middle, high) if sum(taken(middle).values()) < part * sum(counts.values()) else (low, middle)
+        off = taken(high)
+        return {x: k - off[x] for x, k in counts.items()}, summed(off, lambda h, _: h)
+
+    n, every = (Counter(), Counter()), Counter()
+    for i, t in rows:
+        every.update(own := pairs(t))
+        if side.get(i) is not None:
+            n[side[i]].update(own)
+    stem, history = (lambda h, w: (h, w[: toxicity.STEM])), (lambda h, _: h)
+    s_every, total, kinds, after = summed(every, stem), summed(every, history), Counter(h for h, _ in every), Counter(w for _, w in every)
+    d0, ratios = toxicity.SHARED_DISCOUNT, {}
+    models = [(discounted(n[c], share[0]), discounted(summed(n[c], stem), share[1]), summed(n[c], history)) for c in (0, 1)]
+    for h, w in every:
+        shared = (max(every[h, w] - d0, 0) + d0 * kinds[h] * (max(after[w] - d0, 0) + d0) / len(every)) / total[h]
+        s, p = stem(h, w), []
+        for (left, freed), (s_left, s_freed), mass in models:
+            of_stem = s_left.get(s, 0) / mass[h] / (s_every[s] / total[h]) + s_freed[h] / mass[h]
+            p.append(left.get((h, w), 0) / mass[h] + freed[h] / mass[h] * of_stem * shared)
+        ratios[h, w] = log(p[1] / p[0])
+    return ratios, {w for c in n for _, w in c}
+
+
+def test_toxicity_discounts_leave_every_pair_its_share(spark, monkeypatch):
+    rows, labels = corpus(300)
+    rows = [(i, t.replace("w1 ", "the, ").replace("w2 ", "Und ") + f" the und only{i}") for i, t in rows]
+    docs, marks = frames(spark, rows, labels)
+    side = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5 > toxicity.CALIBRATION}
+    for share in toxicity.GROWING:
+        monkeypatch.setattr(toxicity, "GROWING", (share,))
+        model = toxicity.fit_toxicity(docs, marks)
+        ratios, seen = brute_growing(rows, side, model.common, share)
+        assert len(model.common) == 2 and len(model.words) == len(seen) > 500
+        for (h, w), want in ratios.items():
+            assert abs(model.ratios(w)[h] - want) < 1e-7, (h, w)
+        for i in list(side)[:40]:  # a pair of one text leans to that text's class, against others of its stem
+            own, others = model.ratios(f"only{i}")[2], model.ratios(f"only{i}"[: toxicity.STEM] + "zz")[2]
+            assert (own > others) == bool(side[i]) and own != others
