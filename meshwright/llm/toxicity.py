@@ -38,9 +38,11 @@ Common words of equal count go by name.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
+from itertools import count, islice, repeat
 from math import fsum, log
 
 import numpy as np
@@ -50,19 +52,22 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from meshwright.llm.common import blank, bound_batches, stored, with_labels
 
 #: Common words that are histories, and which share of all words they are at least; letters of a stem.
 COMMON, OFTEN, STEM = 7, 200, 5
+#: Share of a part's words, twice OFTEN at least, from which on a name's count in the part is passed on.
+RARE = 4_000
 #: Discount of the shared model, power of the length.
 SHARED_DISCOUNT, LENGTH = 0.75, 0.5
 #: Shares of a class's mass that its discounts free, for expressions and for stems: by growing discounts,
 GROWING = ((0.85, 0.93), (0.93, 0.97), (0.96, 0.985))
 #: and by constant ones.
 MASSES = ((0.7, 0.85), (0.8, 0.9), (0.85, 0.95), (0.92, 0.97), (0.97, 0.99))
-#: Entries, and characters of their names, that are still broadcast: nine bytes an entry and 20 a name in a worker.
+#: Entries, and characters of their names, that are still broadcast: nine bytes an entry and 20 a name in a worker,
+#: and 16 more an entry while the models of GROWING are compared.
 ENTRIES, NAME_CHARS = 4_000_000, 64_000_000
 #: Distinct words that a worker remembers while it counts or scores.
 HELD = 200_000
@@ -74,6 +79,16 @@ EDGES = ".,;:!?#$%&*|()[]{}<>\"'`~^_=+-/\\@"
 CLASSES = ("ordinary", "toxic")
 
 
+def numbering() -> dict[str, int]:
+    """A dictionary that numbers the keys it is asked for, from 0 on."""
+    return defaultdict(count().__next__)
+
+
+def latest(keys: dict[str, int], n: int) -> list[str]:
+    """The n keys that came last, in order."""
+    return list(islice(reversed(keys), n))[::-1]
+
+
 class Tokens:
     """Pairs of history and expression as numbers; a worker's own, as it remembers words."""
 
@@ -83,60 +98,94 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.numbers: dict[str, int] = {}
+        self.words: dict[str, int] = numbering()
+        self.numbers: dict[str, int] = numbering()
+        self.numbers[""] = -1
         self.names: list[str] = []
-        self.expression, self.history = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        #: Of each word, expression number times `wide` plus the place among the common ones; below 0 without an expression.
+        self.codes, self.known = np.zeros(1024, np.int64), 0
 
     def full(self) -> bool:
         return len(self.words) > HELD
 
-    def _learn(self, word: str) -> int:
-        k = self.words[word] = len(self.words)
-        if k == len(self.expression):
-            self.expression, self.history = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.expression, self.history))
-        name = word.strip(EDGES)
-        number = -1
-        if name:
-            number = self.numbers.setdefault(name, len(self.names))
-            if number == len(self.names):
-                self.names.append(name)
-        self.expression[k], self.history[k] = number, self.places.get(name, 0)
-        return k
+    def _learn(self) -> None:
+        """The codes of the words that are numbered since the last call."""
+        new = latest(self.words, len(self.words) - self.known)
+        if len(self.words) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros(2 * len(self.words), np.int64)])
+        names = [w.strip(EDGES) for w in new]
+        numbers = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
+        places = np.fromiter(map(self.places.get, names, repeat(0)), np.int64, len(names))
+        self.codes[self.known : len(self.words)] = numbers * self.wide + places
+        self.names += latest(self.numbers, len(self.numbers) - 1 - len(self.names))
+        self.known = len(self.words)
 
     def __call__(self, text: str) -> tuple[np.ndarray, int]:
         """The distinct pairs, as expression number times `wide` plus history, and the length in expressions."""
         words = text.lower().split()
         if not words:
             return np.zeros(0, np.int64), 0
-        known = self.words
-        try:
-            ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            ids = np.fromiter((known[w] if w in known else self._learn(w) for w in words), np.int64, len(words))
-        expression, history = self.expression[ids], self.history[ids]
-        last = np.maximum.accumulate(np.where(history > 0, np.arange(1, len(ids) + 1), 0))
-        before = np.concatenate([[0], last[:-1]])
-        pairs = expression * self.wide + np.where(before > 0, history[before - 1], 0)
-        own = pairs[expression >= 0]
+        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if len(self.words) > self.known:
+            self._learn()
+        codes = self.codes[ids]
+        places = codes % self.wide
+        at = np.flatnonzero(places)
+        ends = np.concatenate(([-1], at, [len(words) - 1]))
+        before = np.repeat(np.concatenate(([0], places[at])), ends[1:] - ends[:-1])
+        own = (codes - places + before)[codes >= 0]
         return np.unique(own), len(own)
 
 
 def common_words(docs: DataFrame, text_col: str) -> list[str]:
     """The COMMON most common expressions of all texts, of those that are one in OFTEN or more.
 
-    Every word is counted: a task that holds too many passes its counts on and begins anew, and all are added up.
+    Every word is counted. A task that holds too many passes on the counts of names that are one in RARE or more of
+    its own, with the largest count that it leaves out, and begins anew. What was left out bounds every name's
+    count; where these bounds don't tell which names are the most common, those that may be are counted once more.
+    """
+    rows = docs.select(blank(text_col).alias("_text"))
+    counts = _name_counts(rows).groupBy("name").agg(*(F.sum(c).alias(c) for c in ("n", "left")))
+    # names that may be one in OFTEN were passed on with half of that or more, so there are no more of them than this
+    found = counts.orderBy(F.col("name") != "", F.desc("n"), "name").limit(2 * OFTEN + 1).collect()
+    if not found:
+        return []
+    total, left = found[0]["n"], found[0]["left"]
+    least = {r["name"]: r["n"] for r in found[1:]}
+    most = {r["name"]: r["n"] + left - r["left"] for r in found[1:]}
+    maybe = [w for w, n in most.items() if n * OFTEN >= total]
+    first = [w for w in sorted(maybe, key=lambda w: (-least[w], w)) if least[w] * OFTEN >= total][:COMMON]
+    others = [most[w] for w in maybe if w not in first]
+    if others and (len(first) < COMMON or max(others) >= min(least[w] for w in first)):
+        exact = _name_counts(rows, frozenset(maybe)).groupBy("name").agg(F.sum("n").alias("n")).collect()
+        often = [(-r["n"], r["name"]) for r in exact if r["name"] and r["n"] * OFTEN >= total]
+        first = [w for _, w in sorted(often)[:COMMON]]
+    return sorted(first)
+
+
+def _name_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+    """(name, n, left) by parts of the texts: names that are one in RARE or more of a part's words, or those given.
+
+    left is the largest count in the part of a name that is not there. The empty name has the number of words.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
 
         def counted() -> pa.RecordBatch:
-            names: Counter[str] = Counter()
+            names: dict[str, int] = {}
             for w, n in counts.items():
-                names[w.strip(EDGES)] += n
-            names[""] = counts.total()  # the number of words travels under the empty name
-            return pa.RecordBatch.from_pydict({"name": pa.array(list(names), pa.string()), "n": pa.array(list(names.values()), pa.int64())})
+                name = w.strip(EDGES)
+                names[name] = names.get(name, 0) + n
+            total, left = counts.total(), 0
+            names.pop("", None)
+            if among is not None:
+                kept = {w: n for w, n in names.items() if w in among}
+            else:
+                kept = {w: n for w, n in names.items() if n * RARE >= total}
+                left = max((n for n in names.values() if n * RARE < total), default=0)
+            kept[""] = total
+            return pa.RecordBatch.from_pydict({"name": pa.array(list(kept), pa.string()), "n": pa.array(list(kept.values()), pa.int64()), "left": pa.array([left] * len(kept), pa.int64())})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -146,9 +195,7 @@ def common_words(docs: DataFrame, text_col: str) -> list[str]:
                     counts.clear()
         yield counted()
 
-    found = docs.select(blank(text_col).alias("_text")).mapInArrow(task, "name string, n long")
-    top = found.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.col("name") != "", F.desc("n"), "name").limit(COMMON + 1).collect()
-    return sorted(r["name"] for r in top if r["name"] and r["n"] * OFTEN >= top[0]["n"])
+    return rows.mapInArrow(task, "name string, n long, left long")
 
 
 def count_pairs(docs: DataFrame, text_col: str, common: list[str]) -> DataFrame:
@@ -202,7 +249,7 @@ def digests(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ratios:
-    """Log ratios by the digest of a name and history, as sorted arrays."""
+    """Log ratios by the digest of a name and history, as sorted arrays; a column for each of several models."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, h: np.ndarray, ratio: np.ndarray) -> None:
         """Rows by first and second; a name and history are there once."""
@@ -229,13 +276,20 @@ class Ratios:
             row = np.flatnonzero((self.first[at] == first) & (self.second[at] == second))
             low, many = self.start[at[row]], self.start[at[row] + 1] - self.start[at[row]]
             entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-            table[np.repeat(row, many), self.h[entry]] = self.ratio[entry]
+            table[np.repeat(row, many), ..., self.h[entry]] = self.ratio[entry]
+
+    def of(self, k: int) -> Ratios:
+        """Those of one of several models."""
+        own = copy(self)
+        own.ratio = self.ratio[:, k].copy()
+        return own
 
 
 @dataclass
 class ToxicityModel:
     """Log ratios of pairs by expression and by stem; by history, what others have; the threshold.
 
+    Several models that differ in these alone may be one: `rest` then has a row for each, and the ratios a column.
     entries: (kind, h, name, ratio) in place of the two where they are too many to broadcast.
     """
 
@@ -260,26 +314,34 @@ class ToxicityModel:
             self.sent = None
 
     def table(self, names: list[str]) -> np.ndarray:
-        """The ratios of each name, by history."""
-        found = np.tile(self.rest, (len(names), 1))
-        if self.words is not None:
-            self.stems.put([x[:STEM] for x in names], found)
-            self.words.put(names, found)
+        """The ratios of each name, by model if there are several, and by history."""
+        if self.words is None:
+            return np.tile(self.rest, (len(names), *(1 for _ in self.rest.shape)))
+        places = numbering()
+        stem = np.fromiter(map(places.__getitem__, [x[:STEM] for x in names]), np.int64, len(names))
+        of_stems = np.tile(self.rest, (len(places), *(1 for _ in self.rest.shape)))
+        self.stems.put(list(places), of_stems)
+        found = of_stems[stem]
+        self.words.put(names, found)
         return found
 
     def ratios(self, expression: str) -> np.ndarray:
         """By history."""
         return self.table([expression])[0]
 
+    def each(self) -> list[ToxicityModel]:
+        """Several models, one by one."""
+        return [ToxicityModel(self.common, rest, self.words.of(k), self.stems.of(k)) for k, rest in enumerate(self.rest)]
+
 
 class Scorer:
-    """Means of texts under a broadcast model; a worker's own."""
+    """Means of texts under a broadcast model, or under each of several; a worker's own."""
 
     def __init__(self, model: ToxicityModel) -> None:
         self.model, self.tokens = model, Tokens(model.common)
-        self.ratios, self.known = np.zeros((1024, len(model.rest))), 0
+        self.ratios, self.known = np.zeros((*model.rest.shape[:-1], 1024, model.rest.shape[-1])), 0
 
-    def __call__(self, texts: list[str | None]) -> list[float]:
+    def __call__(self, texts: list[str | None]) -> list[float] | list[list[float]]:
         tokens, out = self.tokens, []
         held: list[tuple[np.ndarray, int]] = []
         for k, text in enumerate(texts, 1):
@@ -292,16 +354,20 @@ class Scorer:
                     self.known = 0
         return out
 
-    def _means(self, held: list[tuple[np.ndarray, int]]) -> list[float]:
+    def _means(self, held: list[tuple[np.ndarray, int]]) -> list[float] | list[list[float]]:
         """Of texts that are read; expressions are looked up together."""
         names = self.tokens.names
-        if len(names) > len(self.ratios):
-            self.ratios = np.concatenate([self.ratios, np.zeros((2 * len(names), self.ratios.shape[1]))])
-        self.ratios[self.known : len(names)] = self.model.table(names[self.known :])
+        *several, size, wide = self.ratios.shape
+        if len(names) > size:
+            self.ratios = np.concatenate([self.ratios, np.zeros((*several, 2 * len(names), wide))], axis=-2)
+        self.ratios[..., self.known : len(names), :] = np.moveaxis(self.model.table(names[self.known :]), 0, -2)
         self.known = len(names)
-        flat = self.ratios.ravel()
         # an exact sum, so that no order of adding shows
-        return [fsum(flat[pairs].tolist()) / length**LENGTH if length else 0.0 for pairs, length in held]
+        mean = lambda flat, pairs, length: fsum(flat[pairs].tolist()) / length**LENGTH if length else 0.0
+        if not several:
+            flat = self.ratios.ravel()
+            return [mean(flat, *own) for own in held]
+        return [[mean(flat, *own) for flat in self.ratios.reshape(several[0], -1)] for own in held]
 
 
 def _bound(bins: list[tuple[int, float]], share: float) -> float:
@@ -353,11 +419,11 @@ def _by_history(values: dict[int, float], wide: int) -> Column:
 
 def fit_models(counts: DataFrame, common: list[str], constant: bool = True) -> list[ToxicityModel]:
     """A model without its threshold for each of MASSES, or else of GROWING, from the stored counts; none without both classes."""
-    return list(each_model(counts, common, constant))
+    return [x for model in each_model(counts, common, constant) for x in (model.each() if model.rest.ndim > 1 else [model])]
 
 
 def each_model(counts: DataFrame, common: list[str], constant: bool) -> Iterator[ToxicityModel]:
-    """The models of fit_models(), one after the other, as each may be large."""
+    """The models of fit_models(), one after the other, as each may be large; or as one, where all have the same entries."""
     shares = MASSES if constant else GROWING
     wide = len(common) + 1
     sums = [F.sum(c).cast("double").alias(c) for c in (*CLASSES, "all")]
@@ -390,6 +456,7 @@ def each_model(counts: DataFrame, common: list[str], constant: bool) -> Iterator
     words = stored(words.withColumn("shared", (F.greatest(F.col("all") - SHARED_DISCOUNT, F.lit(0.0)) + spread * lower) / n))
     strong_stems = stored(stems.where(above(1, "", found)).select("h", "name", *(F.col(c).alias(f"s_{c}") for c in (*CLASSES, "all"))))
 
+    rests, ratios = [], []
     for d, mass in zip(found, masses, strict=True):
 
         def of_stems(c: str, d=d, mass=mass) -> Column:
@@ -398,26 +465,50 @@ def each_model(counts: DataFrame, common: list[str], constant: bool) -> Iterator
             return F.coalesce(own, F.lit(0.0)) + _by_history(mass[1][c], wide)
 
         def ratio(parts: dict[str, Column]) -> Column:
-            return (F.log(parts["toxic"]) - F.log(parts["ordinary"])).alias("ratio")
+            return F.log(parts["toxic"]) - F.log(parts["ordinary"])
 
         backed = {c: _by_history(mass[0][c], wide) * of_stems(c) for c in CLASSES}
         mine = {c: F.try_divide(_left(F.col(c), d[0][c], constant), _by_history({h: r[c] for h, r in totals.items()}, wide)) for c in CLASSES}
         own = {c: F.coalesce(x / F.col("shared"), F.lit(0.0)) for c, x in mine.items()}
-        entries = words.where(above(0, "", [d])).select(F.lit(0).alias("kind"), "h", "name", ratio({c: own[c] + backed[c] for c in CLASSES}))
-        entries = entries.unionByName(strong_stems.where(above(1, "s_", [d])).select(F.lit(1).alias("kind"), "h", "name", ratio(backed)))
+        ratios.append((ratio({c: own[c] + backed[c] for c in CLASSES}), ratio(backed)))
         level = {c: [mass[0][c].get(h, 1.0) * mass[1][c].get(h, 1.0) for h in range(wide)] for c in CLASSES}
-        model = ToxicityModel(common, np.array([log(t / o) for t, o in zip(level["toxic"], level["ordinary"], strict=True)]))
-        count, chars = entries.agg(F.count("*"), F.coalesce(F.sum(F.length("name")), F.lit(0))).first()
-        if count > ENTRIES or chars > NAME_CHARS:
-            model.entries = entries
+        rests.append([log(t / o) for t, o in zip(level["toxic"], level["ordinary"], strict=True)])
+
+    def entries(models: list[int]) -> DataFrame:
+        """(kind, h, name, ratio, or ratio0, ratio1 ... of several) where the discounts of a model among these leave something."""
+        among, names = [found[k] for k in models], [f"ratio{i}" for i in range(len(models))] if len(models) > 1 else ["ratio"]
+        pairs, own = ([ratios[k][kind].alias(x) for k, x in zip(models, names, strict=True)] for kind in (0, 1))
+        table = words.where(above(0, "", among)).select(F.lit(0).alias("kind"), "h", "name", *pairs)
+        return table.unionByName(strong_stems.where(above(1, "s_", among)).select(F.lit(1).alias("kind"), "h", "name", *own))
+
+    def few(table: DataFrame) -> bool:
+        rows, chars = table.agg(F.count("*"), F.coalesce(F.sum(F.length("name")), F.lit(0))).first()
+        return rows <= ENTRIES and chars <= NAME_CHARS
+
+    def sent(table: DataFrame, rest: list) -> ToxicityModel:
+        model = ToxicityModel(common, np.array(rest))
+        for kind, name in enumerate(("words", "stems")):
+            rows = table.where(F.col("kind") == kind).select(*digest(F.col("name")), F.col("h").cast("byte"), *(x for x in table.columns if x.startswith("ratio")))
+            rows = rows.orderBy("first", "second").toArrow()
+            ratio = np.empty((len(rows), rows.num_columns - 3))
+            for k in range(ratio.shape[1]):
+                ratio[:, k] = rows.column(3 + k)
+            keys = [np.array(rows.column(k)) for k in range(3)]
+            del rows
+            setattr(model, name, Ratios(*keys, ratio if model.rest.ndim > 1 else ratio[:, 0]))
+        pa.default_memory_pool().release_unused()
+        return model
+
+    every = [*range(len(found))]
+    if not constant and few(entries(every)):  # growing discounts leave every pair, so the entries are the same
+        yield sent(entries(every), rests)
+        return
+    for k in every:
+        table = entries([k])
+        if constant and few(table):
+            yield sent(table, rests[k])
         else:
-            for kind, name in enumerate(("words", "stems")):
-                rows = entries.where(F.col("kind") == kind).select(*digest(F.col("name")), F.col("h").cast("byte"), "ratio")
-                rows = rows.orderBy("first", "second").toArrow()
-                setattr(model, name, Ratios(*(np.array(x) for x in rows.columns)))
-                del rows
-            pa.default_memory_pool().release_unused()
-        yield model
+            yield ToxicityModel(common, np.array(rests[k]), entries=table)
 
 
 def joined_means(rows: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -479,20 +570,20 @@ def joined_means(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def mean_ratios(docs: DataFrame, model: ToxicityModel, text_col: str, keep: list[str]) -> DataFrame:
-    """The kept columns and _mean of every row."""
+    """The kept columns and _mean of every row, an array of means under several models."""
     if model.entries is not None:
         rows = stored(docs.select(F.struct(*keep).alias("_row"), F.monotonically_increasing_id().alias("_uid"), blank(text_col).alias("_text")))
         return rows.select("_row", "_uid").join(joined_means(rows, model), "_uid").select("_row.*", "_mean")
-    shared = model.share(docs.sparkSession)
+    shared, several = model.share(docs.sparkSession), model.rest.ndim > 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
             means = score(batch.column("_text").to_pylist())
-            yield batch.drop_columns(["_text"]).append_column("_mean", pa.array(means, pa.float64()))
+            yield batch.drop_columns(["_text"]).append_column("_mean", pa.array(means, pa.list_(pa.float64()) if several else pa.float64()))
 
     rows = docs.select(*keep, blank(text_col).alias("_text"))
-    schema = StructType([f for f in rows.schema if f.name != "_text"]).add("_mean", "double")
+    schema = StructType([f for f in rows.schema if f.name != "_text"]).add("_mean", ArrayType(DoubleType()) if several else DoubleType())
     return rows.mapInArrow(task, schema)
 
 
@@ -521,15 +612,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     common = common_words(docs, text_col)
     labelled = with_labels(docs.select(id_col, text_col), labels, label_col, id_col)
     unseen = stored(labelled.where((F.col("_fold") == CALIBRATION) & F.col("_label").isNotNull()).select(text_col, "_label"))
-    best, least = None, np.inf
+    best, least, rows = None, np.inf, F.count("*").alias("rows")
     for model in each_model(stored(count_pairs(labelled, text_col, common)), common, constant=False):
         means = mean_ratios(unseen, model, text_col, ["_label"])
+        if model.rest.ndim == 1:
+            means = means.withColumn("_mean", F.array("_mean"))
+        means = means.select("_label", F.posexplode("_mean").alias("_model", "_mean"))
         bins = F.greatest(F.least(F.rint(F.col("_mean") * BINS), F.lit(1e3 * BINS)), F.lit(-1e3 * BINS)).cast("int")
-        errors = calibrate(model, means.groupBy(bins.alias("bin"), F.col("_label").alias("label")).agg(F.count("*").alias("rows")).toPandas())
-        if best is None or errors < least:
-            best, least, model = model, errors, best
-        if model is not None:
-            model.drop()
+        histogram = means.groupBy("_model", bins.alias("bin"), F.col("_label").alias("label")).agg(rows).toPandas()
+        model.drop()
+        for k, one in enumerate(model.each() if model.rest.ndim > 1 else [model]):
+            errors = calibrate(one, histogram[histogram["_model"] == k])
+            if best is None or errors < least:
+                best, least = one, errors
     return best or ToxicityModel(common, np.zeros(len(common) + 1))
 
 

@@ -286,6 +286,33 @@ def test_common_words_count_what_is_rare_in_a_task(spark, monkeypatch):
     assert toxicity.common_words(docs.limit(0), "text") == []
 
 
+def test_common_words_that_parts_leave_out_are_counted_again(spark):
+    def part(n, **often):
+        words = [w for w, k in often.items() for _ in range(k)]
+        return words + [f"{n}-{i}" for i in range(n - len(words))]
+
+    some, rest = part(6_000, x=160), part(20_000, x=4, y=163, **{f"c{i}": 300 for i in range(6)})
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((some, rest))], "k int, text string").repartitionByRange(2, "k")
+    passed = {(r["name"], r["n"], r["left"]) for r in toxicity._name_counts(docs.select("text")).collect()}
+    assert ("x", 160, 1) in passed and ("y", 163, 4) in passed and len(passed) == 10  # 160 of x are not the whole
+    assert toxicity.common_words(docs, "text") == [*(f"c{i}" for i in range(6)), "x"]
+
+
+def test_growing_models_are_compared_at_once(spark, monkeypatch):
+    rows, marked = corpus(200)
+    docs, marks = frames(spark, rows, marked)
+    docs = docs.drop("_label")
+    counts = toxicity.stored(toxicity.count_pairs(toxicity.with_labels(docs, marks, "toxic"), "text", ["w1", "w2"]))
+    (model,) = toxicity.each_model(counts, ["w1", "w2"], constant=False)
+    each = model.each()
+    texts = [t for _, t in rows[:40]] + ["", None]
+    assert list(zip(*map(list, toxicity.Scorer(model)(texts)))) == [tuple(toxicity.Scorer(m)(texts)) for m in each]
+    for one, share in zip(each, toxicity.GROWING, strict=True):
+        monkeypatch.setattr(toxicity, "GROWING", (share,))
+        (alone,) = toxicity.fit_models(counts, ["w1", "w2"], constant=False)
+        assert np.allclose(alone.rest, one.rest, rtol=1e-12) and np.allclose(alone.table(["scum", "w1", "w7", "none"]), one.table(["scum", "w1", "w7", "none"]), rtol=1e-9)
+
+
 def brute_growing(rows, side, common, share):
     """Log ratio of every pair with discounts D (1 - exp(-n / D)), by the formulas; all counts held in dictionaries."""
     from collections import Counter
