@@ -15,7 +15,9 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,7 @@ CACHE_WORDS = 400_000
 #: Documents that are tokenised together.
 DOCS = 128
 NO_ID = -(1 << 63)
+ID = attrgetter("id")
 
 
 #: How byte-level tokenizers write bytes as letters: printable ones as themselves, the others from U+0100 on.
@@ -40,34 +43,42 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _latin(word: str) -> bool:
-    return word.isalpha() and max(word) < "\u0250"
+def _bare(word: str) -> bool:
+    """Whether a word is lower-case Latin letters alone."""
+    return word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250")
+
+
+class Young(dict):
+    """A dictionary that asks for what it lacks."""
+
+    def __init__(self, ask: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, key: str) -> bytes:
+        return self.ask(key)
 
 
 class Remembered:
     """A dictionary of bounded size that forgets what has not been asked for in two generations."""
 
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, size: int, ask: Callable[[str], bytes]) -> None:
+        """ask: gives what the young generation lacks; it sees to it that this is remembered."""
+        self.size, self.ask = size, ask
+        self.young, self.old = Young(ask), {}
 
-    def turn(self) -> dict[str, bytes]:
+    def turn(self) -> Young:
         """Begins a generation if the young one is full; the young one."""
         if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, Young(self.ask)
         return self.young
 
-    def recall(self, unknown: set[str]) -> set[str]:
-        """Of keys that the young generation lacks, those that the old one lacks too; the others become young."""
-        old = self.old
-        found = {k: old[k] for k in unknown if k in old}
-        self.young.update(found)
-        return unknown.difference(found)
-
 
+#: Signs that the pre-tokenizer parts from the letter or digit before them, whatever follows: all of ASCII but the
+#: apostrophe, which begins contractions, and the bracket that begins special tokens.
+END_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: A stop or comma at a word's end that follows another sign, with which it may be one token.
-SIGN_RUN = re.compile(r"[.,](?=[ \n])(?<=[^\w \n][.,]|_[.,])")
+SIGN_RUN = re.compile(r"[.,](?= )(?<=[^\w \n][.,]|_[.,])")
 
 
 def plain_words(text: str) -> list[str]:
@@ -78,10 +89,9 @@ def plain_words(text: str) -> list[str]:
     what may be a special token, runs of signs) are left as they are, and only split at spaces.
     """
     if not ("<" in text or "\u0130" in text or "\u03a3" in text):
-        text = text.lower()
+        text = text.lower().replace("\n", " ")
         if not SIGN_RUN.search(text):
-            for end in ".,":
-                text = text.replace(end + " ", f" {end} ").replace(end + "\n", f" {end} ")
+            return text.replace(". ", " . ").replace(", ", " , ").split(" ")
     return text.replace("\n", " ").split(" ")
 
 
@@ -99,33 +109,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         ids = self._ids(self.MARK)
         self.mark = ids[0] if len(ids) == 1 else None
-        self.words = Remembered(CACHE_WORDS)
-        #: Whether the model alone gives the ids of a lower-case word of Latin letters.
-        self.bare = all(self._ids(w) == self._model_ids(w) for w in ("a", "the", "tokenizer", "xqzjkvw", "éèü", "größeçñ", "æœøłž"))
+        self.words = Remembered(CACHE_WORDS, self._learn)
+        #: Words that a text waits for, to go through the library together.
+        self.waiting: list[str] = []
+        #: Whether the model alone gives the ids of a lower-case word of Latin letters,
+        self.bare = all(self._ids(w) == self._model_ids(w).tolist() for w in ("a", "the", "tokenizer", "xqzjkvw", "éèü", "größeçñ", "æœøłž"))
+        #: and whether signs after it add theirs.
+        self.ends = self.bare and all(self._ids(w + e) == [*self._model_ids(w), *self._ids(e)] for w in ("the", "größe", "xqzjkvw") for e in ("***", "!!", ",$$$", ".", "###", '?!."'))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _model_ids(self, word: str) -> list[int]:
+    def _model_ids(self, word: str) -> array:
         """Of one word, past the normaliser and the pre-tokenizer, which leave such words whole."""
         raw = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return [x.id for x in self.model.tokenize(raw)]
+        return array("I", map(ID, self.tokenize(raw)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.words.turn()
-        split = [plain_words(text) for text in texts]
-        self._learn(self.words.recall(set().union(*split).difference(known)))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def _learn(self, new: set[str]) -> None:
+        known, out, late = self.words.turn(), [], []
+        for k, text in enumerate(texts):
+            words, before = plain_words(text), len(self.waiting)
+            out.append(b"".join(map(known.__getitem__, words)))
+            if len(self.waiting) > before:
+                late.append((k, words))
+        if late:
+            self._learn_all(list(dict.fromkeys(self.waiting)))
+            self.waiting.clear()
+        for k, words in late:
+            out[k] = b"".join(map(known.__getitem__, words))
+        return out
+
+    def _learn(self, word: str) -> bytes:
+        """A word's ids, remembered; of one that must go through the library, none for now."""
+        ids = self.words.old.get(word)
+        if ids is None and self.bare and _bare(word):
+            ids = self._model_ids(word).tobytes()
+        if ids is None and self.ends:
+            core = word.rstrip(END_SIGNS)
+            if core != word and _bare(core):
+                end = word[len(core) :]
+                ids = self.words.young[core] + self._end(end)
+        if ids is None:
+            self.waiting.append(word)
+            return b""
+        self.words.young[word] = ids
+        return ids
+
+    def _end(self, signs: str) -> bytes:
+        """The ids of a run of signs."""
+        key = " " + signs  # no word has a space
+        ids = self.words.young.get(key)
+        if ids is None:
+            ids = self.words.young[key] = array("I", self._ids(signs)).tobytes()
+        return ids
+
+    def _learn_all(self, new: list[str]) -> None:
         known, lines, line = self.words.young, [], []
         for w in new:
-            if self.bare and w.islower() and _latin(w):
-                known[w] = np.array(self._model_ids(w), np.uint32).tobytes()
-            elif not w or self.mark is None or self.MARK in w or "<" in w:
+            if not w or self.mark is None or self.MARK in w or "<" in w:
                 known[w] = np.array(self._ids(w), np.uint32).tobytes()
             else:
                 line.append(w)

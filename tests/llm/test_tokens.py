@@ -54,6 +54,18 @@ def test_encoder_equals_library():
         assert [np.frombuffer(b, np.uint32).tolist() for b in encode(part)] == want
 
 
+def test_signs_after_words_are_learnt_apart():
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(WORDS), token_output.WordEncoder(WORDS)
+    texts = ["that***", "größe!!?! cores,$$$ that*** a._", "x=; don't*** don'***", "É### ß) 5!! </s>** x<***", "the.' the'!! the\u0338= ="]
+    texts += ["".join(random.Random(i).choices([*"aéZ5 ***", "the", *token_output.END_SIGNS, "'", "<", "\u0338", "\n"], k=20)) for i in range(3000)]
+    for _ in range(2):  # unknown and known
+        got = [np.frombuffer(b, np.uint32).tolist() for b in encode(texts)]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encode.ends and {"that***", "that", " ***"} <= encode.words.young.keys()
+
+
 def test_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
