@@ -71,6 +71,8 @@ MASSES = ((0.7, 0.85), (0.8, 0.9), (0.85, 0.95), (0.92, 0.97), (0.97, 0.99))
 ENTRIES, NAME_CHARS = 4_000_000, 64_000_000
 #: Distinct words that a worker remembers while it counts or scores.
 HELD = 200_000
+#: Expressions that are looked up together.
+LOOKED_UP = 1 << 15
 #: The fold that calibrates; fold 0 is held out, the others are counted by class.
 CALIBRATION = 1
 #: Bins of the calibration histogram in a unit of mean log ratio.
@@ -92,7 +94,8 @@ def latest(keys: dict[str, int], n: int) -> list[str]:
 class Tokens:
     """Pairs of history and expression as numbers; a worker's own, as it remembers words."""
 
-    def __init__(self, common: list[str]) -> None:
+    def __init__(self, common: list[str], held: int = HELD) -> None:
+        self.held = held
         self.places = {w: k + 1 for k, w in enumerate(common)}
         self.wide = len(common) + 1
         self.forget()
@@ -106,7 +109,7 @@ class Tokens:
         self.codes, self.known = np.zeros(1024, np.int64), 0
 
     def full(self) -> bool:
-        return len(self.words) > HELD
+        return len(self.words) > self.held
 
     def _learn(self) -> None:
         """The codes of the words that are numbered since the last call."""
@@ -338,8 +341,10 @@ class Scorer:
     """Means of texts under a broadcast model, or under each of several; a worker's own."""
 
     def __init__(self, model: ToxicityModel) -> None:
-        self.model, self.tokens = model, Tokens(model.common)
-        self.ratios, self.known = np.zeros((*model.rest.shape[:-1], 1024, model.rest.shape[-1])), 0
+        *several, wide = model.rest.shape
+        held = HELD // (several or [1])[0]  # several models take no more memory than one
+        self.model, self.tokens = model, Tokens(model.common, held)
+        self.ratios, self.known = np.zeros((*several, held + LOOKED_UP, wide)), 0
 
     def __call__(self, texts: list[str | None]) -> list[float] | list[list[float]]:
         tokens, out = self.tokens, []
@@ -360,7 +365,9 @@ class Scorer:
         *several, size, wide = self.ratios.shape
         if len(names) > size:
             self.ratios = np.concatenate([self.ratios, np.zeros((*several, 2 * len(names), wide))], axis=-2)
-        self.ratios[..., self.known : len(names), :] = np.moveaxis(self.model.table(names[self.known :]), 0, -2)
+        for at in range(self.known, len(names), LOOKED_UP):
+            found = self.model.table(names[at : at + LOOKED_UP])
+            self.ratios[..., at : at + len(found), :] = np.moveaxis(found, 0, -2)
         self.known = len(names)
         # an exact sum, so that no order of adding shows
         mean = lambda flat, pairs, length: fsum(flat[pairs].tolist()) / length**LENGTH if length else 0.0
