@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import blank, if_light, join_uneven, remove, stored
+from meshwright.llm.common import blank, if_light, join_uneven, remove, stored, tidy
 from meshwright.llm.graph import components
 
 #: Words that a worker remembers; classes that meet in one task; postings of an n-gram in one task.
@@ -187,14 +187,14 @@ def sign(texts: DataFrame, words: int, paths: list[str]) -> tuple[DataFrame, np.
                 held.append(buckets(grams))
                 size += len(grams)
                 if size > 1 << 21:
-                    counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+                    np.add.at(counts, np.concatenate(held), np.int32(1))  # no second array of that size
                     held, size = [], 0
             yield pd.DataFrame(own, columns=columns)
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.int32)
+            np.add.at(counts, np.concatenate(held), np.int32(1))  # no second array of that size
         yield pd.DataFrame([(k, 0, b"", 0, -1, blob) for k, blob in _pieces(counts)], columns=columns)
 
-    signed = stored(texts.mapInPandas(task, SIGNED), paths)
+    signed = stored(texts.mapInPandas(tidy(task), SIGNED), paths)
     counts = np.zeros(SKETCH, np.int32)
     for k, own in _reduced(signed.where("n = -1").select(F.col("_id").alias("chunk"), F.col("bits").alias("blob")), np.int32, np.add):
         counts[k * CHUNK : k * CHUNK + len(own)] = own
@@ -271,7 +271,7 @@ def prefix_postings(texts: DataFrame, words: int, share: tuple[int, int], ranks:
             if out:
                 yield pd.DataFrame({"gram": np.concatenate(out), "salt": np.concatenate(salts), "short": np.concatenate(names)})
 
-    return texts.select("_text").mapInPandas(task, "gram long, salt int, short long")
+    return texts.select("_text").mapInPandas(tidy(task), "gram long, salt int, short long")
 
 
 def leaders(postings: DataFrame, salted: bool) -> DataFrame:
@@ -436,7 +436,7 @@ def meet_tiles(members: DataFrame, share: tuple[int, int], budget: int) -> DataF
             yield tiles_of(pd.concat(rest, ignore_index=True))
 
     rows = members.select(*MEMBER).repartition("tile").sortWithinPartitions("tile", "kind", "n", "class")
-    return rows.mapInPandas(task, "tile string, x binary, x_rep long, y binary, y_rep long, fan int")
+    return rows.mapInPandas(tidy(task), "tile string, x binary, x_rep long, y binary, y_rep long, fan int")
 
 
 def _sets(texts: DataFrame, words: int, need: DataFrame, n_need: int) -> DataFrame:
@@ -477,10 +477,10 @@ def _sets(texts: DataFrame, words: int, need: DataFrame, n_need: int) -> DataFra
             yield pd.DataFrame([*_pieces(np.packbits(field, bitorder="little"))], columns=["chunk", "blob"])
 
         field = np.zeros(1 << size - 3, np.uint8)
-        for k, own in _reduced(ids.mapInPandas(mark, "chunk long, blob binary"), np.uint8, np.bitwise_or):
+        for k, own in _reduced(ids.mapInPandas(tidy(mark), "chunk long, blob binary"), np.uint8, np.bitwise_or):
             field[k * CHUNK : k * CHUNK + len(own)] = own
         shared = texts.sparkSession.sparkContext.broadcast(field.tobytes())
-    return texts.select("_id", "_text").mapInPandas(sets_of, "class binary, grams binary")
+    return texts.select("_id", "_text").mapInPandas(tidy(sets_of), "class binary, grams binary")
 
 
 def _filter_slots(ids: np.ndarray, size: int) -> np.ndarray:
@@ -520,7 +520,7 @@ def verify(texts: DataFrame, words: int, share: tuple[int, int], pairs: DataFram
 
     rows = sent.select("x", "fan", "other", "grams").repartition("x", "fan").sortWithinPartitions("x", "fan", F.col("other").asc_nulls_first())
     # rows that repeat a representative's id and text bring its set twice
-    return stored(rows.mapInPandas(task, "x binary, y binary, linked boolean").dropDuplicates(["x", "y"]), paths)
+    return stored(rows.mapInPandas(tidy(task), "x binary, y binary, linked boolean").dropDuplicates(["x", "y"]), paths)
 
 
 def _stars(big: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -553,7 +553,7 @@ def _stars(big: DataFrame, share: tuple[int, int]) -> DataFrame:
     fans = F.when(F.col("first"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("tasks")).cast("int")))
     rows = big.select("lead", F.explode(fans).alias("fan"), "first", "class", "rep", "n", "bits")
     rows = rows.repartition("lead", "fan").sortWithinPartitions("lead", "fan", F.col("first").desc(), "class")
-    return rows.mapInPandas(task, "tile string, x binary, x_rep long, y binary, y_rep long, fan int")
+    return rows.mapInPandas(tidy(task), "tile string, x binary, x_rep long, y binary, y_rep long, fan int")
 
 
 def _blocks(big: DataFrame, links: DataFrame, n_tiles: int) -> DataFrame:

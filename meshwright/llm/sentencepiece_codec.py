@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import blank, bound_batches
+from meshwright.llm.common import blank, bound_batches, tidy
 
 #: U+2581, which stands for a space in pieces, and the replacement for bytes that are not UTF-8.
 SPACE_MARK, BAD = "▁".encode(), "�".encode()
@@ -38,7 +38,7 @@ UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
 #: The model type that merges pairs.
 BPE = 2
 #: Words in each of the two generations that a worker remembers; characters from which on a word's merges go through a heap.
-HELD, LONG = 300_000, 100
+HELD, LONG = 100_000, 100
 #: Signs at which words are parted as well, where the vocabulary allows it.
 SIGNS = ".,;:!?"
 NEVER = float("-inf")
@@ -203,8 +203,7 @@ class Merges:
         self.of_byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.decimal = [str(i) for i in range(len(pieces))]
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.forget()
         mark = SPACE_MARK.decode()
         #: No piece goes on with a space mark after another character; none of several characters has a line feed.
         self.by_mark = not any(mark in p.lstrip(mark) for p in self.ids)
@@ -216,6 +215,10 @@ class Merges:
         ways = [*letters, f"{mark}*[^{mark}{line}]+", f"{mark}+", *([line] if line else [])]
         self.word = re.compile("|".join(ways) if self.by_mark else "(?s:.+)")
 
+    def forget(self) -> None:
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+
     def _join(self, word: str) -> list[str]:
         """The pieces of a word."""
         score, n = self.scores.get, len(word)
@@ -329,6 +332,11 @@ class PieceCodec:
         raw, decimal = self.merges(normal.decode())
         return np.frombuffer(raw, np.uint32).astype(np.int64), decimal, normal, origin
 
+    def forget(self) -> None:
+        """The words that were remembered are forgotten; the model's tables stay."""
+        if self.merges:
+            self.merges.forget()
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids without begin or end ids, no sampling."""
         return [self.coded(t)[0].tolist() for t in texts]
@@ -400,10 +408,11 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 spans = own.projected(ids, normal, origin)
                 out.append((doc, ids.tolist(), None if spans is None else [(int(x), int(y)) for x, y in spans], own.decode(ids.tolist())))
             yield pd.DataFrame(out, columns=["_id", "ids", "spans", "decoded"])
+        own.forget()
 
     rows = docs.select(F.col(id_col).alias("_id"), blank(text_col).alias("_text"))
     kind = dict(docs.dtypes)[id_col]
-    coded = rows.mapInPandas(task, f"_id {kind}, ids array<int>, spans array<struct<begin:long, end:long>>, decoded string")
+    coded = rows.mapInPandas(tidy(task), f"_id {kind}, ids array<int>, spans array<struct<begin:long, end:long>>, decoded string")
     return coded.withColumnRenamed("_id", id_col)
 
 
@@ -433,8 +442,9 @@ def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 raw = (ids.astype(np.uint32).tobytes(),) if with_ids else ()
                 out.append((doc, len(ids), sha(decimal), sha(own.decode(ids.tolist())), covered, *raw))
             yield pd.DataFrame(out, columns=columns)
+        own.forget()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), blank(text_col).alias("_text"))
-    coded = rows.mapInPandas(task, "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes string" + ", ids binary" * with_ids)
+    coded = rows.mapInPandas(tidy(task), "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes string" + ", ids binary" * with_ids)
     kind = dict(docs.dtypes)[id_col]
     return coded.withColumn("span_bytes", F.col("span_bytes").cast("long")).select(F.when(F.col("_id") != "", F.col("_id")).cast(kind).alias(id_col), *columns[1:])

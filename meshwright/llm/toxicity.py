@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from meshwright.llm.common import blank, bound_batches, stored, with_labels
+from meshwright.llm.common import blank, bound_batches, stored, tidy, with_labels
 
 #: Common words that are histories, and which share of all words they are at least; letters of a stem.
 COMMON, OFTEN, STEM = 7, 200, 5
@@ -198,7 +198,7 @@ def _name_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFr
                     counts.clear()
         yield counted()
 
-    return rows.mapInArrow(task, "name string, n long, left long")
+    return rows.mapInArrow(tidy(task), "name string, n long, left long")
 
 
 def count_pairs(docs: DataFrame, text_col: str, common: list[str]) -> DataFrame:
@@ -235,7 +235,7 @@ def count_pairs(docs: DataFrame, text_col: str, common: list[str]) -> DataFrame:
     seen = (F.col("_fold") > CALIBRATION) & F.col("_label").isNotNull()
     side = F.when(seen & (F.col("_label") == 0), 0).when(seen & (F.col("_label") == 1), 1).otherwise(2)
     rows = docs.select(blank(text_col).alias("_text"), side.alias("_side"))
-    parts = rows.mapInPandas(task, "h int, name string, ordinary long, toxic long, all long")
+    parts = rows.mapInPandas(tidy(task), "h int, name string, ordinary long, toxic long, all long")
     return parts.groupBy("h", "name").agg(*(F.sum(c).alias(c) for c in (*CLASSES, "all")))
 
 
@@ -562,7 +562,7 @@ def joined_means(rows: DataFrame, model: ToxicityModel) -> DataFrame:
             nothing = [None] * len(uids)
             yield made([nothing, nothing, nothing, [[u] for u in uids], sizes, base])
 
-    blocks = rows.select("_uid", "_text").mapInArrow(task, "h int, name string, stem string, uids array<long>, size long, base double")
+    blocks = rows.select("_uid", "_text").mapInArrow(tidy(task), "h int, name string, stem string, uids array<long>, size long, base double")
     words = entries.where("kind = 0").select("h", "name", F.col("ratio").alias("_word"))
     stems = entries.where("kind = 1").select("h", F.col("name").alias("stem"), F.col("ratio").alias("_stem"))
     met = blocks.where("name is not null").join(words, ["h", "name"], "left").join(stems, ["h", "stem"], "left")
@@ -591,7 +591,7 @@ def mean_ratios(docs: DataFrame, model: ToxicityModel, text_col: str, keep: list
 
     rows = docs.select(*keep, blank(text_col).alias("_text"))
     schema = StructType([f for f in rows.schema if f.name != "_text"]).add("_mean", ArrayType(DoubleType()) if several else DoubleType())
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(tidy(task), schema)
 
 
 def calibrate(model: ToxicityModel, histogram: pd.DataFrame) -> float:
@@ -663,4 +663,4 @@ def not_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             means = score(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([not mean >= limit for mean in means], pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(tidy(task), docs.schema)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 import sentencepiece as spm
 
@@ -117,3 +118,18 @@ def test_mapped_model_through_spark(spark, tmp_path):
             assert r.decoded == library.decode(r.ids)
             raw = (text or "").encode()
             assert all(0 <= s.begin <= s.end <= len(raw) for s in r.spans) and len(r.spans) == len(r.ids)
+
+
+def test_workers_forget_words(spark):
+    """A worker that goes on to other tasks holds no words of those that it has done."""
+    docs = spark.createDataFrame([(i, f"some words and number{i} more") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert sc.piece_digests(docs, MODEL).count() == 40
+
+    def held(frames):
+        for _ in frames:
+            pass
+        known = [len(c.merges.known) + len(c.merges.old) for c in sc._codecs.values() if c.merges]
+        yield pd.DataFrame({"n": pd.Series(known, dtype="int64")})
+
+    words = [r.n for r in docs.mapInPandas(held, "n long").collect()]
+    assert words and not any(words)
