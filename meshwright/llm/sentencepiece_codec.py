@@ -6,7 +6,8 @@ replaced, else one character is copied, and every normalised byte records the so
 Ids come from the normalised text by the model's own merges: of all neighbours that make a piece together the
 pair of the highest score is joined first, the leftmost of equals. No piece of the vocabulary spans the
 place before a space mark or around an isolated character such as the line feed, so a text falls into words
-there whose ids a worker remembers. Characters without a piece become byte pieces. Piece k covers a run of
+there whose ids a worker remembers. The words that a block of texts lacks are merged side by side, those of equal
+length as the rows of a matrix. Characters without a piece become byte pieces. Piece k covers a run of
 normalised bytes, so its span in the source is read off the record. Models of another kind than BPE, or with
 user-defined or unused pieces, take their ids from the library; the spans are found in the same way.
 
@@ -39,8 +40,10 @@ UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
 BPE = 2
 #: Words in each of the two generations that a worker remembers; characters from which on a word's merges go through a heap.
 HELD, LONG = 100_000, 100
-#: Signs at which words are parted as well, where the vocabulary allows it.
-SIGNS = ".,;:!?"
+#: Characters of texts that are coded together; words of a length from which on they are merged side by side, and at most.
+BLOCK, SIDE, WIDE = 1 << 20, 24, 1 << 14
+#: No merge, as a rank.
+NONE = np.iinfo(np.int32).max
 NEVER = float("-inf")
 
 
@@ -202,22 +205,67 @@ class Merges:
         self.scores = {p.decode(): score for p, score, kind in pieces if kind == 1}
         self.of_byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
-        self.decimal = [str(i) for i in range(len(pieces))]
+        self.many = len(pieces)
         self.forget()
+        self._tabulate()
         mark = SPACE_MARK.decode()
         #: No piece goes on with a space mark after another character; none of several characters has a line feed.
         self.by_mark = not any(mark in p.lstrip(mark) for p in self.ids)
         line = "\n" if not any("\n" in p and len(p) > 1 for p in self.ids) else ""
-        # a word of letters and digits ends before a sign, if no piece has the sign right after one of these
-        after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if re.match(r"[^\W_]", a)}
-        signs = re.escape("".join(c for c in SIGNS if c not in after))
-        letters = [rf"{mark}*[^\W_]+(?=[{signs}])"] if signs else []
-        ways = [*letters, f"{mark}*[^{mark}{line}]+", f"{mark}+", *([line] if line else [])]
+        ways = [f"{mark}*[^{mark}{line}]+", f"{mark}+", *([line] if line else [])]
         self.word = re.compile("|".join(ways) if self.by_mark else "(?s:.+)")
 
     def forget(self) -> None:
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _tabulate(self) -> None:
+        """Ids of characters, and of the pairs of pieces that make a piece, as sorted arrays."""
+        single = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
+        #: By code point; -1 for characters without a piece, which have the last place if they are beyond all others.
+        self.of_char = np.full(max(single, default=0) + 2, -1, np.int32)
+        self.of_char[[*single]] = [*single.values()]
+        order = {score: k for k, score in enumerate(sorted({*self.scores.values()}, reverse=True))}
+        pairs = [
+            (a * self.many + b, order[self.scores[p]], i)
+            for p, i in self.ids.items()
+            for k in range(1, len(p))
+            if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None
+        ]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
+        self.pair, self.rank, self.both = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of neighbours, the rank of their merge, low ones first, and the id that it makes."""
+        key = left.astype(np.int64) * self.many + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], NONE), self.both[at]
+
+    def _join_side_by_side(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their ids) for the rows of a matrix of the characters' ids; every round merges one pair in each."""
+        row = np.arange(len(own))
+        rank, both = self._pairs(own[:, :-1], own[:, 1:])
+        while len(row):
+            n = own.shape[1]
+            if n == 1:
+                yield row, own
+                return
+            at = rank.argmin(1)  # the leftmost of equals
+            k = np.arange(len(row))
+            done = rank[k, at] == NONE
+            if done.any():
+                yield row[done], own[done]
+                open_ = ~done
+                row, own, rank, both, at = row[open_], own[open_], rank[open_], both[open_], at[open_]
+                k = k[: len(row)]
+            own[k, at] = both[k, at]
+            stay = np.arange(n) != at[:, None] + 1
+            own = own[stay].reshape(len(row), n - 1)
+            stay = np.arange(n - 1) != at[:, None]
+            rank, both = rank[stay].reshape(len(row), n - 2), both[stay].reshape(len(row), n - 2)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
+            rank[before, at[before] - 1], both[before, at[before] - 1] = self._pairs(own[before, at[before] - 1], own[before, at[before]])
+            rank[after, at[after]], both[after, at[after]] = self._pairs(own[after, at[after]], own[after, at[after] + 1])
 
     def _join(self, word: str) -> list[str]:
         """The pieces of a word."""
@@ -259,11 +307,38 @@ class Merges:
             offer(before[i])
         return [x for x in parts if x]
 
-    def _learn(self, word: str) -> tuple[bytes, str]:
-        own = self.old.get(word)
-        if own is not None:
-            self.known[word] = own
-            return own
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, of which those that are not too long are remembered."""
+        found: dict[str, bytes] = {}
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            own = self.old.get(w)
+            if own is not None:
+                found[w] = own
+            else:
+                by_length.setdefault(len(w), []).append(w)
+        for n, group in by_length.items():
+            if len(group) >= SIDE and n <= LONG and len(self.pair):
+                for at in range(0, len(group), WIDE):
+                    self._learn_side_by_side(group[at : at + WIDE], n, found)
+            else:
+                found.update((w, self._ids_of(w)) for w in group)
+        self.known.update((w, own) for w, own in found.items() if len(w) <= LONG)
+        return found
+
+    def _learn_side_by_side(self, words: list[str], n: int, found: dict[str, bytes]) -> None:
+        """Adds the ids of words of n characters each."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n)
+        own = self.of_char[np.minimum(chars, len(self.of_char) - 1)]
+        plain = (own >= 0).all(1)
+        found.update((words[k], self._ids_of(words[k])) for k in np.flatnonzero(~plain).tolist())
+        at = np.flatnonzero(plain)
+        for rows, ids in self._join_side_by_side(own[at]):
+            raw, wide = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
+            for j, k in enumerate(at[rows].tolist()):
+                found[words[k]] = raw[j * wide : (j + 1) * wide]
+
+    def _ids_of(self, word: str) -> bytes:
         ids: list[int] = []
         for piece in self._join(word):
             found = self.ids.get(piece)
@@ -273,23 +348,19 @@ class Merges:
                 ids += [self.of_byte[c] for c in piece.encode()]
             else:
                 ids.append(self.unknown)
-        own = struct.pack(f"<{len(ids)}I", *ids), ",".join([self.decimal[i] for i in ids])
-        if len(word) <= LONG:
-            self.known[word] = own
-        return own
-
-    def __call__(self, normal: str) -> tuple[bytes, str]:
-        """Ids of a normalised text, as little-endian unsigned 32-bit integers and in decimal with commas."""
-        words = self.word.findall(normal)
-        known = self.known
-        if len(known) > HELD:
-            self.old, self.known = known, {}
-            known = self.known
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            found = [known[w] if w in known else self._learn(w) for w in words]
-        return b"".join([raw for raw, _ in found]), ",".join([text for _, text in found])
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, normals: list[str]) -> list[bytes]:
+        """Ids of normalised texts, as little-endian unsigned 32-bit integers."""
+        if len(self.known) > HELD:
+            self.old, self.known = self.known, {}
+        known, texts = self.known, [self.word.findall(x) for x in normals]
+        new = {w for words in texts for w in words if w not in known}
+        if new:
+            found = self._learn([*new])
+            if any(len(w) > LONG for w in found):
+                known = known | found
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
 class PieceCodec:
@@ -321,16 +392,31 @@ class PieceCodec:
         shown = {UNKNOWN: lambda p: " \u2047 ".encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes((int(p[3:5], 16),))}
         self.texts = [shown.get(kind, lambda p: p.replace(SPACE_MARK, b" "))(p) for p, _, kind in pieces]
         self.marked = [kind not in (UNKNOWN, CONTROL, BYTE) and p.startswith(SPACE_MARK) for p, _, kind in pieces]
-        self.silent = [kind == CONTROL for _, _, kind in pieces]
+        self.controls = {i for i, (_, _, kind) in enumerate(pieces) if kind == CONTROL}
+        self.decimal = [str(i) for i in range(len(pieces))]
 
-    def coded(self, text: str) -> tuple[np.ndarray, str, bytes, np.ndarray]:
-        """Ids, the same in decimal, the normalised bytes, and the source offset of each and of the end."""
-        normal, origin = self.normalize(text)
+    def each(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+        """Of each text the ids, the normalised bytes, and the source offset of each and of the end."""
+        block, size = [], 0
+        for k, text in enumerate(texts, 1):
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK or k == len(texts):
+                yield from self._coded(block)
+                block, size = [], 0
+
+    def coded(self, text: str) -> tuple[np.ndarray, bytes, np.ndarray]:
+        """The same of one text."""
+        return next(self.each([text]))
+
+    def _coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
         if self.merges is None:
-            ids = self.library.encode(text, add_bos=False, add_eos=False, enable_sampling=False)
-            return np.array(ids, np.int64), ",".join(map(str, ids)), normal, origin
-        raw, decimal = self.merges(normal.decode())
-        return np.frombuffer(raw, np.uint32).astype(np.int64), decimal, normal, origin
+            for text in texts:
+                yield np.array(self.library.encode(text, add_bos=False, add_eos=False, enable_sampling=False), np.int64), *self.normalize(text)
+            return
+        normal = [self.normalize(text) for text in texts]
+        for raw, own in zip(self.merges([x.decode() for x, _ in normal]), normal, strict=True):
+            yield np.frombuffer(raw, "<u4").astype(np.int64), *own
 
     def forget(self) -> None:
         """The words that were remembered are forgotten; the model's tables stay."""
@@ -339,16 +425,16 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids without begin or end ids, no sampling."""
-        return [self.coded(t)[0].tolist() for t in texts]
+        return [ids.tolist() for ids, _, _ in self.each(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. The space mark that normalising puts before a text is taken off again."""
-        silent = [k for k, i in enumerate(ids) if self.silent[i]] if any(map(self.silent.__getitem__, set(ids))) else []
+        silent = [] if self.controls.isdisjoint(ids) else [k for k, i in enumerate(ids) if i in self.controls]
         if silent:  # control ids part the bytes of a character
             runs = [ids[a + 1 : b] for a, b in zip([-1, *silent], [*silent, len(ids)], strict=True)]
         else:
             runs = [ids]
-        out = [b"".join([self.texts[i] for i in run]).decode("utf-8", "meshwright_one_byte") for run in runs]
+        out = [b"".join(map(self.texts.__getitem__, run)).decode("utf-8", "meshwright_one_byte") for run in runs]
         first = next((k for k, run in enumerate(runs) if run), None)
         if first is not None and self.marked[runs[first][0]] and (self.normalize.add_prefix or self.normalize.trim):
             out[first] = out[first][1:]
@@ -403,8 +489,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         own = codec(model)
         for frame in frames:
             out = []
-            for doc, text in zip(frame["_id"], frame["_text"].tolist(), strict=True):
-                ids, _, normal, origin = own.coded(text)
+            for doc, (ids, normal, origin) in zip(frame["_id"], own.each(frame["_text"].tolist()), strict=True):
                 spans = own.projected(ids, normal, origin)
                 out.append((doc, ids.tolist(), None if spans is None else [(int(x), int(y)) for x, y in spans], own.decode(ids.tolist())))
             yield pd.DataFrame(out, columns=["_id", "ids", "spans", "decoded"])
@@ -435,12 +520,11 @@ def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
         for frame in frames:
             out = []
-            for doc, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
-                ids, decimal, normal, origin = own.coded(text)
+            for doc, (ids, normal, origin) in zip(frame["_id"].tolist(), own.each(frame["_text"].tolist()), strict=True):
                 spans = own.projected(ids, normal, origin)
                 covered = None if spans is None else str(int((spans[:, 1] - spans[:, 0]).sum()))
-                raw = (ids.astype(np.uint32).tobytes(),) if with_ids else ()
-                out.append((doc, len(ids), sha(decimal), sha(own.decode(ids.tolist())), covered, *raw))
+                raw, each = (ids.astype(np.uint32).tobytes(),) if with_ids else (), ids.tolist()
+                out.append((doc, len(ids), sha(",".join(map(own.decimal.__getitem__, each))), sha(own.decode(each)), covered, *raw))
             yield pd.DataFrame(out, columns=columns)
         own.forget()
 

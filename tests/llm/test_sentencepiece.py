@@ -120,6 +120,21 @@ def test_mapped_model_through_spark(spark, tmp_path):
             assert all(0 <= s.begin <= s.end <= len(raw) for s in r.spans) and len(r.spans) == len(r.ids)
 
 
+def test_new_words_are_merged_side_by_side(monkeypatch):
+    """Ids are the library's, and few words of a block go through their merges one by one."""
+    library = spm.SentencePieceProcessor(model_file=MODEL)
+    own, alone = sc.PieceCodec(MODEL), []
+    join = own.merges._join
+    monkeypatch.setattr(own.merges, "_join", lambda word: alone.append(word) or join(word))
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("aabcdeehiinorst,.ßé日😀") for _ in range(rng.randint(1, 12))) for _ in range(60)) for _ in range(300)]
+    assert own.encode(texts) == library.encode(texts)
+    plain = [" ".join("".join(rng.choice("aabcdeehiinorst") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(300)]
+    alone.clear()
+    assert own.encode(plain) == library.encode(plain)
+    assert len(alone) < 1000 < len({w for t in plain for w in t.split()})
+
+
 def test_workers_forget_words(spark):
     """A worker that goes on to other tasks holds no words of those that it has done."""
     docs = spark.createDataFrame([(i, f"some words and number{i} more") for i in range(40)], "doc_id long, text string").repartition(4)
